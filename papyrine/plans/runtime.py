@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: A key that holds more than this share of the rows counts as hot; so at most 1 / share keys are hot.
 HOT_SHARE = 0.0005
+#: A key with fewer rows than this is never hot.
+HOT_ROWS = 10_000
 
 
 @functools.lru_cache(maxsize=1)
@@ -36,16 +38,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread_join(facts: DataFrame, lookup: DataFrame, key: str, how: str = "inner") -> DataFrame:
+def spread_join(facts: DataFrame, lookup: DataFrame, key: str, how: str = "inner", total: int | None = None) -> DataFrame:
     """Join facts to a lookup that is unique on `key` without gathering a hot key's rows in one task.
 
     Keys that hold more than HOT_SHARE of the rows are found by a pre-aggregated count. There are at most
     1 / HOT_SHARE of them whatever the input, which bounds the part of the lookup that is broadcast; all other
-    keys take an ordinary shuffled join. `how` is inner or left; rows with a null key match nothing.
+    keys take an ordinary shuffled join. `how` is inner or left; rows with a null key match nothing. `total` is the
+    number of facts where the caller knows it; facts are read twice, so they should come from a checkpoint or scan.
     """
-    counts = facts.where(F.col(key).isNotNull()).groupBy(key).count()
-    total = facts.count()
-    hot = [r[0] for r in counts.where(F.col("count") > max(10_000, int(total * HOT_SHARE))).select(key).collect()]
+    total = facts.count() if total is None else total
+    least = max(HOT_ROWS, int(total * HOT_SHARE))
+    hot = []
+    if total > least:
+        counts = facts.where(F.col(key).isNotNull()).groupBy(key).count()
+        hot = [r[0] for r in counts.where(F.col("count") > least).select(key).collect()]
     if not hot:
         return facts.join(lookup, key, how)
     is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
