@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from papyrine.llm import splits, topn
+from papyrine.llm import consensus, pieces, quantiles, splits, topn
 
-MODULES = (topn, splits)
+MODULES = (topn, consensus, splits, quantiles, pieces)
 
 
 def queries() -> dict:
