@@ -75,17 +75,19 @@ def truths(items: DataFrame, weights: DataFrame | None) -> DataFrame:
     scored = flat.groupBy("case_id", "fixed").agg(F.collect_list(F.when(F.col("label").isNotNull(), F.struct("annotator", "label", "w"))).alias("votes"))
     weigh = lambda name: F.aggregate(F.filter("votes", lambda v: v["label"] == name), F.lit(0.0), lambda a, v: a + v["w"])
     sums = F.array(*[F.struct(F.round(weigh(name), 9).alias("w"), F.lit(-k).alias("k"), F.lit(name).alias("label")) for k, name in enumerate(LABELS)])
-    best = F.array_max(F.filter(sums, lambda s: s["w"] > 0))
+    best = F.array_max(F.filter(sums, lambda s: F.exists("votes", lambda v: v["label"] == s["label"])))
     total = F.aggregate("votes", F.lit(0.0), lambda a, v: a + v["w"])
-    return scored.select("case_id", "fixed", "votes", F.coalesce("fixed", best["label"]).alias("truth"), (F.coalesce(best["w"], F.lit(0.0)) / total).alias("support"))
+    return scored.select("case_id", "fixed", "votes", F.coalesce("fixed", best["label"]).alias("truth"), F.try_divide(best["w"], total).alias("support"))
 
 
 def reliabilities(items: DataFrame) -> DataFrame:
     """(annotator, w, votes, loss) after ROUNDS of alternating minimisation.
 
-    An annotator's weight is the chi-squared quantile for the number of votes over the summed distance to the
-    current labels, that is the inverse of the upper bound of the error variance, so that somebody with three
-    votes, all right, doesn't outweigh somebody with hundreds, nearly all right. Adjudicated items keep their label.
+    The error of an annotator is bounded from above by the summed distance to the current labels over the
+    chi-squared quantile for the number of votes, so that somebody with three votes, all right, doesn't outweigh
+    somebody with hundreds, nearly all right. The weight is the log-odds of that bound against a guess among the
+    labels, 0 at worst: with 0/1 distances the plain inverse of the bound lets one annotator with almost no error
+    outvote any number of good ones. Adjudicated items keep their label.
     Only the annotators' sums, one row each, are written between rounds; the items are read from their checkpoint.
     """
     counts = items.select(F.explode("votes").alias("v")).groupBy("v.annotator").agg(F.count("*").alias("votes"))
@@ -94,7 +96,9 @@ def reliabilities(items: DataFrame) -> DataFrame:
     for _ in range(ROUNDS):
         now = truths(items, weights).select("truth", F.explode("votes").alias("v"))
         loss = now.groupBy("v.annotator").agg(F.sum((F.col("v.label") != F.col("truth")).cast("double")).alias("loss"))
-        weights = cut(counts.join(loss, "annotator").select("annotator", (F.col("chi") / F.greatest("loss", F.lit(LEAST_LOSS))).alias("w"), "votes", "loss"))
+        bound = F.least(F.greatest("loss", F.lit(LEAST_LOSS)) / F.col("chi"), F.lit(0.999))
+        weight = F.greatest(F.lit(0.0), F.log((1 - bound) * (len(LABELS) - 1) / bound))
+        weights = cut(counts.join(loss, "annotator").select("annotator", weight.alias("w"), "votes", "loss"))
     return weights
 
 
