@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import functools
 import tempfile
+import zipfile
+from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A key that holds more than this share of the rows counts as hot; so at most 1 / share keys are hot.
@@ -60,10 +62,15 @@ def spread_join(facts: DataFrame, lookup: DataFrame, key: str, how: str = "inner
     return cold.unionByName(warm)
 
 
-def distinct_rows(df: DataFrame) -> DataFrame:
-    """Exact duplicates (whole rows) once. Map-side combine removes most copies before the shuffle."""
-    return df.distinct()
-
-
-def null_safe_text(col: Column) -> Column:
-    return F.coalesce(col, F.lit(""))
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once a context, so that Python workers import it whatever their path is."""
+    sc = spark.sparkContext
+    if getattr(sc, "_papyrine_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    target = Path(tempfile.mkdtemp(prefix="papyrine-package-"), f"{root.name}.zip")
+    with zipfile.ZipFile(target, "w") as archive:
+        for file in sorted(root.rglob("*.py")):
+            archive.write(file, file.relative_to(root.parent))
+    sc.addPyFile(str(target))
+    sc._papyrine_shipped = True
