@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from collections.abc import Sequence
 
 import numpy as np
@@ -35,8 +36,22 @@ def decode(code: np.ndarray) -> np.ndarray:
     return low + ((1 << shift) - 1) / 2
 
 
-def _mix(node: Column, level: Column, row: Column, salt: int) -> Column:
-    return F.xxhash64(node, level, row, F.lit(salt))
+#: Hash functions are polynomials over this prime field (2**31 - 1), so that products of codes stay within 64 bits.
+_PRIME = 2**31 - 1
+
+
+def _coefficients(level: int, row: int) -> list[int]:
+    """Two coefficients of a row's bucket function and four of its sign function, from the place alone."""
+    source = random.Random(f"dyadic/{level}/{row}")
+    return [source.randrange(1, _PRIME) for _ in range(6)]
+
+
+def _place(node, level: int, row: int):
+    """(bucket, sign) of a node, a Column or an integer array: pairwise and four-wise independent."""
+    a, b, c3, c2, c1, c0 = _coefficients(level, row)
+    bucket = (node * a + b) % _PRIME % BUCKETS
+    poly = (((node * c3 + c2) % _PRIME * node + c1) % _PRIME * node + c0) % _PRIME
+    return bucket, poly % 2 * 2 - 1
 
 
 def build(df: DataFrame, keys: Sequence[str], code: str, weight: str) -> DataFrame:
@@ -51,9 +66,13 @@ def build(df: DataFrame, keys: Sequence[str], code: str, weight: str) -> DataFra
     nodes = counted.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(BITS)))).withColumn("node", F.expr(f"shiftright({code}, {BITS} - level)"))
     nodes = nodes.groupBy(*keys, "level", "node").agg(F.sum("n").alias("n"))
     exact = nodes.where(level < _FIRST_SKETCHED).select(*keys, "level", F.lit(0).alias("row"), F.col("node").alias("bucket"), "n")
-    deep = nodes.where(level >= _FIRST_SKETCHED).withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(ROWS - 1))))
-    sign = F.when(F.pmod(_mix(F.col("node"), level, F.col("row"), 1), F.lit(2)) == 0, 1).otherwise(-1)
-    signed = deep.select(*keys, "level", "row", F.pmod(_mix(F.col("node"), level, F.col("row"), 2), F.lit(BUCKETS)).alias("bucket"), (F.col("n") * sign).alias("n"))
+    cells = None
+    deep = nodes.where(level >= _FIRST_SKETCHED)
+    for k in range(_FIRST_SKETCHED, BITS + 1):
+        places = [(row, *_place(F.col("node"), k, row)) for row in range(ROWS)]
+        here = F.array(*[F.struct(F.lit(row).alias("row"), bucket.cast("bigint").alias("bucket"), (F.col("n") * sign).cast("bigint").alias("n")) for row, bucket, sign in places])
+        cells = here if k == _FIRST_SKETCHED else F.when(level == k, here).otherwise(cells)
+    signed = deep.select(*keys, "level", F.explode(cells).alias("c")).select(*keys, "level", "c.row", "c.bucket", "c.n")
     return merge(exact.unionByName(signed), keys)
 
 
@@ -62,20 +81,6 @@ def merge(sketch: DataFrame, keys: Sequence[str]) -> DataFrame:
     return sketch.groupBy(*keys, "level", "row", "bucket").agg(F.sum("n").alias("n")).where("n <> 0")
 
 
-def _hash_table(spark: SparkSession) -> DataFrame:
-    """Bucket and sign of every node of the sketched levels: fixed by the parameters, not by the data."""
-    parts = [spark.range(2**level).select(F.lit(level).alias("level"), F.col("id").alias("node")) for level in range(_FIRST_SKETCHED, BITS + 1)]
-    nodes = parts[0]
-    for p in parts[1:]:
-        nodes = nodes.unionByName(p)
-    nodes = nodes.withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(ROWS - 1))))
-    return nodes.select(
-        "level", "node", "row",
-        F.pmod(_mix(F.col("node"), F.col("level"), F.col("row"), 2), F.lit(BUCKETS)).alias("bucket"),
-        F.when(F.pmod(_mix(F.col("node"), F.col("level"), F.col("row"), 1), F.lit(2)) == 0, 1).otherwise(-1).alias("sign"),
-    )
-
-
 def percentiles(sketch: DataFrame, keys: Sequence[str], quantiles: Sequence[float]) -> DataFrame:
     """(keys, q, n, value): the value of rank ceil(q * n) of every group, by descent through the levels.
 
@@ -84,19 +89,10 @@ def percentiles(sketch: DataFrame, keys: Sequence[str], quantiles: Sequence[floa
     one task. A group whose weights sum to 0 or less has no row. The rank error is about n / sqrt(BUCKETS) of the
     weight outside heavy nodes for each sketched level, the error of the value 2**-(MANTISSA + 1) of it.
     """
-    spark = sketch.sparkSession
-    table_ = _hash_table(spark).toPandas()
-    buckets, signs = {}, {}
-    for level, part in table_.groupby("level"):
-        part = part.sort_values(["node", "row"])
-        buckets[level] = part["bucket"].to_numpy(dtype=np.int32).reshape(-1, ROWS)
-        signs[level] = part["sign"].to_numpy(dtype=np.int8).reshape(-1, ROWS)
-    shared = spark.sparkContext.broadcast((buckets, signs))
     qs = sorted(quantiles)
     types = dict(sketch.dtypes)
 
     def invert(pdf: pd.DataFrame) -> pd.DataFrame:
-        buckets, signs = shared.value
         cells: dict[int, np.ndarray] = {}
         for level in range(BITS + 1):
             part = pdf[pdf["level"] == level]
@@ -115,7 +111,8 @@ def percentiles(sketch: DataFrame, keys: Sequence[str], quantiles: Sequence[floa
                 if level < _FIRST_SKETCHED:
                     weight = float(cells[level][left])
                 else:
-                    weight = float(np.median(cells[level][np.arange(ROWS), buckets[level][left]] * signs[level][left]))
+                    places = [_place(left, level, row) for row in range(ROWS)]
+                    weight = float(np.median([cells[level][row, bucket] * sign for row, (bucket, sign) in enumerate(places)]))
                 if rank <= weight:
                     node = left
                 else:
