@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from papyrine.llm import bpe, consensus, packing, pieces, quantiles, splits, topn
+from papyrine.llm import bpe, consensus, overlap, packing, pieces, quantiles, splits, topn
 
-MODULES = (topn, consensus, splits, quantiles, pieces, bpe, packing)
+MODULES = (topn, overlap, consensus, splits, quantiles, pieces, bpe, packing)
 
 
 def queries() -> dict:
