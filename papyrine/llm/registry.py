@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from papyrine.llm import bpe, consensus, overlap, packing, pieces, quantiles, splits, topn, truncation
+from papyrine.llm import bpe, consensus, overlap, packing, pieces, quantiles, scans, splits, topn, truncation
 
-MODULES = (topn, overlap, consensus, splits, quantiles, pieces, bpe, packing, truncation)
+MODULES = (topn, scans, overlap, consensus, splits, quantiles, pieces, bpe, packing, truncation)
 
 
 def queries() -> dict:
