@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple = ()
+from papyrine.plans import retrieval
+
+MODULES: tuple = (retrieval,)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
