@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from papyrine.plans import retrieval
+from papyrine.plans import relational, retrieval
 
-MODULES: tuple = (retrieval,)
+MODULES: tuple = (retrieval, relational)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
