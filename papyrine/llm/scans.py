@@ -128,7 +128,7 @@ def headers(chunks: DataFrame) -> DataFrame:
 def strip_furniture(text: str, header_lines: set[int], first: int | None, last: int | None) -> tuple[str, bool, bool]:
     """(body, header, page_number): the text without headers and page numbers; words broken at a line end keep their
     mark as JOINT + mark + JOINT and stand in one line."""
-    lines = regex.sub(r"\r\n?", "\n", text).split("\n")
+    lines = regex.sub(r"\r\n?", "\n", text.replace(JOINT, "")).split("\n")
     kept: list[str] = []
     header = number = False
     for i, line in enumerate(lines):
