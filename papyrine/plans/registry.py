@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from papyrine.plans import relational, retrieval
+from papyrine.plans import documents, relational, retrieval
 
-MODULES: tuple = (retrieval, relational)
+MODULES: tuple = (retrieval, relational, documents)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
