@@ -17,7 +17,7 @@ def docs(spark, d):
 
 def q_sentences(spark, d):
     s = docs(spark, d).select("doc_id", X.sentences(F.col("text")).alias("s"))
-    return s.select("doc_id", F.size("s").cast("bigint").alias("n"), F.coalesce(F.array_max(F.transform("s", F.length)), F.lit(0)).cast("bigint").alias("longest"))
+    return s.select("doc_id", F.size("s").cast("bigint").alias("n"), F.coalesce(F.array_max(F.transform("s", lambda x: F.length(x))), F.lit(0)).cast("bigint").alias("longest"))
 
 
 def q_numbers(spark, d):
@@ -224,6 +224,49 @@ STATEMENTS: dict[str, str | tuple[str, str]] = {
     "q_paper_card": ("select paper_id, min_by(source, doc_id) as source, count(distinct doc_kind) as kinds, count(case when lang is null then 1 end) as missing_lang from documents where paper_id is not null group by paper_id", "select paper_id, arg_min(source, doc_id) as source, count(distinct doc_kind) as kinds, count(case when lang is null then 1 end) as missing_lang from documents where paper_id is not null group by paper_id"),
     "q_evidence_map": "select doc_id, row_number() over (partition by paper_id order by doc_id) as statement, source is not null and text is not null as allowed_as_fact from documents where paper_id is not null",
     "q_evidence_matrix": "select r.paper_id, h.query_id, count(distinct h.chunk_id) as evidence from (select distinct query_id, chunk_id, file_id from search_hits where chunk_id is not null) h join (select distinct file_id, paper_id from render_samples where paper_id is not null) r on h.file_id = r.file_id group by r.paper_id, h.query_id",
+    # spans of texts against queries and evidence
+    "q_token_f1": (
+        "with p as (select distinct case_id, prompt from eval_cases where prompt is not null), t as (select case_id, explode(regexp_extract_all(lower(prompt), '([a-z0-9]+)', 1)) as w from p), c as (select case_id, w, count(*) as n from t group by case_id, w), g as (select w, count(*) as n from (select explode(array('which', 'section', 'of', 'the', 'paper', 'the')) as w) x group by w), tot as (select case_id, sum(n) as n from c group by case_id) select tot.case_id, round(coalesce(2e0 * hit / (tot.n + 6), 0e0), 9) as f1 from tot left join (select case_id, sum(least(c.n, g.n)) as hit from c join g on c.w = g.w group by case_id) h on tot.case_id = h.case_id",
+        "with p as (select distinct case_id, prompt from eval_cases where prompt is not null), t as (select case_id, unnest(regexp_extract_all(lower(prompt), '[a-z0-9]+')) as w from p), c as (select case_id, w, count(*) as n from t group by case_id, w), g as (select w, count(*) as n from (select unnest(['which', 'section', 'of', 'the', 'paper', 'the']) as w) x group by w), tot as (select case_id, sum(n) as n from c group by case_id) select tot.case_id, round(coalesce(2e0 * hit / (tot.n + 6), 0e0), 9) as f1 from tot left join (select case_id, sum(least(c.n, g.n)) as hit from c join g on c.w = g.w group by case_id) h on tot.case_id = h.case_id",
+    ),
+    "q_claim_support": (
+        "with c as (select distinct chunk_id, file_id, array_distinct(regexp_extract_all(lower(text), '([a-z0-9%]+)', 1)) as w from chunks where text is not null and file_id is not null), f as (select file_id, min_by(w, chunk_id) as claim from c group by file_id) select c.chunk_id, round(coalesce(size(array_intersect(claim, w)) / cast(nullif(size(claim), 0) as double), 0e0), 9) as support, coalesce(size(array_intersect(claim, w)) / cast(nullif(size(claim), 0) as double), 0e0) >= 0.8 as supported from c join f on c.file_id = f.file_id",
+        "with c as (select distinct chunk_id, file_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9%]+')) as w from (select distinct chunk_id, file_id, text from chunks) where text is not null and file_id is not null), f as (select file_id, arg_min(w, chunk_id) as claim from c group by file_id) select c.chunk_id, round(coalesce(len(list_intersect(claim, w)) / cast(nullif(len(claim), 0) as double), 0e0), 9) as support, coalesce(len(list_intersect(claim, w)) / cast(nullif(len(claim), 0) as double), 0e0) >= 0.8 as supported from c join f on c.file_id = f.file_id",
+    ),
+    "q_rewrite_check": (
+        "with c as (select distinct chunk_id, file_id, array_distinct(regexp_extract_all(text, '([0-9]+(?:[.][0-9]+)?)', 1)) as nums from chunks where text is not null and file_id is not null), p as (select chunk_id, nums, lag(nums) over (partition by file_id order by chunk_id) as prev from c) select chunk_id, size(array_except(prev, nums)) as missing, size(array_except(prev, nums)) = 0 as passed from p where prev is not null",
+        "with c as (select distinct chunk_id, file_id, list_distinct(regexp_extract_all(text, '[0-9]+(?:[.][0-9]+)?')) as nums from (select distinct chunk_id, file_id, text from chunks) where text is not null and file_id is not null), p as (select chunk_id, nums, lag(nums) over (partition by file_id order by chunk_id) as prev from c) select chunk_id, cast(len(list_filter(prev, lambda x: not list_contains(nums, x))) as int) as missing, len(list_filter(prev, lambda x: not list_contains(nums, x))) = 0 as passed from p where prev is not null",
+    ),
+    "q_quote_ground": "with c as (select distinct chunk_id, file_id, page_start, text from chunks where text is not null and file_id is not null and length(text) > 40), q as (select file_id, chunk_id as quote, substring(text, 5, 30) as body from c) select q.quote, min(c.page_start) as page, count(*) as places from q join c on q.file_id = c.file_id and instr(c.text, q.body) > 0 group by q.quote",
+    "q_draft_check": "with h as (select query_id, count(*) as hits, count(distinct file_id) as files, count(case when chunk_id is null then 1 end) as missing, count(case when file_id is null then 1 end) as unlinked from (select distinct * from search_hits) d group by query_id) select query_id, case when missing > 0 then 'unknown_citation' when unlinked > 0 then 'unlinked_paper' when files < 2 then 'too_few_papers' when hits < 3 then 'too_few_citations' else 'ok' end as result from h",
+    "q_uninvert": (
+        "with w as (select doc_id, posexplode(split(text, ' ')) as (pos, word) from documents where text is not null), inv as (select doc_id, word, collect_list(pos) as positions from w group by doc_id, word), back as (select doc_id, word, explode(positions) as pos from inv) select doc_id, md5(array_join(transform(array_sort(collect_list(struct(pos, word))), x -> x.word), ' ')) as digest from back group by doc_id",
+        "select doc_id, md5(text) as digest from documents where text is not null",
+    ),
+    "q_cited_sentences": (
+        "with h as (select distinct chunk_id, max(score) over (partition by chunk_id) as score from search_hits where chunk_id is not null and score is not null and not isnan(score) and score < 1e300), c as (select distinct chunk_id, text from chunks where text is not null), s as (select c.chunk_id, h.score, posexplode(split(c.text, '[.] ')) as (pos, sentence) from c join h on c.chunk_id = h.chunk_id), g as (select chunk_id, score, pos, (case when lower(sentence) like '%calibration%' then 1 else 0 end + case when lower(sentence) like '%error%' then 1 else 0 end) / 2e0 as coverage from s) select chunk_id, cast(pos as bigint) as pos, coverage, rank from (select *, row_number() over (partition by chunk_id order by coverage desc, pos) as rank from g where coverage >= 0.5) t where rank <= 3",
+        "with h as (select chunk_id, max(score) as score from search_hits where chunk_id is not null and score is not null and not isnan(score) and score < 1e300 group by chunk_id), c as (select distinct chunk_id, text from chunks where text is not null), l as (select c.chunk_id, h.score, string_split(c.text, '. ') as ss from c join h on c.chunk_id = h.chunk_id), s as (select chunk_id, score, unnest(ss) as sentence, unnest(range(len(ss))) as pos from l), g as (select chunk_id, score, pos, (case when lower(sentence) like '%calibration%' then 1 else 0 end + case when lower(sentence) like '%error%' then 1 else 0 end) / 2e0 as coverage from s) select chunk_id, cast(pos as bigint) as pos, coverage, rank from (select *, row_number() over (partition by chunk_id order by coverage desc, pos) as rank from g where coverage >= 0.5) t where rank <= 3",
+    ),
+    "q_memory_rank": (
+        "with r as (select distinct case_id, task_family, prompt from eval_cases where prompt is not null), t as (select case_id, task_family, array_distinct(regexp_extract_all(lower(prompt), '([a-z0-9]+)', 1)) as w from r), q as (select task_family, min_by(w, case_id) as asked from t group by task_family), s as (select t.case_id, t.task_family, round(2e0 * size(array_intersect(asked, w)) / greatest(1, size(asked)), 9) as score from t join q on t.task_family = q.task_family) select case_id, task_family, score, rank from (select *, row_number() over (partition by task_family order by score desc, case_id) as rank from s) x where rank <= 5",
+        "with r as (select distinct case_id, task_family, prompt from eval_cases where prompt is not null), t as (select case_id, task_family, list_distinct(regexp_extract_all(lower(prompt), '[a-z0-9]+')) as w from r), q as (select task_family, arg_min(w, case_id) as asked from t group by task_family), s as (select t.case_id, t.task_family, round(2e0 * len(list_intersect(asked, w)) / greatest(1, len(asked)), 9) as score from t join q on t.task_family = q.task_family) select case_id, task_family, score, rank from (select *, row_number() over (partition by task_family order by score desc, case_id) as rank from s) x where rank <= 5",
+    ),
+    "q_context_pack": "with o as (select l_orderkey, l_linenumber, cast(l_quantity as bigint) as n, sum(cast(l_quantity as bigint)) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice rows unbounded preceding) as used from lineitem) select l_orderkey, count(*) as kept, max(used) as tokens from o where used <= 100 group by l_orderkey",
+    "q_page_hybrid": (
+        "with p as (select distinct file_id, page_start, chunk_id, text from chunks where text is not null and page_start is not null and file_id is not null), s as (select file_id, page_start, sum(size(regexp_extract_all(lower(text), '(calibration|error)', 1))) as matches, sum(case when contains(lower(text), 'calibration error') then 1 else 0 end) as phrases from p group by file_id, page_start), r as (select file_id, page_start, row_number() over (order by matches desc, file_id, page_start) as a, row_number() over (order by phrases desc, file_id, page_start) as b from s) select file_id, page_start, round(1e0 / (60 + a) + 1e0 / (60 + b), 9) as score from r order by score desc, file_id, page_start limit 10",
+        "with p as (select distinct file_id, page_start, chunk_id, text from chunks where text is not null and page_start is not null and file_id is not null), s as (select file_id, page_start, sum(len(regexp_extract_all(lower(text), 'calibration|error'))) as matches, sum(case when contains(lower(text), 'calibration error') then 1 else 0 end) as phrases from p group by file_id, page_start), r as (select file_id, page_start, row_number() over (order by matches desc, file_id, page_start) as a, row_number() over (order by phrases desc, file_id, page_start) as b from s) select file_id, page_start, round(1e0 / (60 + a) + 1e0 / (60 + b), 9) as score from r order by score desc, file_id, page_start limit 10",
+    ),
+    "q_section_search": (
+        "with c as (select distinct chunk_id, file_id, section_path, text from chunks where text is not null and size(section_path) > 0), s as (select chunk_id, file_id, size(regexp_extract_all(lower(text), '(calibration|error)', 1)) as score from c where lower(element_at(section_path, 1)) like '%method%') select chunk_id, file_id, cast(score as bigint) as score from s where score > 0 order by score desc, chunk_id limit 8",
+        "with c as (select distinct chunk_id, file_id, section_path, text from chunks where text is not null and len(section_path) > 0), s as (select chunk_id, file_id, len(regexp_extract_all(lower(text), 'calibration|error')) as score from c where lower(section_path[1]) like '%method%') select chunk_id, file_id, cast(score as bigint) as score from s where score > 0 order by score desc, chunk_id limit 8",
+    ),
+    "q_workspace_search": "with f as (select distinct file_id, paper_id, path from render_samples), h as (select file_id, count(distinct query_id) as asked, count(distinct chunk_id) as chunks from search_hits where file_id is not null group by file_id) select f.file_id, f.paper_id, f.path, coalesce(asked, 0) as asked, coalesce(chunks, 0) as chunks from f left join h on f.file_id = h.file_id where lower(f.path) like '%1%'",
+    # windows over the event stream: additions of this engine
+    "q_ext_windows": (
+        "select cast(window(ts, '1 day').start as string) as day, event_type, count(*) as n, sum(cast(round(value * 100) as bigint)) as cents from events group by window(ts, '1 day'), event_type",
+        "select strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') as day, event_type, count(*) as n, cast(sum(cast(round(value * 100) as bigint)) as bigint) as cents from events group by date_trunc('day', ts), event_type",
+    ),
+    "q_ext_sessions": "with e as (select user_id, event_id, ts, lag(ts) over (partition by user_id order by ts, event_id) as prev from events), m as (select user_id, event_id, ts, sum(case when prev is null or ts > prev + interval '6' hour then 1 else 0 end) over (partition by user_id order by ts, event_id rows unbounded preceding) as session from e) select user_id, cast(session as bigint) as session, count(*) as events from m group by user_id, session",
 }
 
 _queries, _sql = registered(STATEMENTS)
