@@ -171,9 +171,11 @@ def scan(documents: DataFrame) -> DataFrame:
         for pdf in batches:
             rows = []
             for r in pdf.itertuples():
+                if not r.text.strip():
+                    continue
                 e = ending(r.text)
                 parts = sentences(r.text)
-                whole = parts if r.doc_kind == "title" else parts[:-1]
+                whole = parts if r.doc_kind == "title" or e["closed"] else parts[:-1]
                 for s in whole:
                     if r.doc_kind in LISTS or _CLOSED.search(s):
                         counts.update(end_keys(regex.sub(r"(?:\s*\[[^\[\]\n]{1,12}\])+$", "", s), r.doc_kind))
@@ -194,7 +196,7 @@ def scan(documents: DataFrame) -> DataFrame:
         yield _counted(counts)
 
     texts = documents.where("text is not null and doc_id is not null").select("doc_id", "source", "doc_kind", "text", F.col("n_chars").cast("double").alias("n_chars"))
-    return texts.where(F.length(F.trim("text")) > 0).mapInPandas(run, _SCHEMA)
+    return texts.mapInPandas(run, _SCHEMA)
 
 
 _SCHEMA = "doc_id bigint, source string, doc_kind string, chars int, bytes int, closed boolean, certain boolean, inside boolean, number boolean, off boolean, keys array<string>, key string, n bigint"
