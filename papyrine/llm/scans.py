@@ -292,7 +292,7 @@ def repairs(counts: DataFrame) -> DataFrame:
     vocabulary = counts.where((F.col("n") >= SEEN) & F.col("word").rlike(r"^[\p{L}][\p{L}'’\-]+$") & (F.length("word") >= 3))
     suspects = counts.where(F.length("word").between(3, 30) & ~F.col("word").rlike(r"^(?:[0-9a-f]{12,}|[acgt]{9,}|\d.{0,2}|\d+(?:st|nd|rd|th))$"))
     sizes = suspects.agg(F.count("*")).first()[0], vocabulary.agg(F.count("*")).first()[0]
-    rows, shards = max(8, math.ceil(sizes[0] / SUSPECTS)), max(1, math.ceil(sizes[1] / WORDS))
+    rows, shards = max(24, math.ceil(sizes[0] / SUSPECTS)), max(1, math.ceil(sizes[1] / WORDS))
     left = suspects.select(F.pmod(F.xxhash64("word"), F.lit(rows)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "word", "n")
     right = vocabulary.select(F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("block"), F.pmod(F.xxhash64("word", F.lit(1)), F.lit(shards)).cast("int").alias("shard"), "word", "n")
 
@@ -308,6 +308,9 @@ def repairs(counts: DataFrame) -> DataFrame:
                         rows.append((word, true, cost, int(frequency[true])))
         return pd.DataFrame(rows, columns=["word", "true", "cost", "n"])
 
+    # little data and much work: a fixed number of partitions, which adaptive execution doesn't merge
+    tasks = min(rows * shards, 4 * max(8, counts.sparkSession.sparkContext.defaultParallelism))
+    left, right = left.repartition(tasks, "block", "shard"), right.repartition(tasks, "block", "shard")
     return left.groupBy("block", "shard").cogroup(right.groupBy("block", "shard")).applyInPandas(search, "word string, true string, cost double, n bigint")
 
 

@@ -180,7 +180,7 @@ def scan(documents: DataFrame) -> DataFrame:
                     if r.doc_kind in LISTS or _CLOSED.search(s):
                         counts.update(end_keys(regex.sub(r"(?:\s*\[[^\[\]\n]{1,12}\])+$", "", s), r.doc_kind))
                 words = regex.findall(r"[\p{L}\p{N}][\p{L}\p{N}\p{M}'’\-]*", r.text)
-                counts.update({f"w:{w}": n for w, n in Counter(words[:-1]).items()})
+                counts.update({f"w:{w}": n for w, n in Counter(words if e["closed"] else words[:-1]).items()})
                 is_open = not e["closed"]
                 last = e["last_word"]
                 longer = is_open and len(last) > 1 and last[0].isupper() and last not in words[:-1] and any(w.startswith(last) and w != last for w in words[:-1])
