@@ -40,6 +40,7 @@ _NUMBER = regex.compile(r"^[\s\-–—\[(|·.]*(?:(page|p\.|pp\.|seite|第)\s*)?
 _EDGE_NUMBER = regex.compile(r"^\s*(\d{1,5})\s+(?=\S)|(?<=\S)\s+(\d{1,5})\s*$")
 _TABLE_ROW = regex.compile(r"^\S.*\s-?\d+(?:\.\d+)?%?$|^\d+(?:\.\d+)?$|^table\s+\d+", regex.IGNORECASE)
 _BROKEN = regex.compile(rf"([^\W\d_][\w'’@!†¢$|-]*|[\w@!†¢$|]*[^\W\d_])[{MARKS}][ \t]*$")
+_MARK_SET = frozenset(MARKS)
 _GOES_ON = regex.compile(r"^[ \t]*([\w@!†¢$|][\w@!†¢$|'’-]*)")
 
 
@@ -57,8 +58,10 @@ def page_number(line: str, first: int | None, last: int | None, near_table: bool
     """Whether a line is nothing but the number of one of the chunk's pages. A bare number must name such a page, and
     inside a table's rows, where it could be a value, the first or last of them; without a known page only a number
     that is dressed as a page's counts."""
+    if len(line) > 40 or not line.strip():
+        return False
     m = _NUMBER.match(line)
-    if not m or not line.strip():
+    if not m:
         return False
     if m.group(1) and m.group(1).startswith("第") and not m.group(3):
         return False
@@ -100,7 +103,8 @@ def lines_of(chunks: DataFrame) -> DataFrame:
     text = F.split(F.regexp_replace("text", "\r\n?", "\n"), "\n")
     rows = chunks.where("text is not null").select("file_id", "chunk_id", "page_start", "page_end", F.posexplode(text).alias("idx", "line"))
     over = F.coalesce(F.col("page_end") > F.col("page_start"), F.col("page_start").isNull(), F.lit(False))
-    return rows.where((F.length("line") <= 110) & (F.length("line") >= 4) & ((F.col("idx") <= 2) | over))
+    running = F.col("line").rlike(r"[(，。；]|(?<![\p{L}\d_])\p{Ll}[\p{L}\d_\-]{3,}")  # also tested by header_key; here it spares Python most lines
+    return rows.where((F.length("line") <= 110) & (F.length("line") >= 4) & ((F.col("idx") <= 2) | over) & ~running)
 
 
 @F.pandas_udf(T.StringType())
@@ -125,6 +129,17 @@ def headers(chunks: DataFrame) -> DataFrame:
     return keyed.join(own, ["file_id", "key"], "left_semi").select("chunk_id", "idx")
 
 
+_ROW = regex.compile(r"^\S.*[^.\d]\s-?\d+(?:\.\d+)?%?$")
+
+
+def _among_rows(lines: list[str], i: int, first: int | None, last: int | None) -> bool:
+    """Whether the bare number in line i stands among a table's rows: next to one, and neither at the chunk's edge with
+    one of its own page numbers."""
+    rows = [len(lines[j]) < 60 and bool(_ROW.match(lines[j])) for j in (i - 1, i + 1) if 0 <= j < len(lines)]
+    edge = i in (0, len(lines) - 1) and int(lines[i]) in (first, last)
+    return any(rows) and (all(rows) or not edge) and (first is None or int(lines[i]) != first or 0 < i < len(lines) - 1)
+
+
 def strip_furniture(text: str, header_lines: set[int], first: int | None, last: int | None) -> tuple[str, bool, bool]:
     """(body, header, page_number): the text without headers and page numbers; words broken at a line end keep their
     mark as JOINT + mark + JOINT and stand in one line."""
@@ -141,16 +156,13 @@ def strip_furniture(text: str, header_lines: set[int], first: int | None, last:
                 # a journal's volume also stands at the edge; a page number names one of the chunk's pages
                 number = number or (not regex.search(r"\bvol\.?\s*\d+\s*$", line, regex.IGNORECASE) and lo is not None and lo <= value <= hi)
             continue
-        around = [lines[j] for j in (i - 1, i + 1) if 0 <= j < len(lines)]
-        rows = [bool(regex.match(r"^\S.*[^.\d]\s-?\d+(?:\.\d+)?%?$", x)) and len(x) < 60 for x in around]
-        near = bool(regex.match(r"^\s*\d+\s*$", line)) and any(rows) and (first is None or int(line) != first or 0 < i < len(lines) - 1) and (all(rows) or i not in (0, len(lines) - 1) or not line.strip().isdigit() or int(line) not in (first, last))
-        if page_number(line, first, last, near):
+        if page_number(line, first, last, line.strip().isdigit() and _among_rows(lines, i, first, last)):
             number = True
             continue
         kept.append(line)
     body: list[str] = []
     for line in kept:
-        if body and body[-1] and (m := _BROKEN.search(body[-1])) and (g := _GOES_ON.match(line)):
+        if body and body[-1].rstrip(" \t")[-1:] in _MARK_SET and (m := _BROKEN.search(body[-1])) and (g := _GOES_ON.match(line)):
             mark = body[-1][m.end(1)]
             body[-1] = body[-1][: m.end(1)] + JOINT + mark + JOINT + line[g.start(1) :]
         else:
