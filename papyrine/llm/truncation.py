@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -19,7 +21,7 @@ _CLOSED = regex.compile(r"(?:[.!?。！？]|\.{3})[\"'”’」』）)\]*_`]*(?:
 _MARK = regex.compile(r"(?:\s*(?:…|\.\.\.+|\[(?:truncated|cut|snip|more|\.\.\.|…)\]|\((?:truncated|continued|cont\.|more)\)|<truncated>|\[&hellip;\]|&hellip;|>>|-->))\s*$", regex.IGNORECASE)
 #: Notes set after a whole text: they are no part of its last sentence.
 _NOTE = regex.compile(r"\s*(?:\[see [^\]\n]{1,40}\]|\((?:translated|reprinted|adapted|abridged)[^()\n]{1,60}\)|\bEnd of (?:excerpt|document|text|section|abstract)\.?)\s*$", regex.IGNORECASE)
-_SENTENCE = regex.compile(r"(?<=[.!?][\"'”’)\]]?)\s+(?=[\p{Lu}\p{Han}\[*\-\d\"“(])|(?<=[。！？])\s*|\n+")
+_SENTENCE = re.compile(r"[.!?][\"'”’)\]]?\s+(?=[^\Wa-z_]|[\[*\"“(-])|[。！？]\s*")
 _WORD = regex.compile(r"\p{Han}|[\p{L}\p{N}][\p{L}\p{N}\p{M}'’.\-<>=/]*[\p{L}\p{N}\p{M}]|[\p{L}\p{N}]|[^\s\p{L}\p{N}]")
 #: Words of closed classes; every other word of a sentence is shown by its kind alone (fixed values).
 CLOSED_CLASS = frozenset(
@@ -31,6 +33,7 @@ CLOSED_CLASS = frozenset(
 )
 
 
+@functools.lru_cache(maxsize=200_000)
 def classify(word: str) -> str:
     if regex.fullmatch(r"\p{Han}", word):
         return word
@@ -61,16 +64,27 @@ def shapes(sentence: str) -> list[str]:
     return merged
 
 
+_ENTRY = re.compile(r"\s*\[\d+\]\s")
+
+
 def sentences(text: str) -> list[str]:
     """Sentences and lines of a text; an entry of a reference list is one line, whatever points it holds."""
     found: list[str] = []
     for line in text.split("\n"):
-        found += [line] if regex.match(r"\s*\[\d+\]\s", line) else _SENTENCE.split(line)
+        at = 0
+        if not _ENTRY.match(line):
+            for m in _SENTENCE.finditer(line):
+                found.append(line[at : m.end()])
+                at = m.end()
+        found.append(line[at:])
     return [s for s in (p.strip() for p in found) if s]
 
 
+#: Characters that surely hold as many words as an end is judged by: the rest of a sentence needn't be read.
+TAIL = 240
 #: How many of a sentence's last classes show how it ends, of a title fewer; a shorter sentence is shown whole.
 DEPTH, TITLE_DEPTH = 5, 4
+_HAN = regex.compile(r"\p{Han}")
 _CLAUSE = regex.compile(r"[，,；;：:]")
 _PHRASE = regex.compile(r"[的了或中与在对于为到用从]?[^的了或中与在对于为到用从]*$")
 
@@ -78,11 +92,11 @@ _PHRASE = regex.compile(r"[的了或中与在对于为到用从]?[^的了或中
 def end_keys(sentence: str, kind: str | None) -> list[str]:
     """What must have been seen at the end of whole sentences for this one to be whole: the classes of its last words;
     in Han text the frame of its last clause, and its last phrase."""
-    if len(regex.findall(r"\p{Han}", sentence)) * 3 > len(sentence):
+    if not sentence.isascii() and len(_HAN.findall(sentence)) * 3 > len(sentence):
         clause = regex.sub(r"[。！？.\s]+$", "", _CLAUSE.split(sentence.rstrip("。！？"))[-1])
         classed = regex.sub(r"[A-Za-z][A-Za-z0-9\-]*(?:\s[A-Z][a-z]+)?", "M", regex.sub(r"\d+(?:\.\d+)?", "N", clause))
         return [f"h:{classed[:2]}|{classed.count('的')}|{classed.count('或')}", f"p:{_PHRASE.search(classed).group()}"]
-    kinds, depth = shapes(sentence), TITLE_DEPTH if kind == "title" else DEPTH
+    kinds, depth = shapes(sentence[-TAIL:]), TITLE_DEPTH if kind == "title" else DEPTH
     key = ("^" if len(kinds) <= depth else "") + " ".join(kinds[-depth:])
     return [f"{'t' if kind == 'title' else 'e'}:{key}"]
 
@@ -126,31 +140,41 @@ class Nesting:
 _BROKEN = regex.compile("�\\s*$|&#?[a-zA-Z0-9]{1,6}$|\\\\u[0-9a-fA-F]{0,3}$|\\\\x[0-9a-fA-F]?$|%[0-9a-fA-F]?$(?<!\\d%)|[\ud800-\udbff]$")
 
 
+_LAST_WORD = regex.compile(r"[\p{L}\p{N}][\p{L}\p{N}\p{M}'’\-]*$")
+_WHOLE_NUMBER = regex.compile(r"(?:^|\s)\d+\.$")
+_ABBREVIATED = regex.compile(r"\b(?:al|cf|Sec|Fig|Figs|Eq|Proc|Tech|rep|no|vol|Vol|pp|vs|e\.g|i\.e)\.$")
+#: Characters at a text's end that its marks, notes and last word lie in.
+EDGE = 160
+
+
 def ending(text: str) -> dict:
     """What the end of a text shows by itself."""
     body = text.rstrip()
-    noted = _NOTE.sub("", body)
-    mark = _MARK.search(noted)
+    note = _NOTE.search(body, max(0, len(body) - EDGE))
+    noted = body[: note.start()] if note else body
+    mark = _MARK.search(noted, max(0, len(noted) - EDGE))
     bare = noted[: mark.start()].rstrip() if mark else noted
     parts = sentences(bare)
     last = parts[-1] if parts else ""
-    closed = bool(_CLOSED.search(bare)) if not mark else bool(_CLOSED.search(bare)) or not bare
-    word = regex.search(r"[\p{L}\p{N}][\p{L}\p{N}\p{M}'’\-]*$", bare)
+    closed = bool(_CLOSED.search(bare, max(0, len(bare) - EDGE))) or (bool(mark) and not bare)
+    word = _LAST_WORD.search(bare, max(0, len(bare) - EDGE))
     stack = Nesting(bare).open
     at = bare.rfind(last) if last else 0
-    if closed and regex.search(r"(?:\b(?:al|cf|Sec|Fig|Figs|Eq|Proc|Tech|rep|no|vol|Vol|pp|vs|e\.g|i\.e)\.)$", bare):
+    if closed and _ABBREVIATED.search(bare, max(0, len(bare) - EDGE)):
         closed = False
     return {
-        "broken": bool(_BROKEN.search(text)),
+        "broken": bool(_BROKEN.search(text, max(0, len(text) - EDGE))),
         "mark": bool(mark),
         "closed": closed,
-        "number": bool(regex.search(r"(?:^|\s)\d+\.$", bare)),
+        "number": bool(_WHOLE_NUMBER.search(bare, max(0, len(bare) - EDGE))),
         "inside": any(p >= at for _, p in stack),
         "last_word": word.group() if word else "",
         "last": last,
     }
 
 
+_TOKEN = regex.compile(r"[\p{L}\p{N}][\p{L}\p{N}\p{M}'’\-]*")
+_CITED = regex.compile(r"(?:\s*\[[^\[\]\n]{1,12}\])+$")
 #: Kinds of documents whose lines end without a closing mark.
 LISTS = frozenset({"review_note", "reference_list", "title"})
 #: Times an end must have been seen on whole sentences, and a word inside texts; of titles, which have no closing marks
@@ -177,9 +201,9 @@ def scan(documents: DataFrame) -> DataFrame:
                 parts = sentences(r.text)
                 whole = parts if r.doc_kind == "title" or e["closed"] else parts[:-1]
                 for s in whole:
-                    if r.doc_kind in LISTS or _CLOSED.search(s):
-                        counts.update(end_keys(regex.sub(r"(?:\s*\[[^\[\]\n]{1,12}\])+$", "", s), r.doc_kind))
-                words = regex.findall(r"[\p{L}\p{N}][\p{L}\p{N}\p{M}'’\-]*", r.text)
+                    if r.doc_kind in LISTS or _CLOSED.search(s, max(0, len(s) - EDGE)):
+                        counts.update(end_keys(_CITED.sub("", s) if s.endswith("]") else s, r.doc_kind))
+                words = _TOKEN.findall(r.text)
                 counts.update({f"w:{w}": n for w, n in Counter(words if e["closed"] else words[:-1]).items()})
                 is_open = not e["closed"]
                 last = e["last_word"]
