@@ -124,8 +124,8 @@ def percentiles(sketch: DataFrame, keys: Sequence[str], quantiles: Sequence[floa
     return sketch.groupBy(*keys).applyInPandas(invert, schema)
 
 
-#: No measurement of tokens above this is taken as one: a context of ten million tokens is beyond any public model.
-MAX_TOKENS = 10_000_000
+#: A token count above this is taken as no measurement.
+MAX_TOKENS = 1_000_000
 
 
 def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
