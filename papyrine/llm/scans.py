@@ -103,7 +103,7 @@ def lines_of(chunks: DataFrame) -> DataFrame:
     text = F.split(F.regexp_replace("text", "\r\n?", "\n"), "\n")
     rows = chunks.where("text is not null").select("file_id", "chunk_id", "page_start", "page_end", F.posexplode(text).alias("idx", "line"))
     over = F.coalesce(F.col("page_end") > F.col("page_start"), F.col("page_start").isNull(), F.lit(False))
-    running = F.col("line").rlike(r"[(，。；]|(?<![\p{L}\d_])\p{Ll}[\p{L}\d_\-]{3,}")  # also tested by header_key; here it spares Python most lines
+    running = F.col("line").rlike(r"[(，。；]|(?<![\p{L}\d_\-@†¢!])\p{Ll}[\p{L}\d_\-]{3,}")  # also tested by header_key; here it spares Python most lines
     return rows.where((F.length("line") <= 110) & (F.length("line") >= 4) & ((F.col("idx") <= 2) | over) & ~running)
 
 
