@@ -237,7 +237,12 @@ STATEMENTS: dict[str, str | tuple[str, str]] = {
         "with c as (select distinct chunk_id, file_id, array_distinct(regexp_extract_all(text, '([0-9]+(?:[.][0-9]+)?)', 1)) as nums from chunks where text is not null and file_id is not null), p as (select chunk_id, nums, lag(nums) over (partition by file_id order by chunk_id) as prev from c) select chunk_id, size(array_except(prev, nums)) as missing, size(array_except(prev, nums)) = 0 as passed from p where prev is not null",
         "with c as (select distinct chunk_id, file_id, list_distinct(regexp_extract_all(text, '[0-9]+(?:[.][0-9]+)?')) as nums from (select distinct chunk_id, file_id, text from chunks) where text is not null and file_id is not null), p as (select chunk_id, nums, lag(nums) over (partition by file_id order by chunk_id) as prev from c) select chunk_id, cast(len(list_filter(prev, lambda x: not list_contains(nums, x))) as int) as missing, len(list_filter(prev, lambda x: not list_contains(nums, x))) = 0 as passed from p where prev is not null",
     ),
-    "q_quote_ground": "with c as (select distinct chunk_id, file_id, page_start, text from chunks where text is not null and file_id is not null and length(text) > 40), q as (select file_id, chunk_id as quote, substring(text, 5, 30) as body from c) select q.quote, min(c.page_start) as page, count(*) as places from q join c on q.file_id = c.file_id and instr(c.text, q.body) > 0 group by q.quote",
+    "q_quote_ground": tuple(
+        f"""with c as (select distinct chunk_id, file_id, page_start, text from chunks where text is not null and file_id is not null), parts as (select chunk_id, file_id, page_start, {split} as ss from c),
+          q as (select chunk_id as quote, file_id, ss[{first}] as body from parts), places as (select chunk_id, file_id, page_start, {each} as sentence from parts)
+          select quote, min(page_start) as page, count(distinct chunk_id) as places from q join places p on q.file_id = p.file_id and q.body = p.sentence where body <> '' group by quote"""
+        for split, first, each in (("split(text, '[.] ')", 0, "explode(ss)"), ("string_split(text, '. ')", 1, "unnest(ss)"))
+    ),
     "q_draft_check": "with h as (select query_id, count(*) as hits, count(distinct file_id) as files, count(case when chunk_id is null then 1 end) as missing, count(case when file_id is null then 1 end) as unlinked from (select distinct * from search_hits) d group by query_id) select query_id, case when missing > 0 then 'unknown_citation' when unlinked > 0 then 'unlinked_paper' when files < 2 then 'too_few_papers' when hits < 3 then 'too_few_citations' else 'ok' end as result from h",
     "q_uninvert": (
         "with w as (select doc_id, posexplode(split(text, ' ')) as (pos, word) from documents where text is not null), inv as (select doc_id, word, collect_list(pos) as positions from w group by doc_id, word), back as (select doc_id, word, explode(positions) as pos from inv) select doc_id, md5(array_join(transform(array_sort(collect_list(struct(pos, word))), x -> x.word), ' ')) as digest from back group by doc_id",
@@ -252,9 +257,13 @@ STATEMENTS: dict[str, str | tuple[str, str]] = {
         "with r as (select distinct case_id, task_family, prompt from eval_cases where prompt is not null), t as (select case_id, task_family, list_distinct(regexp_extract_all(lower(prompt), '[a-z0-9]+')) as w from r), q as (select task_family, arg_min(w, case_id) as asked from t group by task_family), s as (select t.case_id, t.task_family, round(2e0 * len(list_intersect(asked, w)) / greatest(1, len(asked)), 9) as score from t join q on t.task_family = q.task_family) select case_id, task_family, score, rank from (select *, row_number() over (partition by task_family order by score desc, case_id) as rank from s) x where rank <= 5",
     ),
     "q_context_pack": "with o as (select l_orderkey, l_linenumber, cast(l_quantity as bigint) as n, sum(cast(l_quantity as bigint)) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice rows unbounded preceding) as used from lineitem) select l_orderkey, count(*) as kept, max(used) as tokens from o where used <= 100 group by l_orderkey",
-    "q_page_hybrid": (
-        "with p as (select distinct file_id, page_start, chunk_id, text from chunks where text is not null and page_start is not null and file_id is not null), s as (select file_id, page_start, sum(size(regexp_extract_all(lower(text), '(calibration|error)', 1))) as matches, sum(case when contains(lower(text), 'calibration error') then 1 else 0 end) as phrases from p group by file_id, page_start), r as (select file_id, page_start, row_number() over (order by matches desc, file_id, page_start) as a, row_number() over (order by phrases desc, file_id, page_start) as b from s) select file_id, page_start, round(1e0 / (60 + a) + 1e0 / (60 + b), 9) as score from r order by score desc, file_id, page_start limit 10",
-        "with p as (select distinct file_id, page_start, chunk_id, text from chunks where text is not null and page_start is not null and file_id is not null), s as (select file_id, page_start, sum(len(regexp_extract_all(lower(text), 'calibration|error'))) as matches, sum(case when contains(lower(text), 'calibration error') then 1 else 0 end) as phrases from p group by file_id, page_start), r as (select file_id, page_start, row_number() over (order by matches desc, file_id, page_start) as a, row_number() over (order by phrases desc, file_id, page_start) as b from s) select file_id, page_start, round(1e0 / (60 + a) + 1e0 / (60 + b), 9) as score from r order by score desc, file_id, page_start limit 10",
+    "q_page_hybrid": tuple(
+        f"""with p as (select distinct file_id, page_start, chunk_id, text from chunks where text is not null and page_start is not null and file_id is not null),
+          s as (select file_id, page_start, sum({size}(regexp_extract_all(lower(text), '(calibration|error)', 1))) as matches, sum(case when contains(lower(text), 'calibration error') then 1 else 0 end) as phrases from p group by file_id, page_start),
+          a as (select file_id, page_start, matches from s where matches > 0 order by matches desc, file_id, page_start limit 30), b as (select file_id, page_start, phrases from s where phrases > 0 order by phrases desc, file_id, page_start limit 30),
+          r as (select file_id, page_start, row_number() over (order by matches desc, file_id, page_start) as rank from a union all select file_id, page_start, row_number() over (order by phrases desc, file_id, page_start) from b)
+          select file_id, page_start, round(sum(1e0 / (60 + rank)), 9) as score from r group by file_id, page_start order by score desc, file_id, page_start limit 10"""
+        for size in ("size", "len")
     ),
     "q_section_search": (
         "with c as (select distinct chunk_id, file_id, section_path, text from chunks where text is not null and size(section_path) > 0), s as (select chunk_id, file_id, size(regexp_extract_all(lower(text), '(calibration|error)', 1)) as score from c where lower(element_at(section_path, 1)) like '%method%') select chunk_id, file_id, cast(score as bigint) as score from s where score > 0 order by score desc, chunk_id limit 8",

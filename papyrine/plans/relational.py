@@ -17,7 +17,11 @@ STATEMENTS: dict[str, str | tuple[str, str]] = {
     "q_refcount": "select l_partkey as part, count(distinct l_orderkey) as refs from lineitem l join orders o on l.l_orderkey = o.o_orderkey where o.o_orderstatus <> 'F' group by l_partkey",
     "q_paired_join": f"""with {_SCORES}, per as (select case_id, system_id, avg(latency_ms) as v from scores where latency_ms > 0 and system_id is not null group by case_id, system_id)
       select a.case_id, a.v as baseline, b.v as candidate, round(b.v - a.v, 6) as delta from per a join per b on a.case_id = b.case_id where a.system_id = 'single_agent' and b.system_id = 'full_system' and a.v is not null and b.v is not null""",
-    "q_range_join": "select h.chunk_id as a, c.chunk_id as b from (select distinct chunk_id, file_id, page_start, page_end from chunks where page_end > page_start) h join (select distinct chunk_id, file_id, page_start from chunks) c on h.file_id = c.file_id and c.page_start between h.page_start and h.page_end and c.chunk_id <> h.chunk_id",
+    "q_range_join": tuple(
+        f"""with c as (select distinct chunk_id, file_id, page_start, page_end from chunks where file_id is not null and page_start is not null), ranges as (select file_id, chunk_id, {pages} as page from c where page_end > page_start)
+          select distinct r.chunk_id as a, c.chunk_id as b from ranges r join c on c.file_id = r.file_id and c.page_start = r.page and c.chunk_id <> r.chunk_id"""
+        for pages in ("explode(sequence(page_start, page_end))", "unnest(range(page_start, page_end + 1))")
+    ),
     "q_asof_prev": """select user_id, event_id, max(case when event_type = 'purchase' then event_id end) over (partition by user_id order by event_id rows between unbounded preceding and 1 preceding) as previous_purchase from events""",
     # aggregates
     "q_group_count": "select l_returnflag, l_linestatus, count(*) as n, cast(sum(cast(l_quantity as decimal(12,2))) as double) as quantity from lineitem group by l_returnflag, l_linestatus",
@@ -109,11 +113,11 @@ STATEMENTS: dict[str, str | tuple[str, str]] = {
           select k, arg_min(paper_id, doc_id) as paper_id, arg_min(lang, doc_id) filter (where lang is not null) as lang, max(n_chars) as n_chars, array_to_string(list_sort(list(distinct source)), ',') as sources, count(*) as n from w where k <> '' group by k""",
     ),
     "q_bootstrap_ci": (
-        f"""with {_SCORES}, v as (select system_id, cast(row_number() over (partition by system_id order by score_id) - 1 as bigint) as i, cast(round(claim_support_rate * 1000) as bigint) as x, count(*) over (partition by system_id) as n from scores where system_id in ('frozen_small', 'plan_replan') and claim_support_rate is not null),
+        f"""with {_SCORES}, v as (select system_id, cast(row_number() over (partition by system_id order by score_id) - 1 as bigint) as i, cast(round(claim_support_rate * 1000) as bigint) as x, count(*) over (partition by system_id) as n from scores where system_id is not null and claim_support_rate is not null),
           b as (select v.system_id, r.id as b, pmod(cast(conv(substring(md5(concat(cast(r.id as string), ':', cast(v.i as string))), 1, 12), 16, 10) as bigint), v.n) as j from v cross join range(100) r),
           means as (select b.system_id, b.b, cast(sum(v.x) as double) / count(*) as m from b join v on b.system_id = v.system_id and b.j = v.i group by b.system_id, b.b)
           select system_id, round(percentile_cont(0.025) within group (order by m), 6) as lo, round(percentile_cont(0.975) within group (order by m), 6) as hi from means group by system_id""",
-        f"""with {_SCORES}, v as (select system_id, row_number() over (partition by system_id order by score_id) - 1 as i, cast(round(claim_support_rate * 1000) as bigint) as x, count(*) over (partition by system_id) as n from scores where system_id in ('frozen_small', 'plan_replan') and claim_support_rate is not null),
+        f"""with {_SCORES}, v as (select system_id, row_number() over (partition by system_id order by score_id) - 1 as i, cast(round(claim_support_rate * 1000) as bigint) as x, count(*) over (partition by system_id) as n from scores where system_id is not null and claim_support_rate is not null),
           b as (select v.system_id, r.range as b, cast('0x' || md5(r.range || ':' || v.i)[1:12] as bigint) % v.n as j from v cross join range(100) r),
           means as (select b.system_id, b.b, cast(sum(v.x) as double) / count(*) as m from b join v on b.system_id = v.system_id and b.j = v.i group by b.system_id, b.b)
           select system_id, round(quantile_cont(m, 0.025), 6) as lo, round(quantile_cont(m, 0.975), 6) as hi from means group by system_id""",
