@@ -141,7 +141,7 @@ _PYTHON_SQL = {
     "q_budget_admit": _FOLD.format(key="user_id", id="event_id", n="cast(round(value * 100) as bigint)", source="events", budget=50000, first="case when n <= 50000 then n else 0 end", taken="n <= 50000"),
 }
 
-_SEQ = "seq as (select user_id, event_id, ts, event_type, value, props, row_number() over (partition by user_id order by ts, event_id) as n from events)"
+_SEQ = "seq as (select user_id, event_id, ts, event_type, value, props, cast(row_number() over (partition by user_id order by ts, event_id) as bigint) as n from events)"
 _REQ = "reqs as (select distinct case_id, prompt from eval_cases where prompt is not null)"
 STATEMENTS: dict[str, str | tuple[str, str]] = {
     # event logs and versioned state
@@ -222,7 +222,7 @@ STATEMENTS: dict[str, str | tuple[str, str]] = {
     "q_claim_links": "with h as (select distinct hit_id, query_id, chunk_id, file_id from search_hits), c as (select distinct chunk_id, file_id, page_start from chunks) select h.hit_id, case when h.chunk_id is null then 'missing' when c.chunk_id is null then 'unknown' when h.file_id is null or h.file_id <> c.file_id then 'unlinked' when c.page_start is null or c.page_start < 1 then 'invalid' else 'ok' end as issue from h left join c on h.chunk_id = c.chunk_id",
     "q_comparison_matrix": "with c as (select distinct case_id, system_id, claim_support_rate from case_scores where system_id in ('critic', 'verifier', 'evidence')), cases as (select distinct case_id from c), dims as (select distinct system_id from c) select k.case_id, d.system_id, count(c.claim_support_rate) as n, count(c.claim_support_rate) = 0 as missing from cases k cross join dims d left join c on c.case_id = k.case_id and c.system_id = d.system_id group by k.case_id, d.system_id",
     "q_paper_card": ("select paper_id, min_by(source, doc_id) as source, count(distinct doc_kind) as kinds, count(case when lang is null then 1 end) as missing_lang from documents where paper_id is not null group by paper_id", "select paper_id, arg_min(source, doc_id) as source, count(distinct doc_kind) as kinds, count(case when lang is null then 1 end) as missing_lang from documents where paper_id is not null group by paper_id"),
-    "q_evidence_map": "select doc_id, row_number() over (partition by paper_id order by doc_id) as statement, source is not null and text is not null as allowed_as_fact from documents where paper_id is not null",
+    "q_evidence_map": "select doc_id, cast(row_number() over (partition by paper_id order by doc_id) as bigint) as statement, source is not null and text is not null as allowed_as_fact from documents where paper_id is not null",
     "q_evidence_matrix": "select r.paper_id, h.query_id, count(distinct h.chunk_id) as evidence from (select distinct query_id, chunk_id, file_id from search_hits where chunk_id is not null) h join (select distinct file_id, paper_id from render_samples where paper_id is not null) r on h.file_id = r.file_id group by r.paper_id, h.query_id",
     # spans of texts against queries and evidence
     "q_token_f1": (
@@ -249,14 +249,14 @@ STATEMENTS: dict[str, str | tuple[str, str]] = {
         "select doc_id, md5(text) as digest from documents where text is not null",
     ),
     "q_cited_sentences": (
-        "with h as (select distinct chunk_id, max(score) over (partition by chunk_id) as score from search_hits where chunk_id is not null and score is not null and not isnan(score) and score < 1e300), c as (select distinct chunk_id, text from chunks where text is not null), s as (select c.chunk_id, h.score, posexplode(split(c.text, '[.] ')) as (pos, sentence) from c join h on c.chunk_id = h.chunk_id), g as (select chunk_id, score, pos, (case when lower(sentence) like '%calibration%' then 1 else 0 end + case when lower(sentence) like '%error%' then 1 else 0 end) / 2e0 as coverage from s) select chunk_id, cast(pos as bigint) as pos, coverage, rank from (select *, row_number() over (partition by chunk_id order by coverage desc, pos) as rank from g where coverage >= 0.5) t where rank <= 3",
-        "with h as (select chunk_id, max(score) as score from search_hits where chunk_id is not null and score is not null and not isnan(score) and score < 1e300 group by chunk_id), c as (select distinct chunk_id, text from chunks where text is not null), l as (select c.chunk_id, h.score, string_split(c.text, '. ') as ss from c join h on c.chunk_id = h.chunk_id), s as (select chunk_id, score, unnest(ss) as sentence, unnest(range(len(ss))) as pos from l), g as (select chunk_id, score, pos, (case when lower(sentence) like '%calibration%' then 1 else 0 end + case when lower(sentence) like '%error%' then 1 else 0 end) / 2e0 as coverage from s) select chunk_id, cast(pos as bigint) as pos, coverage, rank from (select *, row_number() over (partition by chunk_id order by coverage desc, pos) as rank from g where coverage >= 0.5) t where rank <= 3",
+        "with h as (select distinct chunk_id, max(score) over (partition by chunk_id) as score from search_hits where chunk_id is not null and score is not null and not isnan(score) and score < 1e300), c as (select distinct chunk_id, text from chunks where text is not null), s as (select c.chunk_id, h.score, posexplode(split(c.text, '[.] ')) as (pos, sentence) from c join h on c.chunk_id = h.chunk_id), g as (select chunk_id, score, pos, (case when lower(sentence) like '%calibration%' then 1 else 0 end + case when lower(sentence) like '%error%' then 1 else 0 end) / 2e0 as coverage from s) select chunk_id, cast(pos as bigint) as pos, coverage, rank from (select *, cast(row_number() over (partition by chunk_id order by coverage desc, pos) as bigint) as rank from g where coverage >= 0.5) t where rank <= 3",
+        "with h as (select chunk_id, max(score) as score from search_hits where chunk_id is not null and score is not null and not isnan(score) and score < 1e300 group by chunk_id), c as (select distinct chunk_id, text from chunks where text is not null), l as (select c.chunk_id, h.score, string_split(c.text, '. ') as ss from c join h on c.chunk_id = h.chunk_id), s as (select chunk_id, score, unnest(ss) as sentence, unnest(range(len(ss))) as pos from l), g as (select chunk_id, score, pos, (case when lower(sentence) like '%calibration%' then 1 else 0 end + case when lower(sentence) like '%error%' then 1 else 0 end) / 2e0 as coverage from s) select chunk_id, cast(pos as bigint) as pos, coverage, rank from (select *, cast(row_number() over (partition by chunk_id order by coverage desc, pos) as bigint) as rank from g where coverage >= 0.5) t where rank <= 3",
     ),
     "q_memory_rank": (
-        "with r as (select distinct case_id, task_family, prompt from eval_cases where prompt is not null), t as (select case_id, task_family, array_distinct(regexp_extract_all(lower(prompt), '([a-z0-9]+)', 1)) as w from r), q as (select task_family, min_by(w, case_id) as asked from t group by task_family), s as (select t.case_id, t.task_family, round(2e0 * size(array_intersect(asked, w)) / greatest(1, size(asked)), 9) as score from t join q on t.task_family = q.task_family) select case_id, task_family, score, rank from (select *, row_number() over (partition by task_family order by score desc, case_id) as rank from s) x where rank <= 5",
-        "with r as (select distinct case_id, task_family, prompt from eval_cases where prompt is not null), t as (select case_id, task_family, list_distinct(regexp_extract_all(lower(prompt), '[a-z0-9]+')) as w from r), q as (select task_family, arg_min(w, case_id) as asked from t group by task_family), s as (select t.case_id, t.task_family, round(2e0 * len(list_intersect(asked, w)) / greatest(1, len(asked)), 9) as score from t join q on t.task_family = q.task_family) select case_id, task_family, score, rank from (select *, row_number() over (partition by task_family order by score desc, case_id) as rank from s) x where rank <= 5",
+        "with r as (select distinct case_id, task_family, prompt from eval_cases where prompt is not null), t as (select case_id, task_family, array_distinct(regexp_extract_all(lower(prompt), '([a-z0-9]+)', 1)) as w from r), q as (select task_family, min_by(w, case_id) as asked from t group by task_family), s as (select t.case_id, t.task_family, round(2e0 * size(array_intersect(asked, w)) / greatest(1, size(asked)), 9) as score from t join q on t.task_family = q.task_family) select case_id, task_family, score, rank from (select *, cast(row_number() over (partition by task_family order by score desc, case_id) as bigint) as rank from s) x where rank <= 5",
+        "with r as (select distinct case_id, task_family, prompt from eval_cases where prompt is not null), t as (select case_id, task_family, list_distinct(regexp_extract_all(lower(prompt), '[a-z0-9]+')) as w from r), q as (select task_family, arg_min(w, case_id) as asked from t group by task_family), s as (select t.case_id, t.task_family, round(2e0 * len(list_intersect(asked, w)) / greatest(1, len(asked)), 9) as score from t join q on t.task_family = q.task_family) select case_id, task_family, score, rank from (select *, cast(row_number() over (partition by task_family order by score desc, case_id) as bigint) as rank from s) x where rank <= 5",
     ),
-    "q_context_pack": "with o as (select l_orderkey, l_linenumber, cast(l_quantity as bigint) as n, sum(cast(l_quantity as bigint)) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice rows unbounded preceding) as used from lineitem) select l_orderkey, count(*) as kept, max(used) as tokens from o where used <= 100 group by l_orderkey",
+    "q_context_pack": "with o as (select l_orderkey, l_linenumber, cast(l_quantity as bigint) as n, sum(cast(l_quantity as bigint)) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice rows unbounded preceding) as used from lineitem) select l_orderkey, count(*) as kept, cast(max(used) as bigint) as tokens from o where used <= 100 group by l_orderkey",
     "q_page_hybrid": tuple(
         f"""with p as (select distinct file_id, page_start, chunk_id, text from chunks where text is not null and page_start is not null and file_id is not null),
           s as (select file_id, page_start, sum({size}(regexp_extract_all(lower(text), '(calibration|error)', 1))) as matches, sum(case when contains(lower(text), 'calibration error') then 1 else 0 end) as phrases from p group by file_id, page_start),

@@ -80,7 +80,7 @@ STATEMENTS: dict[str, str | tuple[str, str]] = {
     ),
     "q_weighted_rank": """with rule as (select p_partkey, p_type, p_size, max(p_size) over (partition by p_type) as top, p_retailprice / max(p_retailprice) over (partition by p_type) as sim from part),
       scored as (select p_partkey, p_type, round(0.65 * case when top = 0 then 0 else cast(p_size as double) / top end + 0.35 * greatest(0, sim), 9) as score from rule)
-      select p_partkey, p_type, score, rank from (select *, row_number() over (partition by p_type order by score desc, p_partkey) as rank from scored) t where rank <= 3""",
+      select p_partkey, p_type, score, rank from (select *, cast(row_number() over (partition by p_type order by score desc, p_partkey) as bigint) as rank from scored) t where rank <= 3""",
     "q_ordered_distinct": "select user_id, event_type, min(event_id) as first_id from events group by user_id, event_type",
     # keys, audits, governance
     "q_dup_keys": "select 'training_samples' as t, sample_id as k, count(*) as n from training_samples group by sample_id having count(*) > 1 union all select 'eval_cases', case_id, count(*) from eval_cases group by case_id having count(*) > 1",
