@@ -108,7 +108,7 @@ def p4_items(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(case_id, label); label is null where an item has neither a valid vote nor an adjudicated label."""
+    """(case_id, label); ties go to the label that stands first in LABELS, a null case_id is no item; label is null where an item has neither a valid vote nor an adjudicated label."""
     items, weights = p4_items(spark, sf_dir)
     return truths(items, weights.select("annotator", "w")).select("case_id", F.col("truth").alias("label"))
 

@@ -60,8 +60,11 @@ def build(df: DataFrame, keys: Sequence[str], code: str, weight: str) -> DataFra
     Counts per code are combined map-side first, so a hot key costs at most 2**BITS rows a task. Each code then adds
     to its ancestor on every level. Levels with few nodes are exact (row 0, bucket = node); on the others each row
     hashes the node to a bucket and a sign. The sketch is linear: union and sum of rows merges two sketches.
+
+    Rows with a null code or weight add nothing; a null key is a group of its own; repeated rows count as often as they
+    stand, so callers drop exact duplicates first; an empty table gives an empty sketch; other columns are ignored.
     """
-    counted = df.groupBy(*keys, code).agg(F.sum(weight).alias("n"))
+    counted = df.where(F.col(code).isNotNull() & F.col(weight).isNotNull()).groupBy(*keys, code).agg(F.sum(weight).alias("n"))
     level = F.col("level")
     nodes = counted.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(BITS)))).withColumn("node", F.expr(f"shiftright({code}, {BITS} - level)"))
     nodes = nodes.groupBy(*keys, "level", "node").agg(F.sum("n").alias("n"))

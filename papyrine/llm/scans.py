@@ -347,11 +347,14 @@ def noise(chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def chunk_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks by key, exact duplicates once."""
+    """Chunks by key, exact duplicates once; of rows that share a key one is kept."""
     return table(spark, sf_dir, "chunks").select("chunk_id", "file_id", "text", "section_path", "page_start", "page_end").dropDuplicates(["chunk_id"])
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per chunk and kind of noise. A chunk without a key, or with a null or empty text, is in no row; one
+    without a file has no header; without pages, only a number dressed as a page's counts. Repeated rows count once,
+    an empty table gives no rows, and columns beyond those named are ignored."""
     body, words, fixes = noise(cut(chunk_texts(spark, sf_dir)))
     kinds = [
         words.where("broken").select("chunk_id", F.lit("hyphen").alias("noise_kind")),
