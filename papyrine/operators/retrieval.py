@@ -91,10 +91,10 @@ def rrf(channels: Sequence[DataFrame], k: int = RRF_K) -> DataFrame:
     return union.groupBy("id").agg(F.round(F.sum(1 / (k + F.col("rank"))), 9).alias("score"))
 
 
-def lexical(query: str, text: Column) -> Column:
-    """Overlap of term counts with the query, and a bonus where the text holds the query itself."""
+def lexical(query: str, text: Column, terms: Column) -> Column:
+    """Overlap of term counts with the query, and a bonus where the text holds the query itself. `terms` are the text's
+    terms, computed once by the caller."""
     asked = Counter(query_terms(query))
-    terms = retrieval_terms(text)
     overlap = sum((F.least(F.size(F.filter(terms, _equals(term))), F.lit(c)) for term, c in asked.items()), F.lit(0))
     return F.round(overlap / max(1, sum(asked.values())) + F.when(F.contains(F.lower(text), F.lit(query.lower())), 0.25).otherwise(0.0), 9)
 
@@ -107,7 +107,8 @@ def hybrid(corpus: DataFrame, query: str, limit: int = FINAL) -> DataFrame:
     """(id, score, rank): fused candidates, reranked lexically and cut, then ordered by both scores together."""
     fused = rrf([exact(corpus, query), bm25(corpus, query), vector(corpus, query)])
     pool = top(fused, "score", "id", CANDIDATES * 3)
-    judged = corpus.select("id", "text").join(F.broadcast(pool), "id").select("id", F.col("score").alias("fused"), lexical(query, F.col("text")).alias("lex"))
+    found = corpus.select("id", "text").join(F.broadcast(pool), "id").select("id", "text", "score", retrieval_terms(F.col("text")).alias("terms"))
+    judged = found.select("id", F.col("score").alias("fused"), lexical(query, F.col("text"), F.col("terms")).alias("lex"))
     order = Window.orderBy(F.col("lex").desc(), F.col("fused").desc(), F.col("id").asc())
     kept = judged.withColumn("r", F.row_number().over(order)).where(F.col("r") <= min(FINAL, limit))
     final = kept.withColumn("score", F.round(F.col("fused") + F.col("lex"), 9))

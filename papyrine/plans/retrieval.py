@@ -47,7 +47,8 @@ def q_rrf(spark, d):
 
 
 def q_rerank(spark, d):
-    return R.top(corpus(spark, d).select("id", R.lexical(QUERY, F.col("text")).alias("score")).where("score > 0"), "score", "id", 30)
+    c = corpus(spark, d).select("id", "text", retrieval_terms(F.col("text")).alias("terms"))
+    return R.top(c.select("id", R.lexical(QUERY, F.col("text"), F.col("terms")).alias("score")).where("score > 0"), "score", "id", 30)
 
 
 def q_hybrid(spark, d):
