@@ -91,7 +91,16 @@ def q_budget_admit(spark, d):
     return D.admit(ordered, "user_id", "items", "cost", 50_000, keep_first=False).select("user_id", F.col("item.event_id").alias("event_id"))
 
 
-PYTHON = {f.__name__: f for f in (q_sentences, q_numbers, q_clean_markup, q_fingerprint, q_repeated_lines, q_chunk_pack, q_chunk_agg, q_chunk_links, q_headings, q_section_tree, q_section_closure, q_column_count, q_reading_order, q_summary_budget, q_budget_admit)}
+def q_context_admit(spark, d):
+    """Per order the items that fit a context of 100 in quantity, in order, skipping what would exceed it and going on
+    (q_context_pack and its SQL end at the first item that doesn't fit). No column marks an item as required."""
+    item = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", F.col("l_quantity").cast("bigint").alias("n"))
+    ordered = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    taken = D.admit(ordered, "l_orderkey", "items", "n", 100, keep_first=False)
+    return taken.groupBy("l_orderkey").agg(F.count("*").alias("kept"), F.sum("item.n").alias("tokens"))
+
+
+PYTHON = {f.__name__: f for f in (q_sentences, q_numbers, q_clean_markup, q_fingerprint, q_repeated_lines, q_chunk_pack, q_chunk_agg, q_chunk_links, q_headings, q_section_tree, q_section_closure, q_column_count, q_reading_order, q_summary_budget, q_budget_admit, q_context_admit)}
 
 _FOLD = """with recursive items as (select {key}, {id}, {n} as n, row_number() over (partition by {key} order by {id}) as k from {source}),
 walk({key}, k, used, {id}, taken) as (
@@ -139,6 +148,12 @@ _PYTHON_SQL = {
       select chunk_id, row_number() over (partition by file_id, page_start order by case when bbox[3] - bbox[1] > 400 then 0 when bbox[1] < 300 then 1 else 2 end, bbox[2], bbox[1], chunk_id) as position from c""",
     "q_summary_budget": _FOLD.format(key="file_id", id="chunk_id", n="length(text)", source="(select distinct file_id, chunk_id, text from chunks where text is not null and file_id is not null)", budget=3000, first="n", taken="true"),
     "q_budget_admit": _FOLD.format(key="user_id", id="event_id", n="cast(round(value * 100) as bigint)", source="events", budget=50000, first="case when n <= 50000 then n else 0 end", taken="n <= 50000"),
+    "q_context_admit": """with recursive items as (select l_orderkey, cast(l_quantity as bigint) as n, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) as k from lineitem),
+      walk(l_orderkey, k, used, n, taken) as (
+        select l_orderkey, k, case when n <= 100 then n else 0 end, n, n <= 100 from items where k = 1
+        union all
+        select w.l_orderkey, i.k, case when w.used + i.n <= 100 then w.used + i.n else w.used end, i.n, w.used + i.n <= 100 from walk w join items i on i.l_orderkey = w.l_orderkey and i.k = w.k + 1)
+      select l_orderkey, count(*) as kept, cast(sum(n) as bigint) as tokens from walk where taken group by l_orderkey""",
 }
 
 _SEQ = "seq as (select user_id, event_id, ts, event_type, value, props, cast(row_number() over (partition by user_id order by ts, event_id) as bigint) as n from events)"
