@@ -236,6 +236,7 @@ STATEMENTS: dict[str, str | tuple[str, str]] = {
     "q_traceability": "with c as (select distinct chunk_id, file_id from chunks), h as (select distinct chunk_id from search_hits where chunk_id is not null) select case when c.chunk_id is null then 'unknown_chunk' when c.file_id is null then 'no_file' else 'ok' end as finding, count(*) as n from h left join c on h.chunk_id = c.chunk_id group by case when c.chunk_id is null then 'unknown_chunk' when c.file_id is null then 'no_file' else 'ok' end",
     "q_claim_links": "with h as (select distinct hit_id, query_id, chunk_id, file_id from search_hits), c as (select distinct chunk_id, file_id, page_start from chunks) select h.hit_id, case when h.chunk_id is null then 'missing' when c.chunk_id is null then 'unknown' when h.file_id is null or h.file_id <> c.file_id then 'unlinked' when c.page_start is null or c.page_start < 1 then 'invalid' else 'ok' end as issue from h left join c on h.chunk_id = c.chunk_id",
     "q_comparison_matrix": "with c as (select distinct case_id, system_id, claim_support_rate from case_scores where system_id in ('critic', 'verifier', 'evidence')), cases as (select distinct case_id from c), dims as (select distinct system_id from c) select k.case_id, d.system_id, count(c.claim_support_rate) as n, count(c.claim_support_rate) = 0 as missing from cases k cross join dims d left join c on c.case_id = k.case_id and c.system_id = d.system_id group by k.case_id, d.system_id",
+    "q_comparison_all": "with c as (select distinct case_id, system_id, claim_support_rate from case_scores), cases as (select distinct case_id from c), dims as (select distinct system_id from c where system_id is not null), s as (select case_id, system_id, count(claim_support_rate) as n from c group by case_id, system_id) select k.case_id, d.system_id, coalesce(s.n, 0) as n, coalesce(s.n, 0) = 0 as missing from cases k cross join dims d left join s on s.case_id is not distinct from k.case_id and s.system_id = d.system_id",
     "q_paper_card": ("select paper_id, min_by(source, doc_id) as source, count(distinct doc_kind) as kinds, count(case when lang is null then 1 end) as missing_lang from documents where paper_id is not null group by paper_id", "select paper_id, arg_min(source, doc_id) as source, count(distinct doc_kind) as kinds, count(case when lang is null then 1 end) as missing_lang from documents where paper_id is not null group by paper_id"),
     "q_evidence_map": "select doc_id, cast(row_number() over (partition by paper_id order by doc_id) as bigint) as statement, source is not null and text is not null as allowed_as_fact from documents where paper_id is not null",
     "q_evidence_matrix": "select r.paper_id, h.query_id, count(distinct h.chunk_id) as evidence from (select distinct query_id, chunk_id, file_id from search_hits where chunk_id is not null) h join (select distinct file_id, paper_id from render_samples where paper_id is not null) r on h.file_id = r.file_id group by r.paper_id, h.query_id",

@@ -8,6 +8,7 @@ _SCORES = "scores as (select distinct * from case_scores)"
 _DOCS = "docs as (select distinct sample_id, task_type, source, dataset_split, license, privacy, consent_id, anonymized, sft_target, chosen, rejected from training_samples)"
 _CASES = "cases as (select distinct case_id, task_family, difficulty, split, language, paper_type, prompt, source_id, source_cluster_id, authorization_status, text_fingerprint, usable_for_training from eval_cases)"
 
+
 STATEMENTS: dict[str, str | tuple[str, str]] = {
     # joins
     "q_join_inner": "select o.o_orderkey, c.c_name, n.n_name from orders o join customer c on o.o_custkey = c.c_custkey join nation n on c.c_nationkey = n.n_nationkey where c.c_acctbal > 0 and o.o_orderstatus = 'F'",
@@ -53,6 +54,10 @@ STATEMENTS: dict[str, str | tuple[str, str]] = {
         f"with {_SCORES} select coalesce(system_id, 'system') as category, count(*) as n, array_join(array_sort(collect_set(case_id)), ',') as cases from scores where not task_success and latency_ms = 600000 group by coalesce(system_id, 'system')",
         f"with {_SCORES} select coalesce(system_id, 'system') as category, count(*) as n, array_to_string(list_sort(list(distinct case_id)), ',') as cases from scores where not task_success and latency_ms = 600000 group by coalesce(system_id, 'system')",
     ),
+    # all failed rows and all systems; q_failure_clusters and q_comparison_matrix hold a part of them, as their SQL does. There is no column of error codes
+    "q_failure_members": f"""with {_SCORES}, f as (select coalesce(system_id, 'system') as category, case_id, count(*) as n from scores where not task_success group by coalesce(system_id, 'system'), case_id),
+      t as (select category, cast(sum(n) as bigint) as failures from f group by category)
+      select f.category, f.case_id, f.n, t.failures from f join t on f.category = t.category""",
     "q_top_failures": f"with {_SCORES} select coalesce(system_id, 'system') as category, count(*) as n from scores where not task_success group by coalesce(system_id, 'system') order by n desc, category limit 3",
     "q_coverage": f"with {_CASES} select task_family, difficulty, language, paper_type, count(*) as n from cases group by grouping sets ((task_family), (difficulty), (language), (paper_type))",
     "q_marginal": f"""with {_SCORES}, per as (select system_id, avg(case when task_success then 1e0 else 0e0 end) as mean from scores where system_id is not null group by system_id)
