@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from papyrine.plans.sql import registered
 
 _SCORES = "scores as (select distinct * from case_scores)"
@@ -9,6 +11,11 @@ _DOCS = "docs as (select distinct sample_id, task_type, source, dataset_split, l
 _CASES = "cases as (select distinct case_id, task_family, difficulty, split, language, paper_type, prompt, source_id, source_cluster_id, authorization_status, text_fingerprint, usable_for_training from eval_cases)"
 
 
+def _split(letters: str) -> Callable[[str], str]:
+    """The statement's norm_split, given how the engine drops all but letters."""
+    return lambda c: (lambda w: f"case when {w} in ('train', 'training') then 'train' when {w} in ('validation', 'val', 'dev', 'valid') then 'validation' when {w} = 'test' then 'test' end")(f"lower({letters.format(c)})")
+
+
 STATEMENTS: dict[str, str | tuple[str, str]] = {
     # joins
     "q_join_inner": "select o.o_orderkey, c.c_name, n.n_name from orders o join customer c on o.o_custkey = c.c_custkey join nation n on c.c_nationkey = n.n_nationkey where c.c_acctbal > 0 and o.o_orderstatus = 'F'",
@@ -91,6 +98,15 @@ STATEMENTS: dict[str, str | tuple[str, str]] = {
     "q_dup_keys": "select 'training_samples' as t, sample_id as k, count(*) as n from training_samples group by sample_id having count(*) > 1 union all select 'eval_cases', case_id, count(*) from eval_cases group by case_id having count(*) > 1",
     "q_leakage": f"""with {_CASES}, keys as (select 'source' as kind, source_cluster_id as k, split from cases union all select 'fingerprint', text_fingerprint, split from cases)
       select kind, k, count(distinct lower(trim(split))) as splits, count(*) as n from keys where k is not null and split is not null group by kind, k having count(distinct lower(trim(split))) > 1""",
+    # every key that both tables hold, of which q_leakage sees two of eval_cases alone; no column holds an embedding cluster. Splits as in norm_split
+    "q_leakage_all": tuple(
+        f"""with rows as (select distinct 'eval_cases' as t, case_id as id, {norm("split")} as split, paper_ids, conversation_ids, source_cluster_id, text_fingerprint from eval_cases
+          union select 'training_samples', sample_id, {norm("dataset_split")}, paper_ids, conversation_ids, cast(null as {string}), cast(null as {string}) from training_samples),
+          keys as (select t, id, split, 'paper' as kind, {each}(paper_ids) as k from rows union select t, id, split, 'conversation', {each}(conversation_ids) from rows
+          union select t, id, split, 'source', source_cluster_id from rows union select t, id, split, 'fingerprint', text_fingerprint from rows)
+          select t, kind, k, count(distinct split) as splits, count(*) as n from keys where k is not null and split is not null group by t, kind, k having count(distinct split) > 1"""
+        for norm, each, string in ((_split("regexp_replace({}, '[^A-Za-z]', '')"), "explode", "string"), (_split("regexp_replace({}, '[^A-Za-z]', '', 'g')"), "unnest", "varchar"))
+    ),
     "q_row_validators": f"""with {_DOCS} select sample_id, case when sft_target is not null and (chosen is not null or rejected is not null) then 1 else 0 end as both_targets, case when sft_target is null and (chosen is null or rejected is null) then 1 else 0 end as no_target,
       case when privacy = 'private_consented' and consent_id is null then 1 else 0 end as consent_missing, case when anonymized then 0 else 1 end as not_anonymised from docs""",
     "q_param_validity": f"with {_SCORES} select system_id, count(case when task_success then 1 end) as valid, count(task_success) as known, round(cast(count(case when task_success then 1 end) as double) / nullif(count(task_success), 0), 9) as rate from scores group by system_id",

@@ -19,3 +19,10 @@ def test_failures_of_any_latency_and_all_systems(spark, folder):
     assert sorted(map(tuple, got)) == [("critic", "a", 2, 2), ("system", "b", 1, 1)]
     got = documents.QUERIES["q_comparison_all"](spark, folder.path).collect()
     assert sorted(map(tuple, got)) == [("a", "critic", 1, False), ("a", "hybrid", 0, True), ("b", "critic", 0, True), ("b", "hybrid", 1, False)]
+
+
+def test_leakage_of_papers_and_conversations_in_both_tables(spark, folder):
+    folder("eval_cases", [("a", "Train ", ["p", "q"], ["c"], None, None), ("b", "test", ["p"], None, "s", "f"), ("d", "TRAINING", ["q"], [], "s", "g"), ("e", "dev", [], ["c"], None, None)], "case_id string, split string, paper_ids array<string>, conversation_ids array<string>, source_cluster_id string, text_fingerprint string")
+    folder("training_samples", [("x", "train", ["r"], ["k"]), ("y", "val", ["r"], None), ("z", "none", ["q"], ["k"])], "sample_id string, dataset_split string, paper_ids array<string>, conversation_ids array<string>")
+    got = relational.QUERIES["q_leakage_all"](spark, folder.path).collect()
+    assert sorted(map(tuple, got)) == [("eval_cases", "conversation", "c", 2, 2), ("eval_cases", "paper", "p", 2, 2), ("eval_cases", "source", "s", 2, 2), ("training_samples", "paper", "r", 2, 2)]
