@@ -8,8 +8,10 @@ them before anything is exploded, so a shuffle carries matching terms only.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,6 +83,47 @@ def vector(corpus: DataFrame, query: str, n: int = CANDIDATES) -> DataFrame:
     return top(scored.where("score > 0"), "score", "id", n)
 
 
+def nearest(queries: DataFrame, rows: DataFrame, n: int = CANDIDATES, block: int = 2048, query_block: int = 512) -> DataFrame:
+    """(query_id, vec_id, score, rank): for each query (query_id, embedding) the n rows (vec_id, embedding) with the best
+    positive cosine, rounded to 6 digits, then by vec_id. Blocks of queries meet blocks of rows, each pair of blocks gives its own n best
+    a query, and those are merged. Vectors that are null, or of another length than the query, match nothing."""
+
+    def blocks(df: DataFrame, key: str, ids: str, vectors: str, size: int) -> DataFrame:
+        """Rows dealt to blocks of about `size` by partition and place in it, so that no key makes a block large."""
+        dealt = df.where("embedding is not null").select(F.col(key), "embedding", F.spark_partition_id().alias("part"), F.floor(F.monotonically_increasing_id() % (1 << 33) / size).alias("no"))
+        return dealt.groupBy("part", "no").agg(F.collect_list(F.struct(F.col(key).alias("id"), F.col("embedding").alias("v"))).alias("b")).select(F.transform("b", lambda x: x["id"]).alias(ids), F.transform("b", lambda x: x["v"]).alias(vectors))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.itertuples():
+                yield from _best_of(r.qids, r.qs, r.ids, r.vs, n)
+
+    pairs = blocks(queries, "query_id", "qids", "qs", query_block).crossJoin(blocks(rows, "vec_id", "ids", "vs", block))
+    found = pairs.mapInPandas(run, "query_id bigint, vec_id bigint, score double")
+    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id").asc())
+    return found.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= n)
+
+
+def _best_of(qids: Sequence[int], qs: Sequence, ids: Sequence[int], vs: Sequence, n: int) -> Iterator[pd.DataFrame]:
+    """The n best pairs of each query within two blocks, a frame for each length of vector."""
+
+    def unit(vectors: Sequence, length: int) -> tuple[np.ndarray, np.ndarray]:
+        at = np.array([i for i, v in enumerate(vectors) if len(v) == length])
+        m = np.array([vectors[i] for i in at], dtype="float64").reshape(len(at), length)
+        norm = np.linalg.norm(m, axis=1, keepdims=True)
+        return at, m / np.where(norm == 0, np.inf, norm)
+
+    for length in {len(q) for q in qs}:
+        (qat, q), (at, v) = unit(qs, length), unit(vs, length)
+        if not len(at):
+            continue
+        own, scores = np.asarray(ids)[at], np.round(q @ v.T, 6)
+        for k, row in enumerate(scores):
+            best = np.lexsort((own, -row))[:n]
+            best = best[row[best] > 0]
+            yield pd.DataFrame({"query_id": np.full(len(best), qids[qat[k]], dtype="int64"), "vec_id": own[best].astype("int64"), "score": row[best]})
+
+
 def rrf(channels: Sequence[DataFrame], k: int = RRF_K) -> DataFrame:
     """(id, score): reciprocal rank fusion of short ranked lists."""
     w = Window.orderBy(F.col("score").desc(), F.col("id").asc())

@@ -62,6 +62,12 @@ def q_vector_topk(spark, d):
     return R.top(scored.where("score > 0"), "score", "vec_id", 30)
 
 
+def q_vector_search(spark, d):
+    """The 30 nearest of all vectors for each whose id is divisible by 100; q_vector_topk and its SQL have the query 0 alone."""
+    e = table(spark, d, "embeddings")
+    return R.nearest(e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), e.select("vec_id", "embedding"))
+
+
 def q_cosine(spark, d):
     """Cosine of every vector with the mean vector of its label's first member."""
     e = table(spark, d, "embeddings")
@@ -130,7 +136,7 @@ def q_scan_scoped(spark, d):
     return table(spark, d, "chunks").select("chunk_id", "file_id", "page_start").join(scope, "file_id", "left_semi").distinct()
 
 
-QUERIES = {f.__name__: f for f in (q_terms, q_exact, q_exact_count, q_bm25, q_hash_embed, q_rrf, q_rerank, q_hybrid, q_vector_topk, q_cosine, q_sparse_cosine, q_balanced_topk, q_adjacent, q_expand_section, q_section_scope, q_ir_metrics, q_scan_scoped)}
+QUERIES = {f.__name__: f for f in (q_terms, q_exact, q_exact_count, q_bm25, q_hash_embed, q_rrf, q_rerank, q_hybrid, q_vector_topk, q_vector_search, q_cosine, q_sparse_cosine, q_balanced_topk, q_adjacent, q_expand_section, q_section_scope, q_ir_metrics, q_scan_scoped)}
 
 _CORPUS = "corpus as (select distinct chunk_id as id, file_id, text, section_path, page_start from chunks where text is not null)"
 _TERMS = r"""list_concat(regexp_extract_all(lower({0}), '[a-z0-9]+(?:[_.-][a-z0-9]+)*'),
@@ -173,6 +179,9 @@ SQL = {
       select id, round(fused + lex, 9) as score, row_number() over (order by round(fused + lex, 9) desc, fused desc, id) as rank from kept""",
     "q_vector_topk": """with p as (select cast(embedding as double[]) as q from embeddings where vec_id = 0)
       select vec_id, round(list_cosine_similarity(cast(embedding as double[]), q), 6) as score from embeddings, p where round(list_cosine_similarity(cast(embedding as double[]), q), 6) > 0 order by score desc, vec_id limit 30""",
+    "q_vector_search": """with q as (select vec_id as query_id, cast(embedding as double[]) as q from embeddings where vec_id % 100 = 0),
+      s as (select query_id, vec_id, round(list_cosine_similarity(cast(embedding as double[]), q), 6) as score from q cross join embeddings),
+      r as (select query_id, vec_id, score, row_number() over (partition by query_id order by score desc, vec_id) as rank from s where score > 0) select * from r where rank <= 30""",
     "q_cosine": """with f as (select label, arg_min(embedding, vec_id) as q from embeddings group by label)
       select vec_id, round(list_cosine_similarity(cast(embedding as double[]), cast(q as double[])), 6) as score from embeddings join f using (label)""",
     "q_sparse_cosine": f"""with {_WITH_TERMS}, tf as (select file_id, id, term, count(*) as n from (select c.file_id, id, unnest(t) as term from terms join corpus c using (id) where c.file_id is not null) group by all),

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from papyrine.plans import documents, relational
+from papyrine.operators import retrieval as R
+from papyrine.plans import documents, relational, retrieval
 
 
 def test_context_admit_goes_on_after_an_overflow(spark, folder):
@@ -26,3 +27,13 @@ def test_leakage_of_papers_and_conversations_in_both_tables(spark, folder):
     folder("training_samples", [("x", "train", ["r"], ["k"]), ("y", "val", ["r"], None), ("z", "none", ["q"], ["k"])], "sample_id string, dataset_split string, paper_ids array<string>, conversation_ids array<string>")
     got = relational.QUERIES["q_leakage_all"](spark, folder.path).collect()
     assert sorted(map(tuple, got)) == [("eval_cases", "conversation", "c", 2, 2), ("eval_cases", "paper", "p", 2, 2), ("eval_cases", "source", "s", 2, 2), ("training_samples", "paper", "r", 2, 2)]
+
+
+def test_every_hundredth_vector_is_searched(spark, folder):
+    rows = [(0, [1.0, 0.0], 0), (100, [0.0, 2.0], 0), (7, [1.0, 1.0], 0), (8, [-1.0, 0.0], 0), (9, None, 0), (200, [0.0, 0.0], 0)]
+    folder("embeddings", rows, "vec_id bigint, embedding array<float>, label int")
+    got = retrieval.QUERIES["q_vector_search"](spark, folder.path).collect()
+    assert sorted(map(tuple, got)) == [(0, 0, 1.0, 1), (0, 7, 0.707107, 2), (100, 7, 0.707107, 2), (100, 100, 1.0, 1)]
+    e = spark.read.parquet(f"{folder.path}/embeddings.parquet")
+    small = R.nearest(e.where("vec_id % 100 = 0").select(e.vec_id.alias("query_id"), "embedding"), e.select("vec_id", "embedding"), 2, 1, 1).collect()
+    assert sorted(map(tuple, small)) == sorted(map(tuple, got))
