@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
-from papyrine.plans.sql import registered
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from papyrine.plans.runtime import cut
+from papyrine.plans.sql import registered, run
 
 _SCORES = "scores as (select distinct * from case_scores)"
 _DOCS = "docs as (select distinct sample_id, task_type, source, dataset_split, license, privacy, consent_id, anonymized, sft_target, chosen, rejected from training_samples)"
@@ -150,5 +155,23 @@ STATEMENTS["q_paired_bootstrap"] = tuple(
     .replace("claim_support_rate is not null)", "claim_support_rate is not null and omission_rate is not null)")
     for s in STATEMENTS["q_bootstrap_ci"]
 )
+#: The reference's number of resamples; q_bootstrap_ci and q_paired_bootstrap, like their SQL, draw 100.
+RESAMPLES = 2000
+#: Parts that the draws are made in, since few rows mean much work here.
+PARTS = 48
+_WHOLE = {f"{name}_{RESAMPLES}": tuple(s.replace("range(100)", f"range({RESAMPLES})") for s in STATEMENTS[name]) for name in ("q_bootstrap_ci", "q_paired_bootstrap")}
+
+
+def resampled(spark: SparkSession, sf_dir: str, statement: str) -> DataFrame:
+    """What the statement says, its values (v) written once, dealt to all cores and drawn there: every group's own
+    values, as many as it has, RESAMPLES times."""
+    v = cut(run(spark, sf_dir, statement[: statement.index(",\n          b as")] + " select * from v"))
+    at = F.pmod(F.conv(F.substring(F.md5(F.concat(F.col("b").cast("string"), F.lit(":"), F.col("i").cast("string"))), 1, 12), 16, 10).cast("bigint"), F.col("n"))
+    draws = v.repartition(PARTS, "system_id", "i").select("system_id", "i", "n", F.explode(F.sequence(F.lit(0), F.lit(RESAMPLES - 1))).alias("b")).select("system_id", "b", at.alias("i"))
+    means = draws.join(v.select("system_id", "i", "x"), ["system_id", "i"]).groupBy("system_id", "b").agg((F.sum("x").cast("double") / F.count("*")).alias("m"))
+    return means.groupBy("system_id").agg(*(F.round(F.percentile("m", p), 6).alias(name) for name, p in (("lo", 0.025), ("hi", 0.975))))
+
 
 QUERIES, SQL = registered(STATEMENTS)
+for _name, (_here, _there) in _WHOLE.items():
+    QUERIES[_name], SQL[_name] = functools.partial(resampled, statement=_here), _there

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+from papyrine.functions.vectorized import percentile
 from papyrine.operators import retrieval as R
 from papyrine.plans import documents, relational, retrieval
 
@@ -37,3 +40,10 @@ def test_every_hundredth_vector_is_searched(spark, folder):
     e = spark.read.parquet(f"{folder.path}/embeddings.parquet")
     small = R.nearest(e.where("vec_id % 100 = 0").select(e.vec_id.alias("query_id"), "embedding"), e.select("vec_id", "embedding"), 2, 1, 1).collect()
     assert sorted(map(tuple, small)) == sorted(map(tuple, got))
+
+
+def test_bootstrap_draws_two_thousand_times(spark, folder):
+    folder("case_scores", [(i, "a", "s", True, i / 10, 0.1, 1) for i in range(10)], "score_id bigint, case_id string, system_id string, task_success boolean, claim_support_rate double, omission_rate double, latency_ms bigint")
+    means = [sum(100 * (int(hashlib.md5(f"{b}:{i}".encode()).hexdigest()[:12], 16) % 10) for i in range(10)) / 10 for b in range(2000)]
+    want = ("s", round(percentile(means, 0.025), 6), round(percentile(means, 0.975), 6))
+    assert [tuple(r) for r in relational.QUERIES["q_bootstrap_ci_2000"](spark, folder.path).collect()] == [want]
