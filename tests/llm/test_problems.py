@@ -224,30 +224,59 @@ def test_groups_of_nothing(spark, folder):
 # 6
 
 
-def test_codes_keep_order_and_decode_within_bounds(spark):
-    values = sorted({*range(3000), *(random.Random(6).randrange(2**49) for _ in range(2000))})
-    df = spark.createDataFrame([(v,) for v in values], "v bigint").select("v", quantiles.encode(F.col("v")).alias("c")).orderBy("v").collect()
-    codes = np.array([r.c for r in df])
-    assert (np.diff(codes) >= 0).all() and codes.max() < 2**quantiles.BITS
-    back = quantiles.decode(codes)
-    assert (np.abs(back - np.array(values)) <= np.array(values) * 2.0 ** -(quantiles.MANTISSA + 1) + 1e-9).all()
+def test_codes_keep_order_and_decode_within_bounds():
+    source = np.random.default_rng(6)
+    values = np.unique(np.concatenate([np.arange(-300, 300), source.normal(0, 1e6, 2000), source.integers(-(2**62), 2**62, 500).astype(float), [0.0, -0.0, 1e-300, -1e300]]))
+    codes = quantiles.codes_of(values)
+    assert (np.diff(codes) >= 0).all() and codes.min() >= 0 and codes.max() < 2**quantiles.BITS
+    back = np.array([quantiles.value_of(c) for c in codes])
+    assert (np.abs(back - values) <= np.abs(values) * 2.0**-28).all() and [quantiles.value_of(c) for c in quantiles.codes_of(np.array([-7.0, 0.0, 600000.0]))] == [-7.0, 0.0, 600000.0]
+
+
+def exact_rank_within(ordered, value, q, slack):
+    n = len(ordered)
+    return np.searchsorted(ordered, value) - slack * n <= np.ceil(q * n) <= np.searchsorted(ordered, value, side="right") + slack * n
 
 
 def test_sketch_ranks_merges_and_deletions(spark):
     source = np.random.default_rng(7)
-    values = np.concatenate([source.lognormal(9, 1.5, 6000).astype(int) + 1, np.full(3000, 777)])
-    df = spark.createDataFrame([("a", int(i % 3), int(v)) for i, v in enumerate(values)], "k string, day int, v bigint")
-    rows = df.select("k", "day", quantiles.encode(F.col("v")).alias("code"), F.lit(1).alias("weight"))
-    junk = spark.createDataFrame([("a", 0, 10**9 + i) for i in range(2000)], "k string, day int, v bigint").select("k", "day", quantiles.encode(F.col("v")).alias("code"), F.lit(1).alias("weight"))
-    added = quantiles.build(rows.unionByName(junk), ["k", "day"], "code", "weight")
-    removed = quantiles.build(junk.withColumn("weight", F.lit(-1)), ["k", "day"], "code", "weight")
+    values = np.concatenate([source.lognormal(9, 1.5, 6000), -source.lognormal(3, 1, 2000), np.full(3000, 777.0)])
+    df = spark.createDataFrame([("a", int(i % 3), float(v), 1, "x") for i, v in enumerate(values)] + [("a", 0, None, 1, ""), ("a", 0, float("nan"), 1, ""), ("a", 0, 5.0, None, "")], "k string, day int, v double, w int, sketch string")
+    junk = spark.createDataFrame([("a", 0, 1e9 + i) for i in range(4000)], "k string, day int, v double")
+    added = quantiles.build(df.drop("sketch").unionByName(junk.withColumn("w", F.lit(1))), ["k", "day"], "v", "w")
+    removed = quantiles.build(junk.withColumn("w", F.lit(-1)), ["k", "day"], "v", "w")
     merged = quantiles.merge(added.unionByName(removed), ["k"])
+    whole = quantiles.build(df, ["k"], "v", "w")
     ordered = np.sort(values)
-    for r in quantiles.percentiles(merged, ["k"], [0.1, 0.5, 0.9, 0.99]).collect():
-        assert r.n == len(values)
-        low, high = np.searchsorted(ordered, r.value * (1 - 1e-3)), np.searchsorted(ordered, r.value * (1 + 1e-3), side="right")
-        assert low - 0.01 * r.n <= r.q * r.n <= high + 0.01 * r.n
-    assert quantiles.percentiles(quantiles.build(rows.limit(0), ["k"], "code", "weight"), ["k"], [0.5]).count() == 0
+    got, direct = (sorted(map(tuple, quantiles.percentiles(s, ["k"], [0.1, 0.5, 0.9, 0.99]).collect())) for s in (merged, whole))
+    assert got == direct and all(n == len(values) and exact_rank_within(ordered, v, q, quantiles.EPS) for _, q, n, v in got)
+    assert quantiles.percentiles(quantiles.build(df.limit(0), ["k"], "v"), ["k"], [0.5]).count() == 0
+    assert quantiles.percentiles(removed, ["k", "day"], [0.5]).count() == 0
+
+
+def test_null_keys_are_a_group(spark):
+    df = spark.createDataFrame([(None, 1), (None, 3), (2, 7)], "k bigint, v int")
+    assert sorted((str(r.k), r.n, r.value) for r in quantiles.percentiles(quantiles.build(df, ["k"], "v"), ["k"], [0.5]).collect()) == [("2", 1, 7.0), ("None", 2, 1.0)]
+
+
+def test_sketches_do_not_grow_with_what_they_hold():
+    source = np.random.default_rng(8)
+    sizes = []
+    for n in (4_000, 40_000, 400_000, 4_000_000):
+        values = source.lognormal(9, 1.5, n)
+        s = quantiles.Sketch().add(quantiles.codes_of(values), np.ones(n, dtype=np.int64))
+        sizes.append(s.cells.nbytes + s.top.nbytes)
+        assert all(exact_rank_within(np.sort(values), s.value(q), q, quantiles.EPS) for q in (0.01, 0.5, 0.9, 0.99, 0.999))
+        assert np.array_equal(quantiles.Sketch.load(s.dump()).cells, s.cells)
+    assert len(set(sizes)) == 1
+
+
+def test_absurd_token_counts_are_no_measurements(spark, folder):
+    rows = [(i, "s", 100 + i, 1000 + 10 * i, "2024-01-01 00:00:00") for i in range(200)]
+    rows += [(900, "s", -1, 50_000_000, "2024-01-01 00:00:00"), (901, "s", 0, -5, "2024-01-01 00:00:00"), (902, None, 7, 7, "2024-01-01 00:00:00"), (903, "s", 7, 7, None), (0, "s", 100, 1000, "2024-01-01 00:00:00"), (904, "s", None, None, "2024-01-01 00:00:00")]
+    df = spark.createDataFrame(rows, "score_id bigint, system_id string, latency_ms bigint, total_tokens bigint, r string").withColumn("recorded_at", F.col("r").cast("timestamp"))
+    df.write.parquet(f"{folder.path}/case_scores.parquet")
+    assert {(r.metric, r.n) for r in quantiles.p6_percentiles(spark, folder.path).collect()} == {("latency_ms", 200), ("total_tokens", 200)}
 
 
 # 7
