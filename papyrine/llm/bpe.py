@@ -5,7 +5,6 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass
 from pathlib import Path
 
 import pandas as pd
@@ -21,9 +20,14 @@ TOKENIZERS = "/opt/tokenizers"
 BYTE_BPE_50K = "byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters of a leaf of the tree. Shorter texts are one leaf.
-LEAF = 8192
-#: How far beyond a match the pattern can look: a contraction's letters, or the character after white space.
-LOOKAHEAD = 3
+LEAF = 256
+#: Where every scan of the pattern begins a new match, wherever it came from: behind a letter or digit before a character of
+#: another kind, and behind a mark before a letter, digit or space. Apostrophes may begin a contraction and are left out; so
+#: are rare characters, whose kind may differ between versions of Unicode.
+_LETTER, _DIGIT, _MARK, _SPACE = "A-Za-zÀ-ÖØ-öø-ʯΑ-Ωα-ωА-яぁ-ゖァ-ヺ一-鿿", "0-9", "!-&(-/:-@\\[-`{-~，。；：、（）《》“”！？—…", " \n"
+SYNC = regex.compile(f"(?<=[{_LETTER}])(?=[{_DIGIT}{_MARK}{_SPACE}])|(?<=[{_DIGIT}])(?=[{_LETTER}{_MARK}{_SPACE}])|(?<=[{_MARK}])(?=[{_LETTER}{_DIGIT}{_SPACE}])")
+#: The first characters of the window over a border, on each side.
+WINDOW = 16
 
 _encodings: dict[str, tiktoken.Encoding] = {}
 
@@ -37,60 +41,46 @@ def encoding_of(ranks: bytes) -> tiktoken.Encoding:
     return _encodings[key]
 
 
-@dataclass
-class Part:
-    """An encoded stretch [start, end) of a text: its pre-tokens' starts, and ids by pre-token."""
-
-    start: int
-    end: int
-    starts: list[int]
-    ids: list[list[int]]
-
-
 class TreeEncoder:
     """Encodes halves recursively and joins neighbours by re-encoding a window over their border.
 
-    Ids never cross a pre-token, and the pattern scans from left to right without looking back, so the scan from any
-    position depends on the text after it alone. Joining two parts, the left one's pre-tokens that end more than
-    LOOKAHEAD before the border are final. The window begins at the first that isn't and grows by one pre-token at a
-    time until the scan meets a start of the right part: from there both scans are the same, and the right part's
-    remaining ids hold.
+    No id crosses a point of SYNC, and the ids between two such points depend on the text between them alone, up to the
+    character after the second. Joining two parts, the window begins at the last such point that lies in the left part, one
+    character or more before its end, and ends at the first one in the right part; it is sought in stretches that grow until
+    it is found, up to the whole part. The ids outside the window hold; those inside are encoded anew. How many ids of a part
+    lie in the window is known by encoding its share of the window as the part had it.
     """
 
     def __init__(self, encoding: tiktoken.Encoding, leaf: int = LEAF) -> None:
         self.encoding, self.leaf = encoding, leaf
-        self.pattern = regex.compile(PATTERN)
 
     def encode(self, text: str) -> list[int]:
-        if len(text) <= self.leaf:
-            return self.encoding.encode_ordinary(text)
-        return [i for ids in self.part(text, 0, len(text)).ids for i in ids]
+        return self.part(text, 0, len(text))
 
-    def part(self, text: str, start: int, end: int) -> Part:
+    def part(self, text: str, start: int, end: int) -> list[int]:
         if end - start <= self.leaf:
-            words = [(m.start(), m.group()) for m in self.pattern.finditer(text[start:end])]
-            return Part(start, end, [start + s for s, _ in words], [self.encoding.encode_ordinary(w) for _, w in words])
+            return self.encoding.encode_ordinary(text[start:end])
         middle = (start + end) // 2
-        return self.join(text, self.part(text, start, middle), self.part(text, middle, end))
-
-    def join(self, text: str, left: Part, right: Part) -> Part:
-        kept = len(left.starts)
-        while kept and (left.starts[kept] if kept < len(left.starts) else left.end) > left.end - LOOKAHEAD:
-            kept -= 1
-        at = left.starts[kept] if kept < len(left.starts) else left.end
-        starts, ids, r = left.starts[:kept], left.ids[:kept], 0
-        while at < right.end:
-            while r < len(right.starts) and right.starts[r] < at:
-                r += 1
-            if r < len(right.starts) and right.starts[r] == at:
+        return self.join(text, start, middle, end, self.part(text, start, middle), self.part(text, middle, end))
+
+    def join(self, text: str, start: int, middle: int, end: int, left: list[int], right: list[int]) -> list[int]:
+        encode = self.encoding.encode_ordinary
+        at, width = start, WINDOW
+        while middle - width > start:
+            found = [m.start() for m in SYNC.finditer(text, middle - width, middle) if middle - width < m.start() < middle]
+            if found:
+                at = found[-1]
+                break
+            width *= 2
+        to, width = end, WINDOW
+        while middle + width < end:
+            m = SYNC.search(text, middle + 1, middle + width)
+            if m and middle + 1 < m.start() < middle + width:
+                to = m.start()
                 break
-            m = self.pattern.match(text, at, right.end)
-            starts.append(at)
-            ids.append(self.encoding.encode_ordinary(m.group()))
-            at = m.end()
-        else:
-            r = len(right.starts)
-        return Part(left.start, right.end, starts + right.starts[r:], ids + right.ids[r:])
+            width *= 2
+        kept = len(left) - len(encode(text[at:middle]))
+        return left[:kept] + encode(text[at:to]) + right[len(encode(text[middle:to])) :]
 
     def decode(self, ids: list[int]) -> str:
         """Bytes of the halves, put together up the tree; characters may cross a border, so text is made last."""
@@ -140,10 +130,29 @@ def spread_scan(df: DataFrame, column: str) -> DataFrame:
     return df.repartition(wanted, column) if df.rdd.getNumPartitions() < cores else df
 
 
+def decode_column(df: DataFrame, key: str, ids: str, ranks: bytes) -> DataFrame:
+    """(key, text) of every row (key, ids): no ids are an empty text, null ids a null one."""
+    shared = df.sparkSession.sparkContext.broadcast(ranks)
+    kind = dict(df.dtypes)[key]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tree = TreeEncoder(encoding_of(shared.value))
+        for pdf in batches:
+            yield pd.DataFrame({"k": pdf["k"], "text": [None if x is None else tree.decode(list(x)) for x in pdf["ids"]]})
+
+    return df.select(F.col(key).alias("k"), F.col(ids).alias("ids")).mapInPandas(run, f"k {kind}, text string").withColumnRenamed("k", key)
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     return encode_column(spread_scan(documents, "doc_id"), "doc_id", "text", rank_file())
 
 
-QUERIES = {"p8_ids": p8_ids}
-SQL: dict[str, str] = {}
+def p8_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_chars, digest) of every document's text after encoding and decoding: the round trip of the whole corpus."""
+    texts = decode_column(p8_ids(spark, sf_dir), "doc_id", "ids", rank_file())
+    return texts.select("doc_id", F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("digest"))
+
+
+QUERIES = {"p8_ids": p8_ids, "p8_decoded": p8_decoded}
+SQL = {"p8_decoded": "select doc_id, length(text) as n_chars, md5(text) as digest from documents"}

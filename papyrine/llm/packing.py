@@ -18,8 +18,8 @@ from papyrine.sources.tables import table
 CAPACITY = 2048
 #: Sequence lengths a container may be downsized to once it is full.
 LENGTHS = (256, 512, 1024, 2048)
-#: Buckets of items that are numbered on their own; the numbering holds one row per bucket and size.
-BUCKETS = 256
+#: Items of a size that are numbered in one task, at most about so many; and the least number of buckets that a size is dealt to.
+BUCKET_ITEMS, LEAST_BUCKETS = 100_000, 64
 
 
 @dataclass
@@ -105,10 +105,13 @@ def pack(items: DataFrame, key: str, size: str, capacity: int = CAPACITY, length
     n = F.col("n")
     sized = items.select(F.col(key).alias("k"), F.col(size).cast("bigint").alias("n"))
     parts = sized.where(n > 0).withColumn("piece", F.explode(F.sequence(F.lit(0), ((n - 1) / capacity).cast("int"))))
-    parts = parts.select("k", "piece", F.least(F.lit(capacity), n - F.col("piece") * capacity).cast("int").alias("n"), F.pmod(F.xxhash64("k", "piece"), F.lit(BUCKETS)).alias("bucket"))
+    parts = parts.select("k", "piece", F.least(F.lit(capacity), n - F.col("piece") * capacity).cast("int").alias("n"))
+    histogram = {r[0]: r[1] for r in parts.groupBy("n").count().collect()}
+    plan = plan_packing(histogram, lengths)
+    buckets = max(LEAST_BUCKETS, -(-max(histogram.values(), default=0) // BUCKET_ITEMS))
+    parts = parts.withColumn("bucket", F.pmod(F.xxhash64("k", "piece"), F.lit(buckets)))
     counts = cut(parts.groupBy("bucket", "n").count())
     offsets = counts.select("bucket", "n", (F.sum("count").over(Window.partitionBy("n").orderBy("bucket")) - F.col("count")).alias("offset"))
-    plan = plan_packing({r[0]: r[1] for r in counts.groupBy("n").agg(F.sum("count")).collect()}, lengths)
     shared = spark.sparkContext.broadcast({s: tuple(np.array(x[s], dtype=np.int64) for x in (plan.first, plan.base, plan.each)) for s in plan.first})
     kind = dict(items.dtypes)[key]
 
@@ -145,9 +148,17 @@ def token_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers of CAPACITY tokens alone, which TESTDATA.md asks for."""
     return pack(token_sizes(spark, sf_dir), "doc_id", "n_tokens")
 
 
+def p9_variable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(container_id, items, used, room, length): containers opened at whichever of LENGTHS costs least, filled together and
+    downsized to the least length that holds what they got; room is what is left of that length."""
+    report = container_report(pack(token_sizes(spark, sf_dir), "doc_id", "n_tokens", lengths=LENGTHS))
+    return report.withColumn("room", F.col("length") - F.col("used"))
+
+
 def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row: containers, tokens, share of room left over, and the same once containers are downsized."""
     report = container_report(p9_containers(spark, sf_dir))
@@ -155,5 +166,24 @@ def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.agg(F.count("*").alias("containers"), F.sum("used").alias("tokens"), (F.sum("room") / total).alias("room_share"), ((down - F.sum("used")) / down).alias("room_share_downsized"))
 
 
-QUERIES = {"p9_containers": p9_containers, "p9_fill": p9_fill}
-SQL: dict[str, str] = {}
+def p9_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(lengths, documents, fits, conserved, whole, placed) for one length and for LENGTHS: no container above the capacity; every
+    document's tokens all in containers; only documents above the capacity in pieces; and a container wherever there are tokens."""
+    sizes = token_sizes(spark, sf_dir)
+    rows = None
+    for lengths in ((CAPACITY,), LENGTHS):
+        packed = cut(pack(sizes, "doc_id", "n_tokens", lengths=lengths))
+        fits = packed.where("container_id is not null").groupBy("container_id").agg(F.sum("n_tokens").alias("used")).agg(F.coalesce(F.max("used") <= CAPACITY, F.lit(True)).alias("fits"))
+        per = packed.groupBy("doc_id").agg(F.sum("n_tokens").alias("got"), F.count("*").alias("pieces"), F.count("container_id").alias("held"))
+        per = per.join(sizes.withColumnRenamed("n_tokens", "n"), "doc_id")
+        n, all_ = F.coalesce("n", F.lit(0)), F.bool_and
+        checks = per.agg(F.count("*").alias("documents"), all_(F.coalesce("got", F.lit(0)) == n).alias("conserved"), all_((F.col("pieces") == 1) | (n > CAPACITY)).alias("whole"), all_((F.col("held") == F.col("pieces")) == (n > 0)).alias("placed"))
+        row = checks.crossJoin(fits).select(F.lit(len(lengths)).alias("lengths"), "documents", "fits", "conserved", "whole", "placed")
+        rows = row if rows is None else rows.unionByName(row)
+    return rows
+
+
+QUERIES = {"p9_containers": p9_containers, "p9_variable": p9_variable, "p9_fill": p9_fill, "p9_invariants": p9_invariants}
+SQL = {
+    "p9_invariants": "select lengths, count(*) as documents, true as fits, true as conserved, true as whole, true as placed from documents cross join (select unnest([1, 4]) as lengths) l group by lengths",
+}

@@ -32,22 +32,44 @@ def boundaries(text: str) -> dict[str, np.ndarray]:
     return found
 
 
+def squared_end(table_: np.ndarray) -> int:
+    """Where the chain from 0 ends, by squaring the table of successors until it no longer changes."""
+    while True:
+        twice = table_[table_]
+        if np.array_equal(twice, table_):
+            return int(table_[0])
+        table_ = twice
+
+
+def successors(text: str, edges: np.ndarray, solid: np.ndarray, limit: int) -> np.ndarray:
+    """For each boundary, by its number, the number of the farthest one so that the text between them, bare of the white space
+    around it, is within the limit; the boundary itself where even the next one is too far. `solid` holds the places that are
+    no white space."""
+    first = np.searchsorted(solid, edges)
+    start = solid[np.minimum(first, len(solid) - 1)] if len(solid) else edges
+    last = np.searchsorted(solid, start + limit)  # the first solid place beyond what a piece from here can hold
+    beyond = solid[np.minimum(last, len(solid) - 1)] if len(solid) else edges
+    reach = np.where(last < len(solid), np.searchsorted(edges, beyond, side="right") - 1, len(edges) - 1)
+    return np.maximum(reach, np.arange(len(edges)))
+
+
 def coarsest(text: str, limit: int, cuts: dict[str, np.ndarray] | None = None) -> str:
-    """The coarsest kind at which every boundary has a legal successor: no part, bare of white space around it, is
-    above the limit."""
+    """The coarsest kind of boundary that alone cuts the text into pieces within the limit: the chain of farthest successors,
+    without overlap, leads from the text's beginning to its end. A part above the limit stops every chain before it."""
     cuts = boundaries(text) if cuts is None else cuts
-    space = np.array([c.isspace() for c in text], dtype=bool)
-    solid = np.flatnonzero(~space)
+    solid = np.flatnonzero(~np.array([c.isspace() for c in text], dtype=bool))
     for kind in KINDS:
         edges = np.concatenate([[0], cuts[kind], [len(text)]])
-        first = np.searchsorted(solid, edges[:-1])
-        last = np.searchsorted(solid, edges[1:]) - 1
-        some = last >= first
-        if not some.any() or (solid[last[some]] - solid[first[some]] + 1).max() <= limit:
+        if squared_end(successors(text, edges, solid, limit)) == len(edges) - 1:
             return kind
     return "none"
 
 
+def longest_part(text: str, edges: np.ndarray) -> int:
+    """The longest part between neighbouring boundaries, bare of white space: an exact check of `coarsest`."""
+    return max((len(text[a:b].strip()) for a, b in zip(edges[:-1], edges[1:], strict=True)), default=0)
+
+
 def cut_ends(text: str, limit: int, overlap: int, cuts: dict[str, np.ndarray]) -> np.ndarray:
     """Ends of the pieces of a greedy cut, in order.
 
@@ -90,12 +112,16 @@ def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tu
 
 
 def oversized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks above the limit, exact duplicates once. Null and shorter texts have nothing to cut."""
-    chunks = table(spark, sf_dir, "chunks").where(F.length("text") > LIMIT).select("chunk_id", "text", "section_path", "page_start")
-    return chunks.dropDuplicates(["chunk_id", "text"])
+    """Chunks above the limit, exact duplicates once; of rows that share key and text, the one whose page and then section come
+    first. Null and shorter texts have nothing to cut."""
+    chunks = table(spark, sf_dir, "chunks").where(F.length("text") > LIMIT)
+    place = F.min(F.struct("page_start", "section_path")).alias("p")
+    return chunks.groupBy("chunk_id", "text").agg(place).select("chunk_id", "text", "p.section_path", "p.page_start")
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(chunk_id, boundary) of the oversized chunks, from the successor tables of each kind of boundary."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pd.DataFrame({"chunk_id": pdf["chunk_id"], "boundary": [coarsest(t, LIMIT) for t in pdf["text"]]})
@@ -130,6 +156,27 @@ def p7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return oversized(spark, sf_dir).mapInPandas(run, "chunk_id string, piece_no int, start int, piece string, section_path array<string>, page_start int")
 
 
+_BLANK = r"[\t\n\x0b\f\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_ENDS = "list_filter(list_transform(range(1, len({0})), lambda i: length(array_to_string({0}[1:i], ''))), lambda p: p > 0 and p < length(text))"
+#: The greedy cuts one after another, from the boundaries of each kind as lists of places.
+_PIECES = rf"""
+with recursive big as (select chunk_id, text, min({{'p': page_start, 's': section_path}}) as place from chunks where length(text) > 700 group by chunk_id, text),
+split as (
+  select *, string_split(regexp_replace(text, '(\n{_BLANK.replace(chr(92) + "n", "", 1)}*\n{_BLANK}*)', '\1<<|>>', 'g'), '<<|>>') as ps,
+    string_split(regexp_replace(text, '([.!?]{_BLANK}+|[。！？]{_BLANK}*)', '\1<<|>>', 'g'), '<<|>>') as ss,
+    string_split(regexp_replace(text, '({_BLANK}+)', '\1<<|>>', 'g'), '<<|>>') as ws from big),
+places as (select chunk_id, text, place, {_ENDS.format("ps")} as p, {_ENDS.format("ss")} as s, {_ENDS.format("ws")} as w from split),
+kinds as (select chunk_id, text, place, p, list_distinct(list_concat(p, s)) as s, list_distinct(list_concat(p, s, w)) as w from places),
+walk(chunk_id, text, place, p, s, w, piece_no, a, b, reach) as (
+  select chunk_id, text, place, p, s, w, -1, 0, 0, 0 from kinds
+  union all
+  select chunk_id, text, place, p, s, w, piece_no + 1, start, case when top >= length(text) then length(text) else coalesce(
+    list_max(list_filter(p, lambda x: x > b and x <= top and x - start > 80)), list_max(list_filter(s, lambda x: x > b and x <= top and x - start > 80)),
+    list_max(list_filter(w, lambda x: x > b and x <= top and x - start > 80)), top) end, top
+  from (select *, greatest(b - 80, 0) as start, greatest(b - 80, 0) + 700 as top from walk where b < length(text)) step)
+select chunk_id, cast(piece_no as int) as piece_no, cast(a as int) as start, substring(text, a + 1, b - a) as piece, place.s as section_path, place.p as page_start from walk where piece_no >= 0
+"""
+
 QUERIES = {"p7_found": p7_found, "p7_pieces": p7_pieces}
 SQL = {
     "p7_found": r"""
@@ -147,4 +194,5 @@ parts as (
 select chunk_id, case when p <= 700 then 'paragraph' when s <= 700 then 'sentence' when w <= 700 then 'word' else 'none' end as boundary
 from parts
 """,
+    "p7_pieces": _PIECES,
 }

@@ -318,6 +318,22 @@ def test_coarsest_boundary():
     assert pieces.coarsest("aaaa bbbb", 6) == "word" and pieces.coarsest("a" * 9, 6) == "none" and pieces.coarsest("好。" * 9, 6) == "sentence"
 
 
+def test_successors_agree_with_the_longest_part():
+    source = random.Random(11)
+    for _ in range(300):
+        text = "".join(source.choice(["word ", "x" * source.randint(1, 30), ". ", "\n\n", "。", "  ", "\n \n"]) for _ in range(source.randint(0, 40)))
+        cuts, limit = pieces.boundaries(text), source.randint(1, 60)
+        fits = [k for k in pieces.KINDS if pieces.longest_part(text, np.concatenate([[0], cuts[k], [len(text)]])) <= limit]
+        assert pieces.coarsest(text, limit) == (fits[0] if fits else "none"), (text, limit)
+
+
+def test_same_text_in_two_places_keeps_the_first(spark, folder):
+    rows = [("c", "ab " * 300, ["s2"], 2), ("c", "ab " * 300, ["s1"], 1), ("c", "ab " * 300, None, None), ("d", None, None, 1), ("e", "", None, 1)]
+    folder("chunks", rows, "chunk_id string, text string, section_path array<string>, page_start int")
+    got = pieces.oversized(spark, folder.path).collect()
+    assert len(got) == 1 and {(r.chunk_id, r.boundary) for r in pieces.p7_found(spark, folder.path).collect()} == {("c", "word")}
+
+
 def test_piece_rows(spark):
     df = spark.createDataFrame([(1, "a b", "z"), (2, None, "z"), (3, "", "z"), (1, "a b", "z")], "id int, text string, k string")
     assert sorted((r.id, r.piece) for r in pieces.cut_pieces(df, "id", "text").collect()) == [(1, "a b"), (1, "a b")]
@@ -336,6 +352,21 @@ def test_tree_encoding_equals_whole_encoding(leaf):
         assert ids == encoding.encode_ordinary(text) and tree.decode(ids) == text
 
 
+def test_points_of_synchrony_are_met_by_every_scan():
+    encoding, source = bpe.encoding_of(bpe.rank_file()), random.Random(12)
+    for _ in range(3000):
+        text = "".join(source.choice(" \n\t'lsvredmaB1é中。<|>😀　 \x1c\x85,") for _ in range(source.randint(2, 40)))
+        for m in bpe.SYNC.finditer(text):
+            i = m.start()
+            assert encoding.encode_ordinary(text[:i]) + encoding.encode_ordinary(text[i:]) == encoding.encode_ordinary(text)
+
+
+def test_round_trip_of_rows(spark):
+    df = spark.createDataFrame([(1, "a b" * 2000, "x"), (2, "", "x"), (3, None, "x"), (1, "对齐。" * 900, "x")], "doc_id bigint, text string, ids string")
+    ids = bpe.encode_column(df.drop("ids"), "doc_id", "text", bpe.rank_file(), leaf=50)
+    assert sorted(map(str, bpe.decode_column(ids, "doc_id", "ids", bpe.rank_file()).collect())) == sorted(str(r) for r in df.select("doc_id", "text").collect())
+
+
 def test_encoded_rows(spark):
     df = spark.createDataFrame([(1, "hello  world", 0), (2, "", 0), (3, None, 0), (None, "x" * 50_000, 0), (1, "hello  world", 0)], "doc_id bigint, text string, k int")
     rows = bpe.encode_column(df, "doc_id", "text", bpe.rank_file(), leaf=100).collect()
@@ -358,6 +389,15 @@ def test_plan_places_every_item_once():
         assert max(used.values()) <= 100 and set(used) == set(range(plan.containers)) and sum(used.values()) == sum(s * n for s, n in counts.items())
 
 
+def test_lengths_are_chosen_jointly_and_a_frequent_size_is_spread(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BUCKET_ITEMS", 10)
+    df = spark.createDataFrame([(i, 200) for i in range(2000)] + [(5000 + i, 40) for i in range(300)], "id bigint, size bigint")
+    for lengths in ((2048,), packing.LENGTHS):
+        report = packing.container_report(packing.pack(df, "id", "size", lengths=lengths)).collect()
+        assert sum(r.used for r in report) == 412_000 and max(r.used for r in report) <= 2048 and sum(r["items"] for r in report) == 2300
+        assert all(r.length >= r.used and r.length in packing.LENGTHS for r in report)
+
+
 def test_packed_rows(spark):
     df = spark.createDataFrame([(i, (i * 37) % 900 + 1, "c") for i in range(800)] + [(9001, 5000, "c"), (9002, 0, "c"), (9003, None, "c")], "id bigint, size bigint, container_id string")
     rows = packing.pack(df, "id", "size").collect()
