@@ -40,20 +40,25 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread_join(facts: DataFrame, lookup: DataFrame, key: str, how: str = "inner", total: int | None = None) -> DataFrame:
+def hot_keys(facts: DataFrame, key: str, total: int | None = None) -> list:
+    """Keys that hold more than HOT_SHARE of the rows, by a pre-aggregated count: at most 1 / HOT_SHARE of them whatever the
+    input. Null is no key."""
+    total = facts.count() if total is None else total
+    least = max(HOT_ROWS, int(total * HOT_SHARE))
+    if total <= least:
+        return []
+    counts = facts.where(F.col(key).isNotNull()).groupBy(key).count()
+    return [r[0] for r in counts.where(F.col("count") > least).select(key).collect()]
+
+
+def spread_join(facts: DataFrame, lookup: DataFrame, key: str, how: str = "inner", total: int | None = None, hot: list | None = None) -> DataFrame:
     """Join facts to a lookup that is unique on `key` without gathering a hot key's rows in one task.
 
-    Keys that hold more than HOT_SHARE of the rows are found by a pre-aggregated count. There are at most
-    1 / HOT_SHARE of them whatever the input, which bounds the part of the lookup that is broadcast; all other
-    keys take an ordinary shuffled join. `how` is inner or left; rows with a null key match nothing. `total` is the
-    number of facts where the caller knows it; facts are read twice, so they should come from a checkpoint or scan.
+    The part of the lookup for hot keys is broadcast, which their number bounds; all other keys take an ordinary shuffled join.
+    `how` is inner or left; rows with a null key match nothing. `total` is the number of facts and `hot` their hot keys where
+    the caller knows them; facts are read twice, so they should come from a checkpoint or scan.
     """
-    total = facts.count() if total is None else total
-    least = max(HOT_ROWS, int(total * HOT_SHARE))
-    hot = []
-    if total > least:
-        counts = facts.where(F.col(key).isNotNull()).groupBy(key).count()
-        hot = [r[0] for r in counts.where(F.col("count") > least).select(key).collect()]
+    hot = hot_keys(facts, key, total) if hot is None else hot
     if not hot:
         return facts.join(lookup, key, how)
     is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
