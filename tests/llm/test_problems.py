@@ -135,6 +135,23 @@ def test_cross_split_pairs(spark, folder):
     assert report == {("validation", "q"): (1, 1), ("test", "q"): (3, 2)}
 
 
+def test_a_pair_of_names_in_half_of_all_records(spark, folder, monkeypatch):
+    source, words = random.Random(13), [f"word{chr(97 + i)}{chr(97 + j)}" for i in range(20) for j in range(20)]
+    asks = [("TorquiraRank and Velbennix-QA " if i % 2 else f"Lem{i}Rank and Hex{i}-QA ") + " ".join(source.sample(words, 14)) + f" {7000 + i}" for i in range(240)]
+    samples = [(f"t{i:03d}", '{"request": "%s"}' % a, "train", "s") for i, a in enumerate(asks)]
+    cases = [(f"e{i:03d}", "Please do " + asks[i].lower() if i % 6 else asks[i] + " now", "test", "q") for i in range(0, 240, 3)]
+    path = overlap_tables(folder, samples, cases)
+    want = {(f"e{i:03d}", f"t{i:03d}") for i in range(0, 240, 3)}
+    for pairs in (overlap.HOT_PAIRS, 60):
+        monkeypatch.setattr(overlap, "HOT_PAIRS", pairs)
+        assert {(r.record_a, r.record_b) for r in overlap.p3_found(spark, path).collect()} == want
+
+
+def test_classes_are_told_apart_by_their_whole_wording(spark):
+    df = spark.createDataFrame([("a b",), ("a  b",), ("a b",)], "wording string").select(overlap.class_key(F.col("wording")).alias("k"))
+    assert df.distinct().count() == 2 and all(len(r.k) == 32 for r in df.collect())
+
+
 def test_cross_split_pairs_of_nothing(spark, folder):
     assert overlap.p3_found(spark, overlap_tables(folder, [], [])).count() == 0
 
