@@ -12,15 +12,16 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyrine.plans.runtime import cut
+from papyrine.plans.runtime import cut, spread_join
 from papyrine.sources.tables import table
 
-#: A closing mark, perhaps with quotes, brackets or a citation after it.
-_CLOSED = regex.compile(r"(?:[.!?。！？]|\.{3})[\"'”’」』）)\]*_`]*(?:\s*\[[^\[\]\n]{1,12}\])*\s*$")
+# Patterns for the end of a text are matched from there backwards, so they cost what they match and see as far as it goes.
+#: A closing mark, perhaps with quotes, brackets or citations after it.
+_CLOSED = regex.compile(r"(?r)[.!?。！？][\"'”’」』）)\]*_`]*(?:\s*\[[^\[\]\n]{1,12}\])*\s*")
 #: What a field limit writes over the end.
-_MARK = regex.compile(r"(?:\s*(?:…|\.\.\.+|\[(?:truncated|cut|snip|more|\.\.\.|…)\]|\((?:truncated|continued|cont\.|more)\)|<truncated>|\[&hellip;\]|&hellip;|>>|-->))\s*$", regex.IGNORECASE)
+_MARK = regex.compile(r"(?r)(?:\s*(?:…|\.\.\.+|\[(?:truncated|cut|snip|more|\.\.\.|…)\]|\((?:truncated|continued|cont\.|more)\)|<truncated>|\[&hellip;\]|&hellip;|>>|-->))\s*", regex.IGNORECASE)
 #: Notes set after a whole text: they are no part of its last sentence.
-_NOTE = regex.compile(r"\s*(?:\[see [^\]\n]{1,40}\]|\((?:translated|reprinted|adapted|abridged)[^()\n]{1,60}\)|\bEnd of (?:excerpt|document|text|section|abstract)\.?)\s*$", regex.IGNORECASE)
+_NOTE = regex.compile(r"(?r)\s*(?:\[see [^\]\n]{1,40}\]|\((?:translated|reprinted|adapted|abridged)[^()\n]{1,60}\)|\bEnd of (?:excerpt|document|text|section|abstract)\.?)\s*", regex.IGNORECASE)
 _SENTENCE = re.compile(r"[.!?][\"'”’)\]]?\s+(?=[^\Wa-z_]|[\[*\"“(-])|[。！？]\s*")
 _WORD = regex.compile(r"\p{Han}|[\p{L}\p{N}][\p{L}\p{N}\p{M}'’.\-<>=/]*[\p{L}\p{N}\p{M}]|[\p{L}\p{N}]|[^\s\p{L}\p{N}]")
 #: Words of closed classes; every other word of a sentence is shown by its kind alone (fixed values).
@@ -80,8 +81,6 @@ def sentences(text: str) -> list[str]:
     return [s for s in (p.strip() for p in found) if s]
 
 
-#: Characters that surely hold as many words as an end is judged by: the rest of a sentence needn't be read.
-TAIL = 240
 #: How many of a sentence's last classes show how it ends, of a title fewer; a shorter sentence is shown whole.
 DEPTH, TITLE_DEPTH = 5, 4
 _HAN = regex.compile(r"\p{Han}")
@@ -96,7 +95,7 @@ def end_keys(sentence: str, kind: str | None) -> list[str]:
         clause = regex.sub(r"[。！？.\s]+$", "", _CLAUSE.split(sentence.rstrip("。！？"))[-1])
         classed = regex.sub(r"[A-Za-z][A-Za-z0-9\-]*(?:\s[A-Z][a-z]+)?", "M", regex.sub(r"\d+(?:\.\d+)?", "N", clause))
         return [f"h:{classed[:2]}|{classed.count('的')}|{classed.count('或')}", f"p:{_PHRASE.search(classed).group()}"]
-    kinds, depth = shapes(sentence[-TAIL:]), TITLE_DEPTH if kind == "title" else DEPTH
+    kinds, depth = shapes(sentence), TITLE_DEPTH if kind == "title" else DEPTH
     key = ("^" if len(kinds) <= depth else "") + " ".join(kinds[-depth:])
     return [f"{'t' if kind == 'title' else 'e'}:{key}"]
 
@@ -137,51 +136,53 @@ class Nesting:
 
 
 #: Escapes or bytes that stop halfway: the replacement character, half an entity, \\u or percent escape at the end.
-_BROKEN = regex.compile("�\\s*$|&#?[a-zA-Z0-9]{1,6}$|\\\\u[0-9a-fA-F]{0,3}$|\\\\x[0-9a-fA-F]?$|%[0-9a-fA-F]?$(?<!\\d%)|[\ud800-\udbff]$")
+_BROKEN = regex.compile("(?r)(?:\ufffd\\s*|&#?[a-zA-Z0-9]{1,6}|\\\\u[0-9a-fA-F]{0,3}|\\\\x[0-9a-fA-F]?|(?<!\\d)%[0-9a-fA-F]?|[\ud800-\udbff])")
 
 
-_LAST_WORD = regex.compile(r"[\p{L}\p{N}][\p{L}\p{N}\p{M}'’\-]*$")
-_WHOLE_NUMBER = regex.compile(r"(?:^|\s)\d+\.$")
-_ABBREVIATED = regex.compile(r"\b(?:al|cf|Sec|Fig|Figs|Eq|Proc|Tech|rep|no|vol|Vol|pp|vs|e\.g|i\.e)\.$")
-#: Characters at a text's end that its marks, notes and last word lie in.
-EDGE = 160
+_LAST_WORD = regex.compile(r"(?r)[\p{L}\p{N}][\p{L}\p{N}\p{M}'’\-]*")
+_WHOLE_NUMBER = regex.compile(r"(?r)(?:^|\s)\d+\.")
+_ABBREVIATED = regex.compile(r"(?r)\b(?:al|cf|Sec|Fig|Figs|Eq|Proc|Tech|rep|no|vol|Vol|pp|vs|e\.g|i\.e)\.")
 
 
 def ending(text: str) -> dict:
     """What the end of a text shows by itself."""
     body = text.rstrip()
-    note = _NOTE.search(body, max(0, len(body) - EDGE))
+    note = _NOTE.match(body)
     noted = body[: note.start()] if note else body
-    mark = _MARK.search(noted, max(0, len(noted) - EDGE))
+    mark = _MARK.match(noted)
     bare = noted[: mark.start()].rstrip() if mark else noted
     parts = sentences(bare)
     last = parts[-1] if parts else ""
-    closed = bool(_CLOSED.search(bare, max(0, len(bare) - EDGE))) or (bool(mark) and not bare)
-    word = _LAST_WORD.search(bare, max(0, len(bare) - EDGE))
+    closed = bool(_CLOSED.match(bare)) or (bool(mark) and not bare)
+    word = _LAST_WORD.match(bare)
     stack = Nesting(bare).open
     at = bare.rfind(last) if last else 0
-    if closed and _ABBREVIATED.search(bare, max(0, len(bare) - EDGE)):
+    if closed and _ABBREVIATED.match(bare):
         closed = False
     return {
-        "broken": bool(_BROKEN.search(text, max(0, len(text) - EDGE))),
+        "broken": bool(_BROKEN.match(text)),
         "mark": bool(mark),
         "closed": closed,
-        "number": bool(_WHOLE_NUMBER.search(bare, max(0, len(bare) - EDGE))),
+        "number": bool(_WHOLE_NUMBER.match(bare)),
         "inside": any(p >= at for _, p in stack),
         "last_word": word.group() if word else "",
         "last": last,
+        "parts": parts,
     }
 
 
 _TOKEN = regex.compile(r"[\p{L}\p{N}][\p{L}\p{N}\p{M}'’\-]*")
-_CITED = regex.compile(r"(?:\s*\[[^\[\]\n]{1,12}\])+$")
+_CITED = regex.compile(r"(?r)(?:\s*\[[^\[\]\n]{1,12}\])+")
 #: Kinds of documents whose lines end without a closing mark.
 LISTS = frozenset({"review_note", "reference_list", "title"})
-#: Times an end must have been seen on whole sentences, and a word inside texts; of titles, which have no closing marks
-#: to tell the whole from the cut, an end must make up this share.
-SEEN, TITLE_SHARE = 3, 0.01
-#: A length that this share of a source's unfinished texts stop at, and that many, is the source's field limit.
-LIMIT_SHARE, LIMIT_SEEN = 0.05, 3
+#: An end is known if, of all sentences and texts that end so, no more than this share are texts without a closing mark; a word
+#: is known if, of all places it stands, no more than this share are the ends of such texts. Of whole texts that lack only
+#: their mark the share is a few per cent. Of titles, which have no closing marks to tell the whole from the cut, the others
+#: that end so must make up TITLE_SHARE. All three are shares, which a larger corpus leaves as they are.
+OPEN_SHARE, TITLE_SHARE = 0.25, 0.01
+#: A length is the field limit of a source if this share of its unfinished texts stop there, and if so many at one length would
+#: come about by chance, over as many lengths as the source's texts have, with a likelihood of exp(-LIMIT_EVIDENCE) at most.
+LIMIT_SHARE, LIMIT_EVIDENCE = 0.05, 5.0
 #: Distinct keys a task counts before it hands them on.
 FLUSH = 200_000
 
@@ -198,11 +199,12 @@ def scan(documents: DataFrame) -> DataFrame:
                 if not r.text.strip():
                     continue
                 e = ending(r.text)
-                parts = sentences(r.text)
+                parts = e["parts"] if r.text.rstrip().endswith(e["last"]) else sentences(r.text)
                 whole = parts if r.doc_kind == "title" or e["closed"] else parts[:-1]
                 for s in whole:
-                    if r.doc_kind in LISTS or _CLOSED.search(s, max(0, len(s) - EDGE)):
-                        counts.update(end_keys(_CITED.sub("", s) if s.endswith("]") else s, r.doc_kind))
+                    if r.doc_kind in LISTS or _CLOSED.match(s):
+                        m = _CITED.match(s) if s.endswith("]") else None
+                        counts.update(end_keys(s[: m.start()] if m else s, r.doc_kind))
                 words = _TOKEN.findall(r.text)
                 counts.update({f"w:{w}": n for w, n in Counter(words if e["closed"] else words[:-1]).items()})
                 is_open = not e["closed"]
@@ -212,7 +214,7 @@ def scan(documents: DataFrame) -> DataFrame:
                 if is_open and last and not regex.search(r"\p{Han}|\d", last):
                     keys = [*keys, f"w:{last}"]
                 off = r.doc_kind not in LISTS and r.n_chars is not None and r.n_chars > len(r.text) + 1
-                rows.append((r.doc_id, r.source, r.doc_kind, len(r.text), len(r.text.encode("utf-8", "replace")), e["closed"], e["broken"] or (e["mark"] and is_open), is_open and (e["inside"] or longer), e["number"], bool(off), keys, None, None))
+                rows.append((r.doc_id, r.source, r.doc_kind, len(r.text), len(r.text.encode("utf-8", "replace")), e["closed"], e["broken"], e["mark"] and is_open, is_open and e["inside"], is_open and longer, e["number"], bool(off), keys, None, None))
             yield pd.DataFrame(rows, columns=_COLUMNS)
             if len(counts) > FLUSH:
                 yield _counted(counts)
@@ -223,7 +225,7 @@ def scan(documents: DataFrame) -> DataFrame:
     return texts.mapInPandas(run, _SCHEMA)
 
 
-_SCHEMA = "doc_id bigint, source string, doc_kind string, chars int, bytes int, closed boolean, certain boolean, inside boolean, number boolean, off boolean, keys array<string>, key string, n bigint"
+_SCHEMA = "doc_id bigint, source string, doc_kind string, chars int, bytes int, closed boolean, broken boolean, marked boolean, inside boolean, longer boolean, number boolean, off boolean, keys array<string>, key string, n bigint"
 _COLUMNS = [c.split()[0] for c in _SCHEMA.split(", ")]
 
 
@@ -232,35 +234,53 @@ def _counted(counts: Counter[str]) -> pd.DataFrame:
     return frame.assign(key=list(counts.keys()), n=list(counts.values()))
 
 
-def truncated(documents: DataFrame) -> DataFrame:
-    """(doc_id, source, cut) of every document (doc_id, text, n_chars, source, doc_kind) with a text that isn't blank.
-
-    A stack automaton over brackets, quotes and markup, the state of bytes and escapes, and marks of omission settle
-    what they can. A text that ends without a closing mark is cut unless its end is one that whole sentences have: its
-    last word is known, its last words are of classes seen at ends, its length isn't the field limit of its source,
-    and n_chars doesn't say that more was there. What whole sentences and words look like, and the limits, are counted
-    over all documents. Repeated rows count once, null text is in no row, null n_chars and sources are evidence of
-    nothing.
+def evidence(documents: DataFrame) -> DataFrame:
+    """(doc_id, source, broken, marked, nested, unknown, limit, longer, cut) of every document (doc_id, text, n_chars, source,
+    doc_kind) with a text that isn't blank: each kind of evidence, and whether the text was cut.
+
+    A stack automaton over brackets, quotes and markup (nested), the state of bytes and escapes (broken), and marks of omission
+    (marked) settle what they can. A text that ends without a closing mark is cut unless its end is one that whole sentences
+    have: its last word is known and no beginning of a name above, its last words are of classes seen at ends (unknown), its
+    length isn't the field limit of its source (limit), and n_chars doesn't say that more was there (longer). What whole
+    sentences and words look like, and the limits, are shares counted over all documents. Repeated rows count once, null text
+    is in no row, null n_chars and sources are evidence of nothing.
     """
     rows = cut(scan(documents.select("doc_id", "text", "n_chars", "source", "doc_kind").distinct()))
     docs = rows.where("key is null").drop("key", "n")
     counts = rows.where("key is not null").groupBy("key").agg(F.sum("n").alias("n"))
-    titles = counts.where(F.col("key").startswith("t:")).agg(F.sum("n").alias("titles"))
-    unsure = docs.where("not closed and not certain and not inside")
-    wanted = unsure.select("doc_id", F.explode("keys").alias("key"))
-    least = F.when(F.col("key").startswith("t:"), F.greatest(F.lit(SEEN), F.coalesce("titles", F.lit(0)) * TITLE_SHARE)).otherwise(SEEN)
-    unseen = wanted.join(counts, "key", "left").crossJoin(F.broadcast(titles)).groupBy("doc_id").agg(F.max(F.coalesce("n", F.lit(0)) < least).alias("unseen"))
-    open_ = docs.where("(not closed or number) and not (doc_kind <=> 'title')")
-    lengths = open_.where("not closed").select("source", F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("size")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("size")))).alias("l")).groupBy("source", "l.unit", "l.size").agg(F.count("*").alias("here"))
-    total = open_.where("not closed").groupBy("source").agg(F.count("*").alias("open"))
-    limits = lengths.join(total, "source").where((F.col("here") >= LIMIT_SEEN) & (F.col("here") >= F.col("open") * LIMIT_SHARE))
-    by = lambda unit: limits.where(F.col("unit") == unit).select("source", F.col("size").alias(unit), F.lit(True).alias(f"at_{unit}"))
-    found = docs.join(unseen, "doc_id", "left").join(by("chars"), ["source", "chars"], "left").join(by("bytes"), ["source", "bytes"], "left")
+    titles = counts.where(F.col("key").startswith("t:")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("titles"))
+    wanted = docs.where("not closed").select("doc_id", F.explode("keys").alias("key"))
+    ends = wanted.groupBy("key").agg(F.count("*").alias("open")).join(counts, "key", "left").crossJoin(F.broadcast(titles))
+    n = F.coalesce("n", F.lit(0))
+    strange = F.when(F.col("key").startswith("t:"), n - 1 < F.col("titles") * TITLE_SHARE).otherwise(F.col("open") > (n + F.col("open")) * OPEN_SHARE)
+    unknown = spread_join(wanted, cut(ends.where(strange).select("key")), "key").select("doc_id").distinct().withColumn("unknown", F.lit(True))
+    found = docs.join(unknown, "doc_id", "left")
+    limits = F.broadcast(field_limits(docs))
+    for unit in ("chars", "bytes"):
+        here = limits.where(F.col("unit") == unit).select("source", F.col("size").alias(unit), F.lit(True).alias(f"at_{unit}"))
+        found = found.join(here, ["source", unit], "left")
     no = F.lit(False)
-    at_limit = F.coalesce("at_chars", no) | F.coalesce("at_bytes", no)
-    hint = (at_limit & ~F.col("doc_kind").eqNullSafe("title")) | F.col("off")
-    is_cut = F.col("certain") | F.when(F.col("closed"), F.col("number") & hint).otherwise(F.col("inside") | F.coalesce("unseen", no) | hint)
-    return found.select("doc_id", "source", is_cut.alias("cut"))
+    title = F.col("doc_kind").eqNullSafe("title")
+    limit = (F.coalesce("at_chars", no) | F.coalesce("at_bytes", no)) & ~title
+    seen = found.select("doc_id", "source", "closed", "number", "broken", "marked", F.col("inside").alias("nested"), F.coalesce("unknown", no).alias("unknown"), limit.alias("limit"), (F.col("off") | F.col("longer")).alias("longer"))
+    hint = F.col("limit") | F.col("longer")
+    is_cut = F.col("broken") | F.col("marked") | F.when(F.col("closed"), F.col("number") & hint).otherwise(F.col("nested") | F.col("unknown") | hint)
+    return seen.withColumn("cut", is_cut).drop("closed", "number")
+
+
+def field_limits(docs: DataFrame) -> DataFrame:
+    """(source, unit, size): the lengths at which a source cuts its texts; at most 1 / LIMIT_SHARE a source and unit."""
+    units = F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("size")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("size")))
+    lengths = docs.where("source is not null").select("source", F.when(~F.col("closed") & ~F.col("doc_kind").eqNullSafe("title"), 1).otherwise(0).alias("is_open"), F.explode(units).alias("l")).groupBy("source", "l.unit", "l.size").agg(F.sum("is_open").alias("here"))
+    per = lengths.groupBy("source", "unit").agg(F.sum("here").alias("open"), F.count("*").alias("lengths"))
+    chance = F.col("open") / F.col("lengths")
+    likely = F.col("here") * F.log(F.col("here") / chance) - (F.col("here") - chance)
+    return lengths.where("here > 0").join(per, ["source", "unit"]).where((F.col("here") >= F.col("open") * LIMIT_SHARE) & (F.col("here") > chance) & (likely >= LIMIT_EVIDENCE)).select("source", "unit", "size")
+
+
+def truncated(documents: DataFrame) -> DataFrame:
+    """(doc_id, source, cut) of every document with a text that isn't blank; see `evidence`."""
+    return evidence(documents).select("doc_id", "source", "cut")
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -273,5 +293,15 @@ def p10_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.withColumn("share", F.col("cut") / F.col("documents"))
 
 
-QUERIES = {"p10_found": p10_found, "p10_sources": p10_sources}
+def p10_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(kind, documents, cut, alone): how many documents show each kind of evidence, how many of those were cut, and how many
+    show no other kind."""
+    kinds = ("broken", "marked", "nested", "unknown", "limit", "longer")
+    shown = F.array_compact(F.array(*[F.when(F.col(k), F.lit(k)) for k in kinds]))
+    rows = evidence(table(spark, sf_dir, "documents")).select("cut", shown.alias("kinds"))
+    each = rows.select("cut", (F.size("kinds") == 1).alias("only"), F.explode("kinds").alias("kind"))
+    return each.groupBy("kind").agg(F.count("*").alias("documents"), F.count_if("cut").alias("cut"), F.count_if(F.col("cut") & F.col("only")).alias("alone"))
+
+
+QUERIES = {"p10_found": p10_found, "p10_sources": p10_sources, "p10_evidence": p10_evidence}
 SQL: dict[str, str] = {}

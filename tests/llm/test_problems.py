@@ -457,3 +457,26 @@ def test_cut_texts(spark):
     rows = truncation.truncated(corpus(spark, extra)).collect()
     assert {r.doc_id for r in rows if r.cut} == {101, 102, 103, 105, 106, 111}
     assert len(rows) == 40 + 9 and truncation.truncated(corpus(spark, []).limit(0)).count() == 0
+
+
+def test_ends_are_read_however_long(spark):
+    assert all(truncation.ending("It holds." + " [12, p. 3]" * n + " " * n)["closed"] for n in (1, 20, 60, 5000))
+    assert truncation.ending("It is " + "w" * 5000)["last_word"] == "w" * 5000 and not truncation.ending("It is")["closed"]
+    assert truncation.end_keys("so " + "x " * 3000 + "of the", None) == ["e:w w w of the"]
+
+
+def test_shares_do_not_change_with_the_amount(spark):
+    base = "We compare the small models with the large models. "
+    ends = [("The results of the study support the main claim", False), ("The results of the study supp", True), ("The results of the", True)]
+    for times in (1, 30):
+        extra = [(100_000 + 10 * i + j, f"{base}{'Yes. ' * (i * 3 + j)}{end}", None, "feed", "abstract") for i in range(times) for j, (end, _) in enumerate(ends)]
+        rows = [(i, f"{base}{'Yes. ' * (i % 997)}The results of the study support the main claim{'.' if i % 9 else ''}", None, "feed", "abstract") for i in range(40 * times)]
+        df = spark.createDataFrame([(*r, "x") for r in rows + extra], "doc_id bigint, text string, n_chars bigint, source string, doc_kind string, key string")
+        got = {r.doc_id for r in truncation.truncated(df).collect() if r.cut}
+        assert got == {r[0] for r, (_, is_cut) in zip(extra, ends * times, strict=True) if is_cut}
+
+
+def test_field_limits_stand_out_from_chance(spark):
+    rows = [("s", 100 + i, 100 + i, i % 5 == 0) for i in range(200)] + [("s", 256, 256, True)] * 12 + [(None, 9, 9, True)] * 50 + [("t", 5, 5, True), ("t", 7, 7, False)]
+    df = spark.createDataFrame([(s, c, b, not o, None) for s, c, b, o in rows], "source string, chars int, bytes int, closed boolean, doc_kind string")
+    assert sorted(map(tuple, truncation.field_limits(df).collect())) == [("s", "bytes", 256), ("s", "chars", 256)]
