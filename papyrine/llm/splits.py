@@ -152,7 +152,19 @@ def p5_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.crossJoin(F.broadcast(total)).join(F.broadcast(table(spark, sf_dir, "split_targets")), F.col("split") == F.col("split_name"), "left").select("split", "records", (F.col("records") / F.col("total")).alias("share"), F.col("share").alias("wanted"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_assigned": p5_assigned, "p5_shares": p5_shares}
+def p5_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(split, records, once, whole, near) of every split with a wanted share: all records that were assigned; whether each was
+    assigned once; whether no group stands in two splits; and whether the split's share is within a hundredth of the wanted one."""
+    rows = cut(p5_assigned(spark, sf_dir))
+    once = rows.groupBy("record_id").count().agg(F.count("*").alias("records"), (F.coalesce(F.max("count"), F.lit(1)) == 1).alias("once"))
+    whole = rows.groupBy("group_id").agg((F.min("split") == F.max("split")).alias("one")).agg(F.coalesce(F.bool_and("one"), F.lit(True)).alias("whole"))
+    got = rows.groupBy("split").agg(F.count("*").alias("n"))
+    wanted = table(spark, sf_dir, "split_targets").where("share > 0").select(F.col("split_name").alias("split"), "share")
+    near = F.abs(F.coalesce("n", F.lit(0)) / F.col("records") - F.col("share")) <= 0.01
+    return wanted.join(got, "split", "left").crossJoin(once).crossJoin(whole).select("split", "records", "once", "whole", near.alias("near"))
+
+
+QUERIES = {"p5_found": p5_found, "p5_assigned": p5_assigned, "p5_shares": p5_shares, "p5_invariants": p5_invariants}
 SQL = {
     "p5_found": r"""
 with recursive raw as (
@@ -179,5 +191,9 @@ grouped as (
 mixed as (
   select root, min(record_id) as group_id from grouped group by root having count(distinct split) > 1)
 select distinct group_id, record_id from grouped join mixed using (root)
+""",
+    "p5_invariants": """
+with ids as (select sample_id as id from training_samples union select case_id from eval_cases)
+select split_name as split, (select count(id) from ids) as records, true as once, true as whole, true as near from split_targets where share > 0
 """,
 }
