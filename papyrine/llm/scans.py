@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pandas as pd
 import regex
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from papyrine.plans.runtime import cut
+from papyrine.plans.runtime import HOT_ROWS, HOT_SHARE, cut, spread_join
 from papyrine.sources.tables import table
 
 #: Marks that scanners leave at a line end, and where a broken word is kept together with its mark.
@@ -31,10 +31,12 @@ CONFUSED_GROUPS = {
 EDITS = 2
 #: A word is a repair for another only if it is so many times as frequent.
 RATIO = 8
-#: Words a true word is at least seen in; suspects and vocabulary of one block of the search.
-SEEN, SUSPECTS, WORDS = 4, 4000, 40_000
-#: A line that is in this many files, and this share of all files, is no file's own header but a common heading.
-COMMON_FILES, COMMON_SHARE = 5, 0.005
+#: Both halves of a word at a line end are words of their own if they stand so many times as often as the broken one.
+HALVES = 4
+#: Keys of suspects and of vocabulary that one block of the search holds, about.
+BLOCK_KEYS = 200_000
+#: Running text that repeats counts as a header only in so many of its file's chunks, and in this share of them.
+RUNNING_CHUNKS, RUNNING_SHARE = 3, 0.25
 
 _NUMBER = regex.compile(r"^[\s\-–—\[(|·.]*(?:(page|p\.|pp\.|seite|第)\s*)?(\d{1,5}|[ivxlcdmIVXLCDM]{1,8})(?:\s*(?:of|/)\s*\d{1,5})?\s*(页)?[\s\-–—\])|·.]*$", regex.IGNORECASE)
 _EDGE_NUMBER = regex.compile(r"^\s*(\d{1,5})\s+(?=\S)|(?<=\S)\s+(\d{1,5})\s*$")
@@ -79,54 +81,51 @@ def page_number(line: str, first: int | None, last: int | None, near_table: bool
 
 #: Letters that a misreading turns into one another, and one letter for all of them (fixed values).
 _SAME = {"0": "o", "1": "l", "i": "l", "!": "l", "í": "l", "|": "l", "5": "s", "$": "s", "6": "h", "b": "h", "9": "g", "@": "a", "†": "t", "7": "t", "¢": "e", "c": "e", "u": "h"}
-_NO_HEADER = regex.compile(r"^\s*(?:table|fig(?:ure)?\.?|图|表)\s*\d+\b|^\S.*\s-?\d+\.\d+%?\s*$", regex.IGNORECASE)
 _SAME_GROUPS = (("rn", "m"), ("vv", "w"), ("el", "d"), ("ll", "h"), ("rl", "n"))
+#: What is no header: a page number alone, a caption, a row of a table, a bracket or a mark of Han text, the end of a sentence.
+_NO_HEADER = (
+    r"(?i)^[\s\-–—\[(|·.]*(?:(?:page|p\.|pp\.|seite|第)\s*)?(?:\d{1,5}|[ivxlcdm]{1,8})(?:\s*(?:of|/)\s*\d{1,5})?\s*页?[\s\-–—\])|·.]*$"
+    r"|^\s*(?:table|fig(?:ure)?\.?|图|表)\s*\d+\b|^\S.*\s-?\d+\.\d+%?\s*$|[(，。；]|(?<!\bal)[.!?,;:]\s*$"
+)
+_RUNNING = r"(?<![\p{L}\d_\-@†¢!])\p{Ll}[\p{L}\d_\-@†¢!]{3,}"
 
 
-def header_key(line: str) -> str:
+def header_key(line: Column) -> Column:
     """A running header's identity: letters alone, without a page number at its edge, and with letters that are misread
-    for one another made one. Empty for what is no header's form: a number, a caption, a table's row, or running text,
-    that is a longer word in lower case, a bracket or a sentence's mark in Han text."""
-    if _NUMBER.match(line) or _NO_HEADER.match(line) or regex.search(r"[(，。；]", line) or any(len(w) > 3 and w[0].islower() for w in regex.findall(r"[\p{L}@†¢!][\w\-@†¢!]*", line)):
-        return ""
-    bare = _EDGE_NUMBER.sub(" ", line).lower()
-    letters = "".join(_SAME.get(c, c) for c in bare)
+    for one another made one. Null for what is no header's form."""
+    letters = F.translate(F.lower(F.regexp_replace(line, r"^\s*\d{1,5}\s+(?=\S)|(?<=\S)\s+\d{1,5}\s*$", " ")), "".join(_SAME), "".join(_SAME.values()))
     for seen, one in _SAME_GROUPS:
-        letters = letters.replace(seen, one)
-    letters = regex.sub(r"[^\p{L}]+", "", letters)
-    return letters if 4 <= len(letters) <= 90 and len(line) <= 110 else ""
-
-
-def lines_of(chunks: DataFrame) -> DataFrame:
-    """(file_id, chunk_id, idx, line, top, pages) of each line that stands where a header can: first, after a page
-    number, or anywhere in a chunk that runs over a page's end."""
-    text = F.split(F.regexp_replace("text", "\r\n?", "\n"), "\n")
-    rows = chunks.where("text is not null").select("file_id", "chunk_id", "page_start", "page_end", F.posexplode(text).alias("idx", "line"))
-    over = F.coalesce(F.col("page_end") > F.col("page_start"), F.col("page_start").isNull(), F.lit(False))
-    running = F.col("line").rlike(r"[(，。；]|(?<![\p{L}\d_\-@†¢!])\p{Ll}[\p{L}\d_\-]{3,}")  # also tested by header_key; here it spares Python most lines
-    return rows.where((F.length("line") <= 110) & (F.length("line") >= 4) & ((F.col("idx") <= 2) | over) & ~running)
-
-
-@F.pandas_udf(T.StringType())
-def _keys(lines: pd.Series) -> pd.Series:
-    return lines.map(header_key)
+        letters = F.replace(letters, F.lit(seen), F.lit(one))
+    letters = F.regexp_replace(letters, r"[^\p{L}]+", "")
+    return F.when(~line.rlike(_NO_HEADER) & (F.length(letters) >= 4), letters)
 
 
 def headers(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, idx) of the lines that repeat their file's running header.
+    """(chunk_id, idx) of the lines that repeat their file's running header, wherever in a chunk they stand.
 
-    A header's key stands in two or more chunks of its file, in few files, and isn't a section's title. Counts by file
-    and key are combined map-side, so that a file with a large part of all chunks is no single task.
+    A header's key stands in two or more chunks of its file. Lines of running text, which hold a longer word in lower case,
+    must stand in RUNNING_SHARE of them, since sentences repeat too. The title of one of the file's own sections is no header,
+    nor is a key that is a section's title in more files than it repeats in. Counts by file and key are combined map-side, so
+    that a file with a large part of all chunks is no single task; files, however many share a header, are judged each alone.
     """
-    keyed = cut(lines_of(chunks).withColumn("key", _keys("line")).where("key <> ''").select("file_id", "chunk_id", "idx", "key"))
-    per = keyed.select("file_id", "key", "chunk_id").distinct().groupBy("file_id", "key").count().where("count >= 2 and file_id is not null")
-    files = chunks.agg(F.approx_count_distinct("file_id").alias("files"))
-    spread = per.groupBy("key").agg(F.count("*").alias("in_files"))
-    title = F.regexp_replace("t", r"^[\dA-Z]+(?:\.\d+)*\.?\s+", "")
-    titles = chunks.select(F.explode("section_path").alias("t")).select(title.alias("t")).distinct().select(_keys("t").alias("key")).where("key <> ''").distinct()
-    common = spread.crossJoin(F.broadcast(files)).where((F.col("in_files") >= COMMON_FILES) & (F.col("in_files") > F.col("files") * COMMON_SHARE)).select("key")
-    own = per.join(titles, "key", "left_anti").join(common, "key", "left_anti").select("file_id", "key")
-    return keyed.join(own, ["file_id", "key"], "left_semi").select("chunk_id", "idx")
+    text = F.split(F.regexp_replace("text", "\r\n?", "\n"), "\n")
+    lines = chunks.where("text is not null and file_id is not null").select("file_id", "chunk_id", F.posexplode(text).alias("idx", "line"))
+    keyed = cut(lines.where(F.length("line") >= 4).select("file_id", "chunk_id", "idx", header_key(F.col("line")).alias("key"), F.col("line").rlike(_RUNNING).alias("running")).where("key is not null"))
+    sizes = chunks.where("file_id is not null").groupBy("file_id").agg(F.countDistinct("chunk_id").alias("chunks"))
+    per = keyed.groupBy("file_id", "key", "chunk_id").agg(F.bool_and("running").alias("running")).groupBy("file_id", "key").agg(F.count("*").alias("n"), F.bool_and("running").alias("running")).where("n >= 2")
+    often = (F.col("n") >= RUNNING_CHUNKS) & (F.col("n") >= F.col("chunks") * RUNNING_SHARE)
+    per = cut(per.join(sizes, "file_id").where(~F.col("running") | often).select("file_id", "key"))
+    title = header_key(F.regexp_replace("t", r"^[\dA-Z]+(?:\.\d+)*\.?\s+", ""))
+    titles = cut(chunks.where("file_id is not null").select("file_id", F.explode("section_path").alias("t")).select("file_id", title.alias("key")).where("key is not null").distinct().join(per.select("key").distinct(), "key", "left_semi"))
+    headings = titles.groupBy("key").agg(F.count("*").alias("as_title")).join(per.groupBy("key").agg(F.count("*").alias("as_header")), "key").where("as_title > as_header").select("key")
+    own = per.join(titles, ["file_id", "key"], "left_anti").join(headings, "key", "left_anti")
+    return spread_semi(keyed, own)
+
+
+def spread_semi(keyed: DataFrame, own: DataFrame) -> DataFrame:
+    """(chunk_id, idx) of the lines with a header's key; a header that a large file repeats is no single task."""
+    named = lambda df: df.withColumn("place", F.struct("file_id", "key"))
+    return spread_join(named(keyed).select("place", "chunk_id", "idx"), named(own).select("place"), "place").select("chunk_id", "idx")
 
 
 _ROW = regex.compile(r"^\S.*[^.\d]\s-?\d+(?:\.\d+)?%?$")
@@ -191,7 +190,7 @@ def tokens_of(body: DataFrame) -> DataFrame:
     words = F.split(F.regexp_replace("body", r"[\p{IsHan}，。；：！？、（）《》“”「」]+", " "), r"[\s/]+")
     bare = F.regexp_replace("word", r"^[(\[\"'‘“]+|[.,;:?!)\]\"'’”%]+$", "")
     rows = body.select("chunk_id", F.posexplode(words).alias("pos", "word")).select("chunk_id", "pos", bare.alias("token"))
-    return rows.where(F.length("token").between(2, 40) & F.col("token").rlike(r"\p{L}"))
+    return rows.where((F.length("token") >= 2) & F.col("token").rlike(r"\p{L}"))
 
 
 def _joint(n: int) -> Column:
@@ -205,15 +204,15 @@ def broken_words(tokens: DataFrame, counts: DataFrame) -> DataFrame:
     the plain hyphen are no letter of any word. Where neither form is known, a part that begins with a capital or
     digit, or two parts that are words themselves, make a compound.
     """
-    split = tokens.where(F.col("token").contains(JOINT)).select("token").distinct()
-    parts = split.select("token", _joint(0).alias("l"), _joint(1).alias("mark"), _joint(2).alias("r"))
-    forms = parts.select("token", "l", "mark", "r", F.concat("l", "r").alias("whole"), F.concat("l", F.lit("-"), "r").alias("own"), F.element_at(F.split("l", "-"), -1).alias("ll"), F.element_at(F.split("r", "-"), 1).alias("rr"))
+    split = tokens.where(F.col("token").contains(JOINT)).groupBy("token").agg(F.count("*").alias("times"))
+    parts = split.select("token", "times", _joint(0).alias("l"), _joint(1).alias("mark"), _joint(2).alias("r"))
+    forms = parts.select("token", "times", "l", "mark", "r", F.concat("l", "r").alias("whole"), F.concat("l", F.lit("-"), "r").alias("own"), F.element_at(F.split("l", "-"), -1).alias("ll"), F.element_at(F.split("r", "-"), 1).alias("rr"))
     look = counts.select(F.col("word").alias("w"), "n")
     wanted = forms.select("token", F.explode(F.create_map(F.lit("whole"), F.lower("whole"), F.lit("own"), F.lower("own"), F.lit("ll"), F.lower("ll"), F.lit("rr"), F.lower("rr"))).alias("form", "w"))
     found = wanted.join(look, "w", "left").groupBy("token").pivot("form", ["whole", "own", "ll", "rr"]).agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"))
-    known = forms.select("token", "mark", "r", F.col("whole").alias("joined"), F.col("own").alias("compound")).join(found, "token")
+    known = forms.select("token", "times", "mark", "r", F.col("whole").alias("joined"), F.col("own").alias("compound")).join(found, "token")
     plain = F.col("mark") == "-"
-    compound = plain & ((F.col("own") > F.col("whole")) | ((F.col("own") == F.col("whole")) & (F.col("r").rlike(r"^[\p{Lu}\d]") | ((F.col("ll") >= SEEN) & (F.col("rr") >= SEEN)))))
+    compound = plain & ((F.col("own") > F.col("whole")) | ((F.col("own") == F.col("whole")) & (F.col("r").rlike(r"^[\p{Lu}\d]") | (F.least("ll", "rr") >= F.col("times") * HALVES))))
     return known.select("token", F.when(compound, F.col("compound")).otherwise(F.col("joined")).alias("whole"), (~compound).alias("broken"))
 
 
@@ -293,37 +292,70 @@ def misreading_cost(seen: str, true: str) -> float | None:
     return best.get((len(seen), len(true)))
 
 
+def vocabulary_keys(word: str) -> list[str]:
+    """The three segments of a word, each with its number and the word's length: whatever is within EDITS of the word holds one
+    of them unchanged."""
+    m = len(word)
+    ends = (0, m // 3, m // 3 + (m + 1) // 3, m)
+    return [f"{i} {m} {word[ends[i] : ends[i + 1]]}" for i in range(3)]
+
+
+def suspect_keys(word: str) -> set[str]:
+    """The keys of every vocabulary word within EDITS of this one, among others: for each length such a word can have, the
+    stretches of this one that its segments can stand at. Left of segment i there are at most i edits if it is the first that
+    is unchanged on that count, and right of it EDITS - i."""
+    n, keys = len(word), set()
+    for m in range(max(3, n - EDITS), n + EDITS + 1):
+        ends, shift = (0, m // 3, m // 3 + (m + 1) // 3, m), n - m
+        for i in range(3):
+            size = ends[i + 1] - ends[i]
+            first, last = max(ends[i] - i, ends[i] + shift - (EDITS - i), 0), min(ends[i] + i, ends[i] + shift + (EDITS - i), n - size)
+            keys.update(f"{i} {m} {word[at : at + size]}" for at in range(first, last + 1))
+    return keys
+
+
 def repairs(counts: DataFrame) -> DataFrame:
     """(word, true, cost, n): for words (word, n) all true forms that are RATIO times as frequent and explain it by
     misreading.
 
-    Suspects meet the vocabulary in blocks of both: each task builds the trie of one block of words and intersects
-    the automata of one block of suspects with it. Both block counts follow the sizes, so a task's work is bounded,
-    nothing is sent to the driver, and no candidate is lost.
+    Suspects and vocabulary meet where they share a segment that an edit can't have touched in all three places at once; in
+    each such bucket the suspects' automata are intersected with the trie of the bucket's words. Work follows the candidates,
+    not the product of both; blocks of buckets follow the number of keys, nothing is sent to the driver but that number, and
+    no candidate is lost.
     """
-    vocabulary = counts.where((F.col("n") >= SEEN) & F.col("word").rlike(r"^[\p{L}][\p{L}'’\-]+$") & (F.length("word") >= 3))
-    suspects = counts.where(F.length("word").between(3, 30) & ~F.col("word").rlike(r"^(?:[0-9a-f]{12,}|[acgt]{9,}|\d.{0,2}|\d+(?:st|nd|rd|th))$"))
-    sizes = suspects.agg(F.count("*")).first()[0], vocabulary.agg(F.count("*")).first()[0]
-    rows, shards = max(24, math.ceil(sizes[0] / SUSPECTS)), max(1, math.ceil(sizes[1] / WORDS))
-    left = suspects.select(F.pmod(F.xxhash64("word"), F.lit(rows)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "word", "n")
-    right = vocabulary.select(F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("block"), F.pmod(F.xxhash64("word", F.lit(1)), F.lit(shards)).cast("int").alias("shard"), "word", "n")
+    vocabulary = counts.where((F.col("n") >= RATIO) & F.col("word").rlike(r"^[\p{L}][\p{L}'’\-]+$") & (F.length("word") >= 3))
+    suspects = counts.where((F.length("word") >= 3) & ~F.col("word").rlike(r"^(?:\d.{0,2}|\d+(?:st|nd|rd|th))$"))
+    blocks = max(24, math.ceil(counts.count() * 20 / BLOCK_KEYS))
+    # little data and much work: a fixed number of partitions, which adaptive execution doesn't merge
+    tasks = min(blocks, 4 * max(8, counts.sparkSession.sparkContext.defaultParallelism))
+
+    def keyed(words: DataFrame, keys_of: Callable[[str], Iterable[str]]) -> DataFrame:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                rows = [(xxhash.xxh32_intdigest(k) % blocks, k, w, n) for w, n in zip(pdf["word"], pdf["n"], strict=True) for k in keys_of(w)]
+                yield pd.DataFrame(rows, columns=["block", "key", "word", "n"])
+
+        return words.repartition(tasks, "word").mapInPandas(run, "block int, key string, word string, n bigint").repartition(tasks, "block")
 
     def search(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         frequency = dict(zip(b["word"], b["n"], strict=True))
-        trie = Trie(list(frequency))
-        rows = []
-        for word, n in zip(a["word"], a["n"], strict=True):
-            for true, distance in trie.within(word, EDITS):
-                if distance and frequency[true] >= RATIO * n:
+        buckets = {k: list(x) for k, x in b.groupby("key")["word"]}
+        tries: dict[str, Trie] = {}
+        rows: dict[tuple[str, str], tuple[float, int]] = {}
+        for key, word, n in zip(a["key"], a["word"], a["n"], strict=True):
+            if key not in buckets:
+                continue
+            if key not in tries:
+                tries[key] = Trie(buckets[key])
+            for true, distance in tries[key].within(word, EDITS):
+                if distance and frequency[true] >= RATIO * n and (word, true) not in rows:
                     cost = misreading_cost(word, true)
                     if cost is not None and cost <= EDITS:
-                        rows.append((word, true, cost, int(frequency[true])))
-        return pd.DataFrame(rows, columns=["word", "true", "cost", "n"])
+                        rows[word, true] = (cost, int(frequency[true]))
+        return pd.DataFrame([(w, t, c, n) for (w, t), (c, n) in rows.items()], columns=["word", "true", "cost", "n"])
 
-    # little data and much work: a fixed number of partitions, which adaptive execution doesn't merge
-    tasks = min(rows * shards, 4 * max(8, counts.sparkSession.sparkContext.defaultParallelism))
-    left, right = left.repartition(tasks, "block", "shard"), right.repartition(tasks, "block", "shard")
-    return left.groupBy("block", "shard").cogroup(right.groupBy("block", "shard")).applyInPandas(search, "word string, true string, cost double, n bigint")
+    left, right = keyed(suspects, suspect_keys), keyed(vocabulary, vocabulary_keys)
+    return left.groupBy("block").cogroup(right.groupBy("block")).applyInPandas(search, "word string, true string, cost double, n bigint").distinct()
 
 
 def noise(chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -333,22 +365,26 @@ def noise(chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     tokens = cut(tokens_of(body))
     counts = cut(tokens.where(~F.col("token").contains(JOINT)).groupBy(F.lower("token").alias("word")).agg(F.count("*").alias("n")))
     joints = cut(broken_words(tokens, counts))
-    words = tokens.join(joints, "token", "left").select("chunk_id", "pos", "token", F.coalesce("whole", "token").alias("whole"), F.coalesce("broken", F.lit(False)).alias("broken"))
-    words = cut(words)
-    every = words.groupBy(F.lower("whole").alias("word")).agg(F.count("*").alias("n"))
-    found = cut(repairs(every))
+    split = F.col("token").contains(JOINT)
+    words = tokens.where(~split).select("chunk_id", "pos", "token", F.col("token").alias("whole"), F.lit(False).alias("broken"))
+    words = cut(words.unionByName(tokens.where(split).join(joints, "token").select("chunk_id", "pos", "token", "whole", "broken")))
+    every = cut(words.groupBy(F.lower("whole").alias("word")).agg(F.count("*").alias("n")))
+    found = cut(repairs(every).groupBy("word").agg(F.collect_list(F.struct("true", "cost", "n")).alias("forms")))
+    total = every.agg(F.sum("n")).first()[0] or 0
+    hot = [r[0] for r in every.where(F.col("n") > max(HOT_ROWS, total * HOT_SHARE)).select("word").collect()]  # at most 1 / HOT_SHARE
     before = F.lower(F.lag("whole").over(Window.partitionBy("chunk_id").orderBy("pos")))
     placed = words.withColumn("before", before).withColumn("word", F.lower("whole"))
     fragment = (F.length("whole") < 5) & F.col("whole").rlike(r"^\p{Lu}\p{L}+$")  # of a name, cut by a line's end
-    misread = placed.where(~fragment).join(found, "word").select("chunk_id", "pos", "token", "whole", "before", "true", "cost", "n")
+    misread = spread_join(placed.where(~fragment), found, "word", hot=hot).select("chunk_id", "pos", "token", "whole", "before", F.inline("forms"))
     pairs = placed.where("before is not null").groupBy("before", F.col("word").alias("true")).agg(F.count("*").alias("together"))
     ranked = misread.join(pairs, ["before", "true"], "left").groupBy("chunk_id", "pos", "token", "whole").agg(F.min_by("true", F.struct("cost", -F.coalesce("together", F.lit(0)), -F.col("n"), "true")).alias("true"))
     return body, words, ranked
 
 
 def chunk_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks by key, exact duplicates once; of rows that share a key one is kept."""
-    return table(spark, sf_dir, "chunks").select("chunk_id", "file_id", "text", "section_path", "page_start", "page_end").dropDuplicates(["chunk_id"])
+    """Chunks by key, exact duplicates once; of rows that share a key the one whose text comes first, then file, section and pages."""
+    row = F.min(F.struct(F.col("text").isNull().alias("none"), "text", "file_id", "section_path", "page_start", "page_end")).alias("r")
+    return table(spark, sf_dir, "chunks").groupBy("chunk_id").agg(row).select("chunk_id", "r.file_id", "r.text", "r.section_path", "r.page_start", "r.page_end")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,6 +58,39 @@ def test_automaton_and_trie_find_every_word_within_reach():
             assert sorted(trie.within(w, edits)) == sorted((x, distance(w, x)) for x in words if distance(w, x) <= edits)
 
 
+def test_words_within_reach_share_a_segment():
+    source = random.Random(14)
+    for _ in range(4000):
+        word = "".join(source.choice("abcdef") for _ in range(source.randint(3, 14)))
+        seen = list(word)
+        for _ in range(source.randint(0, scans.EDITS)):
+            at, kind = source.randrange(len(seen) + 1), source.randrange(3)
+            if kind == 0:
+                seen.insert(at, source.choice("abcdef"))
+            elif at < len(seen):
+                seen[at : at + 1] = [source.choice("abcdef")] if kind == 1 else []
+        if len(seen) >= 3:
+            assert set(scans.vocabulary_keys(word)) & scans.suspect_keys("".join(seen)), (word, seen)
+
+
+def test_repairs_equal_brute_force(spark):
+    source = random.Random(15)
+    true = ["calibration", "claim", "vaccine", "method", "training", "modern", "summary", "clinic", "w" * 45 + "m"]
+    seen = {w: 100 for w in true} | {"ca1ibration": 2, "clairn": 3, "dairn": 1, "rnethod": 90, "surnrnary": 4, "zzz": 1, "vvvvvv": 1, "w" * 45 + "rn": 1}
+    seen |= {"".join(source.choice("acgt") for _ in range(12)): 1 for _ in range(30)}
+    want = {(w, t) for w, n in seen.items() for t in true if w != t and 100 >= scans.RATIO * n and scans.Trie([t]).within(w, scans.EDITS) and (scans.misreading_cost(w, t) or 9) <= scans.EDITS}
+    got = {(r.word, r.true) for r in scans.repairs(spark.createDataFrame(list(seen.items()), "word string, n bigint")).collect()}
+    assert got == want and len(want) >= 4
+
+
+def test_a_header_in_a_third_of_all_files_and_one_in_lower_case(spark):
+    rows = [(f"f{f}", f"c{f:02d}{k}", f"{'Letters on Vaccine Studies, Vol. 3' if f < 10 else 'proceedings of the society for measures'}   {k}\nword{f} word{k} goes on here{k}.", ["1 Results"], k, k) for f in range(30) for k in range(4) if f < 20]
+    rows += [(f"f{f}", f"c{f:02d}{k}", f"Results\nother{f} text{k} about it.", ["1 Results"] if k else None, k, k) for f in range(20, 30) for k in range(4)]
+    df = spark.createDataFrame(rows, "file_id string, chunk_id string, text string, section_path array<string>, page_start int, page_end int")
+    got = {(r.chunk_id, r.idx) for r in scans.headers(df).collect()}
+    assert got == {(f"c{f:02d}{k}", 0) for f in range(20) for k in range(4)}
+
+
 def test_misreadings():
     assert scans.misreading_cost("vaccirie", "vaccine") == 1 and scans.misreading_cost("c1aim", "claim") == 0.5
     assert scans.misreading_cost("claims", "claim") is None and scans.misreading_cost("word", "word") == 0
