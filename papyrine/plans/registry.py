@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from papyrine.plans import documents, relational, retrieval
+from papyrine.plans import documents, relational, retrieval, rules
 
-MODULES: tuple = (retrieval, relational, documents)
+#: A later module's query takes the place of an earlier one's of the same name.
+MODULES: tuple = (retrieval, relational, documents, rules)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,5 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     found: dict = {}
     for module in MODULES:
+        for name in module.QUERIES:
+            found.pop(name, None)
         found.update(module.SQL)
     return found

@@ -17,11 +17,15 @@ def duck():
     return connect(DATA)
 
 
+#: What SQL has no form of: compatibility normal forms, JSON at any depth, similarity by matching blocks.
+NO_SQL = {"q_nfkc", "q_redact_json", "q_canonical_json"}
+
+
 def test_each_has_sql():
-    assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) == set(SQL) | NO_SQL and not NO_SQL & set(SQL)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_same_as_sql(spark, duck, name):
     got, want = QUERIES[name](spark, DATA).toPandas(), oracle(duck, SQL[name])
     assert sorted(got.columns) == sorted(want.columns)
