@@ -36,7 +36,7 @@ HALVES = 4
 #: Keys of suspects and of vocabulary that one block of the search holds, about.
 BLOCK_KEYS = 200_000
 #: Running text that repeats counts as a header only in so many of its file's chunks, and in this share of them.
-RUNNING_CHUNKS, RUNNING_SHARE = 3, 0.25
+RUNNING_CHUNKS, RUNNING_SHARE = 3, 0.5
 
 _NUMBER = regex.compile(r"^[\s\-–—\[(|·.]*(?:(page|p\.|pp\.|seite|第)\s*)?(\d{1,5}|[ivxlcdmIVXLCDM]{1,8})(?:\s*(?:of|/)\s*\d{1,5})?\s*(页)?[\s\-–—\])|·.]*$", regex.IGNORECASE)
 _EDGE_NUMBER = regex.compile(r"^\s*(\d{1,5})\s+(?=\S)|(?<=\S)\s+(\d{1,5})\s*$")
@@ -85,7 +85,7 @@ _SAME_GROUPS = (("rn", "m"), ("vv", "w"), ("el", "d"), ("ll", "h"), ("rl", "n"))
 #: What is no header: a page number alone, a caption, a row of a table, a bracket or a mark of Han text, the end of a sentence.
 _NO_HEADER = (
     r"(?i)^[\s\-–—\[(|·.]*(?:(?:page|p\.|pp\.|seite|第)\s*)?(?:\d{1,5}|[ivxlcdm]{1,8})(?:\s*(?:of|/)\s*\d{1,5})?\s*页?[\s\-–—\])|·.]*$"
-    r"|^\s*(?:table|fig(?:ure)?\.?|图|表)\s*\d+\b|^\S.*\s-?\d+\.\d+%?\s*$|[(，。；]|(?<!\bal)[.!?,;:]\s*$"
+    r"|^\s*(?:table|fig(?:ure)?\.?|图|表)\s*\d+\b|^\S.*\s-?\d+\.\d+%?\s*$|[(，。；]|(?<!\ba[l1I!|])[.!?,;:]\s*$"
 )
 _RUNNING = r"(?<![\p{L}\d_\-@†¢!])\p{Ll}[\p{L}\d_\-@†¢!]{3,}"
 
@@ -101,7 +101,8 @@ def header_key(line: Column) -> Column:
 
 
 def headers(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, idx) of the lines that repeat their file's running header, wherever in a chunk they stand.
+    """(chunk_id, idx) of the lines that repeat their file's running header, wherever in a chunk they stand; in Han text, which
+    doesn't show by its form what is running text, where a page can begin: at the chunk's top, or in one that runs over a page.
 
     A header's key stands in two or more chunks of its file. Lines of running text, which hold a longer word in lower case,
     must stand in RUNNING_SHARE of them, since sentences repeat too. The title of one of the file's own sections is no header,
@@ -109,8 +110,10 @@ def headers(chunks: DataFrame) -> DataFrame:
     that a file with a large part of all chunks is no single task; files, however many share a header, are judged each alone.
     """
     text = F.split(F.regexp_replace("text", "\r\n?", "\n"), "\n")
-    lines = chunks.where("text is not null and file_id is not null").select("file_id", "chunk_id", F.posexplode(text).alias("idx", "line"))
-    keyed = cut(lines.where(F.length("line") >= 4).select("file_id", "chunk_id", "idx", header_key(F.col("line")).alias("key"), F.col("line").rlike(_RUNNING).alias("running")).where("key is not null"))
+    over = F.coalesce(F.col("page_end") > F.col("page_start"), F.col("page_start").isNull(), F.lit(False))
+    lines = chunks.where("text is not null and file_id is not null").select("file_id", "chunk_id", over.alias("over"), F.posexplode(text).alias("idx", "line"))
+    edge = (F.col("idx") <= 2) | F.col("over") | ~F.col("line").rlike(r"\p{IsHan}")
+    keyed = cut(lines.where((F.length("line") >= 4) & edge).select("file_id", "chunk_id", "idx", header_key(F.col("line")).alias("key"), F.col("line").rlike(_RUNNING).alias("running")).where("key is not null"))
     sizes = chunks.where("file_id is not null").groupBy("file_id").agg(F.countDistinct("chunk_id").alias("chunks"))
     per = keyed.groupBy("file_id", "key", "chunk_id").agg(F.bool_and("running").alias("running")).groupBy("file_id", "key").agg(F.count("*").alias("n"), F.bool_and("running").alias("running")).where("n >= 2")
     often = (F.col("n") >= RUNNING_CHUNKS) & (F.col("n") >= F.col("chunks") * RUNNING_SHARE)
