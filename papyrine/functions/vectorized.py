@@ -1,21 +1,22 @@
-"""Arrow-batched functions for what Catalyst has no expression for."""
+"""Arrow-batched functions for what Catalyst has no expression for: they take whole columns and work in numpy where they can."""
 
 from __future__ import annotations
 
 import hashlib
-import math
 import random
-import re
 import unicodedata
-from collections import Counter
+from collections.abc import Callable
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from papyrine.functions.text import query_terms
+from papyrine.functions.text import retrieval_terms
+
+DIMENSIONS = 1024
 
 
 @F.pandas_udf(T.StringType())
@@ -24,47 +25,74 @@ def nfkc_casefold(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold())
 
 
-def ratio(a: str, b: str) -> float:
-    """The greatest of the matching-block ratio with and without spaces, and the Jaccard similarity of the words."""
-    x, y = set(re.findall(r"\w+", a)), set(re.findall(r"\w+", b))
-    jaccard = len(x & y) / len(x | y) if x | y else 0.0
-    return max(SequenceMatcher(None, a, b).ratio(), SequenceMatcher(None, a.replace(" ", ""), b.replace(" ", "")).ratio(), jaccard)
+@F.pandas_udf(T.DoubleType())
+def title_similarity(left: pd.Series, right: pd.Series) -> pd.Series:
+    """The greatest of three measures of two titles: matching blocks, the same without spaces, and shared words. Pairs that repeat in
+    a batch are judged once. Null with a null, 0 with an empty title."""
+    pairs = pd.DataFrame({"l": left, "r": right})
+    distinct = pairs.dropna().drop_duplicates()
+    blocks = [SequenceMatcher(None, a, b).ratio() for a, b in distinct.itertuples(index=False)]
+    tight = [SequenceMatcher(None, a, b).ratio() for a, b in zip(distinct["l"].str.replace(" ", ""), distinct["r"].str.replace(" ", ""), strict=True)]
+    sets = [(frozenset(a.split()), frozenset(b.split())) for a, b in distinct.itertuples(index=False)]
+    shared = [len(a & b) / max(1, len(a | b)) for a, b in sets]
+    full = np.array([bool(a) and bool(b) for a, b in distinct.itertuples(index=False)], dtype=bool)
+    distinct = distinct.assign(s=np.where(full, np.max([blocks, tight, shared], axis=0), 0.0) if len(distinct) else [])
+    return pairs.merge(distinct, how="left", on=["l", "r"])["s"].astype("float64")
 
 
-@F.pandas_udf(T.DoubleType())
-def title_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else ratio(x, y) for x, y in zip(a, b, strict=True)])
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _embedded(terms: pd.Series) -> pd.Series:
+    known = pd.unique(np.concatenate([t for t in terms if t is not None and len(t)] or [np.empty(0, dtype=object)]))
+    raw = np.array([list(hashlib.blake2b(t.encode(), digest_size=8).digest()) for t in known], dtype=np.uint64).reshape(len(known), 8)
+    place = pd.Series(raw[:, 6] * 256 % DIMENSIONS + raw[:, 7], index=known, dtype="int64")  # the last bytes decide, since 1024 divides 2**16
+    sign = pd.Series(np.where(raw[:, 0] % 2 == 0, 1.0, -1.0), index=known)
 
+    def one(row: np.ndarray | None) -> np.ndarray | None:
+        if row is None:
+            return None
+        seen, counts = np.unique(np.asarray(row, dtype=object), return_counts=True) if len(row) else (np.empty(0, dtype=object), np.empty(0))
+        vector = np.bincount(place.reindex(seen).to_numpy(dtype="int64"), sign.reindex(seen).to_numpy() * (1 + np.log(counts)), DIMENSIONS) if len(seen) else np.zeros(DIMENSIONS)
+        return vector / (np.linalg.norm(vector) or 1.0)
 
-def hash_vector(text: str, dimensions: int = 1024) -> list[float]:
-    """A text's unit vector: each term adds 1 + ln(count) at a hashed place, the sign by the hash's first byte."""
-    vector = [0.0] * dimensions
-    for term, n in Counter(query_terms(text)).items():
-        digest = hashlib.blake2b(term.encode(), digest_size=8).digest()
-        vector[int.from_bytes(digest, "big") % dimensions] += (1 + math.log(n)) * (1 if digest[0] % 2 == 0 else -1)
-    norm = math.sqrt(sum(v * v for v in vector))
-    return [v / norm for v in vector] if norm else vector
+    return terms.map(one)
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def hash_embedding(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: None if t is None else hash_vector(t))
+def hash_embedding(text: Column | str) -> Column:
+    """A text's unit vector: each term adds 1 + ln(count) at a hashed place, the sign by the hash's first byte. The terms are made
+    in the JVM; null stays null, a text without terms is all zeros."""
+    return _embedded(retrieval_terms(F.col(text) if isinstance(text, str) else text))
 
 
-def percentile(values: list[float], q: float) -> float:
+def percentile(values: np.ndarray | list[float], q: float) -> float:
     """Linear interpolation between the closest ranks."""
-    ordered = sorted(values)
-    at = (len(ordered) - 1) * q
-    low = math.floor(at)
-    high = min(low + 1, len(ordered) - 1)
-    return ordered[low] + (ordered[high] - ordered[low]) * (at - low)
-
-
-def bootstrap(values: list[float], seed: int, resamples: int = 2000, alpha: float = 0.05) -> tuple[float, float]:
-    """Seeded percentile interval of the mean."""
-    draw, n = random.Random(seed), len(values)
-    means = [sum(values[draw.randrange(n)] for _ in range(n)) / n for _ in range(resamples)]
-    return percentile(means, alpha / 2), percentile(means, 1 - alpha / 2)
+    return float(np.quantile(np.asarray(values, dtype=float), q, method="linear"))
+
+
+def draws(n: int, seed: int, resamples: int) -> np.ndarray:
+    """The rows of each resample, by the generator that the golden values were made with: a row of n places a resample."""
+    source = random.Random(seed)
+    return np.fromiter((source.randrange(n) for _ in range(n * resamples)), dtype=np.int64, count=n * resamples).reshape(resamples, n)
+
+
+def interval(statistics_: np.ndarray, alpha: float) -> tuple[float, float]:
+    return percentile(statistics_, alpha), percentile(statistics_, 1 - alpha)
+
+
+def mean_of(rows: np.ndarray) -> np.ndarray:
+    return rows.mean(axis=-1)
+
+
+def bootstrap(values: list[float], seed: int, resamples: int = 2000, alpha: float = 0.025, statistic: Callable = mean_of) -> tuple[float, float]:
+    """Seeded percentile interval of a statistic, alpha on either side."""
+    v = np.asarray(values, dtype=float)
+    return interval(statistic(v[draws(len(v), seed, resamples)]), alpha)
+
+
+def paired_bootstrap(candidate: list[float], baseline: list[float], seed: int, resamples: int = 2000, alpha: float = 0.025, statistic: Callable = mean_of) -> tuple[float, float, float]:
+    """(difference, low, high) of a statistic of two arms whose rows are drawn together."""
+    a, b = np.asarray(candidate, dtype=float), np.asarray(baseline, dtype=float)
+    at = draws(len(a), seed, resamples)
+    return (float(statistic(a) - statistic(b)), *interval(statistic(a[at]) - statistic(b[at]), alpha))
 
 
 def bootstrap_by(df: DataFrame, group: str, order: str, value: str, seed: int = 17, resamples: int = 2000) -> DataFrame:

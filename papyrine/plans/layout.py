@@ -98,7 +98,7 @@ def q_parent_chunks(spark, d):
     """One parent chunk per section: its title, then its chunks' texts in order."""
     c = table(spark, d, "chunks").where("file_id is not null and text is not null and size(section_path) > 0").select("file_id", "section_path", "chunk_id", "text", "page_start", F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(0.0).alias("x1"), F.lit(0.0).alias("y1")).distinct()
     r = L.chunk_rows(c.select("file_id", "section_path", F.col("chunk_id").alias("block_id"), "text", F.col("page_start").alias("page"), "x0", "y0", "x1", "y1"), ["file_id", "section_path"], ["block_id"])
-    return r.select("file_id", F.array_join("section_path", " / ").alias("section"), F.md5(F.concat(F.element_at("section_path", -1), F.lit("\n"), F.col("text"))).alias("text"), F.size("block_ids").cast("bigint").alias("children"))
+    return r.select("file_id", F.array_join("section_path", " / ").alias("section"), F.md5(F.concat(F.try_element_at("section_path", F.lit(-1)), F.lit("\n"), F.col("text"))).alias("text"), F.size("block_ids").cast("bigint").alias("children"))
 
 
 def q_searchable(spark, d):

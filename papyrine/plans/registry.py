@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from papyrine.plans import documents, layout, relational, retrieval, rules
+from papyrine.plans import documents, layout, relational, retrieval, rules, sections
 
 #: A later module's query takes the place of an earlier one's of the same name.
-MODULES: tuple = (retrieval, relational, documents, rules, layout)
+MODULES: tuple = (retrieval, relational, documents, rules, layout, sections)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
