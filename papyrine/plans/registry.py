@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from papyrine.plans import documents, layout, metrics, relational, retrieval, rules, sections
+from papyrine.plans import documents, layout, metrics, relational, retrieval, rules, sections, verification
 
 #: A later module's query takes the place of an earlier one's of the same name.
-MODULES: tuple = (retrieval, relational, documents, rules, layout, sections, metrics)
+MODULES: tuple = (retrieval, relational, documents, rules, layout, sections, metrics, verification)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
