@@ -303,7 +303,7 @@ def coverage(chunks: DataFrame, budget: int) -> DataFrame:
     used = large.groupBy("file_id").agg(F.coalesce(F.sum(F.when(F.col("must"), F.col("size"))), F.lit(0)).alias("used"), F.array_sort(F.collect_list(F.when(~F.col("must") & (F.col("size") <= budget), F.struct("n", "size")))).alias("rest"))
     start = F.struct(F.col("used").cast("bigint").alias("used"), F.lit("").alias("out"))
     step = lambda a, x: F.when(a["used"] + x["size"] <= budget, F.struct((a["used"] + x["size"]).cast("bigint").alias("used"), F.concat(a["out"], F.lit(","), x["n"].cast("string")).alias("out"))).otherwise(a)
-    taken = used.select("file_id", F.explode(F.filter(F.split(F.aggregate("rest", start, step, lambda a: a["out"]), ","), lambda x: x != "")).cast("bigint").alias("n"))
+    taken = used.select("file_id", F.explode(F.transform(F.filter(F.split(F.aggregate("rest", start, step, lambda a: a["out"]), ","), lambda x: x != ""), lambda x: x.cast("bigint"))).alias("n"))
     picked = large.where("must").select("file_id", "id", "n").unionByName(large.join(taken, ["file_id", "n"], "left_semi").select("file_id", "id", "n"))
     every = cut(whole.unionByName(picked))
     place = numbered(every, ["file_id"], ["n"], "i")

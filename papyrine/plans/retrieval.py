@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from papyrine.functions.text import cosine, retrieval_terms
 from papyrine.operators import retrieval as R
+from papyrine.plans.runtime import spread_scan
 from papyrine.sources.tables import table
 
 QUERY = "calibration error of the probabilistic checkpoint"
@@ -17,6 +18,12 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "chunks").where("text is not null").select(F.col("chunk_id").alias("id"), "file_id", "text", "section_path", "page_start").distinct()
 
 
+def scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with exact copies: for what drops them once rows are narrow."""
+    chunks = table(spark, sf_dir, "chunks").select(F.col("chunk_id").alias("id"), "file_id", "text", "section_path", "page_start")
+    return spread_scan(chunks, "id").where("text is not null")
+
+
 def q_terms(spark, d):
     rows = corpus(spark, d).select("id", retrieval_terms(F.col("text")).alias("t"))
     return rows.select("id", F.size("t").cast("bigint").alias("n_terms"), F.size(F.array_distinct("t")).cast("bigint").alias("n_distinct"), F.md5(F.array_join("t", " ")).alias("digest"))
@@ -52,7 +59,7 @@ def q_rerank(spark, d):
 
 
 def q_hybrid(spark, d):
-    return R.hybrid(corpus(spark, d), QUERY).select("id", "score", F.col("rank").cast("bigint").alias("rank"))
+    return R.hybrid(scan(spark, d), QUERY).select("id", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
 def q_vector_topk(spark, d):

@@ -40,6 +40,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread_scan(scan: DataFrame, column: str) -> DataFrame:
+    """A scan's rows dealt out evenly where the input has fewer partitions than the cluster has cores and the work on them is
+    costly; a larger input stays as it is read."""
+    spark = scan.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if scan.rdd.getNumPartitions() >= cores:
+        return scan
+    return scan.repartition(max(cores * 2, int(spark.conf.get("spark.sql.shuffle.partitions"))), column)
+
+
 def hot_keys(facts: DataFrame, key: str, total: int | None = None) -> list:
     """Keys that hold more than HOT_SHARE of the rows, by a pre-aggregated count: at most 1 / HOT_SHARE of them whatever the
     input. Null is no key."""
