@@ -10,7 +10,7 @@ from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -57,10 +57,12 @@ def _embedded(terms: pd.Series) -> pd.Series:
     return terms.map(one)
 
 
-def hash_embedding(text: Column | str) -> Column:
-    """A text's unit vector: each term adds 1 + ln(count) at a hashed place, the sign by the hash's first byte. The terms are made
-    in the JVM; null stays null, a text without terms is all zeros."""
-    return _embedded(retrieval_terms(F.col(text) if isinstance(text, str) else text))
+def with_hash_embedding(df: DataFrame, text: str, name: str = "embedding") -> DataFrame:
+    """df with each text's unit vector: each term adds 1 + ln(count) at a hashed place, the sign by the hash's first byte. The terms
+    are made in the JVM, as a column of their own that is used twice, so that they are not made again inside the function's
+    arguments; null stays null, a text without terms is all zeros."""
+    terms = df.withColumn("_terms", retrieval_terms(F.col(text)))
+    return terms.withColumn(name, F.when(F.size("_terms") >= 0, _embedded("_terms"))).drop("_terms")
 
 
 def percentile(values: np.ndarray | list[float], q: float) -> float:

@@ -25,10 +25,9 @@ def accepted_appends(appends: DataFrame, keys: Sequence[str], order: str, versio
     """(keys, order, version, accepted): an append counts if its version is one above that of the last one that counted, from 1; a
     rejected one changes nothing. One entry's versions are folded in order."""
     rows = appends.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, version))).alias("a"))
-    some = F.size("a") > 0  # a state of the same nullable type as the steps make
-    start = F.struct(F.when(some, F.lit(0).cast("bigint")).alias("now"), F.when(some, F.lit(",")).alias("out"))
+    start = F.struct(F.lit(0).cast("bigint").alias("now"), F.lit(",").alias("out"))
     step = lambda acc, x: F.when(x[version] == acc["now"] + 1, F.struct(x[version].cast("bigint").alias("now"), F.concat(acc["out"], x[order].cast("string"), F.lit(",")).alias("out"))).otherwise(acc)
-    return rows.select(*keys, F.aggregate("a", start, step, lambda acc: acc["out"]).alias("ok"), F.inline("a")).select(*keys, order, version, F.contains("ok", F.concat(F.lit(","), F.col(order).cast("string"), F.lit(","))).alias("accepted"))
+    return rows.select(*keys, F.aggregate("a", start, step, lambda acc: acc["out"]).alias("ok"), "a").select(*keys, "ok", F.inline("a")).select(*keys, order, version, F.contains("ok", F.concat(F.lit(","), F.col(order).cast("string"), F.lit(","))).alias("accepted"))
 
 
 def active_entries(log: DataFrame, keys: Sequence[str], order: str) -> DataFrame:

@@ -43,21 +43,6 @@ def q_chunk_pack(spark, d):
     return D.pack_blocks(docs(spark, d).select("doc_id", F.split("text", "\n").alias("blocks")), "doc_id", "blocks", 700)
 
 
-def q_chunk_agg(spark, d):
-    packed = D.pack_blocks(docs(spark, d).select("doc_id", F.split("text", "\n").alias("blocks")), "doc_id", "blocks", 700)
-    return packed.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum("n_chars").alias("n_chars"), F.max("n_chars").alias("largest"))
-
-
-def q_chunk_links(spark, d):
-    c = table(spark, d, "chunks").where("file_id is not null").select("file_id", "chunk_id").distinct()
-    w = Window.partitionBy("file_id").orderBy("chunk_id")
-    return c.select("chunk_id", F.lag("chunk_id").over(w).alias("previous"), F.lead("chunk_id").over(w).alias("next"))
-
-
-def q_headings(spark, d):
-    return D.headings(docs(spark, d))
-
-
 def q_section_tree(spark, d):
     return D.section_tree(table(spark, d, "chunks"))
 
@@ -66,31 +51,6 @@ def q_section_closure(spark, d):
     return D.section_closure(table(spark, d, "chunks"))
 
 
-def q_column_count(spark, d):
-    return D.column_count(table(spark, d, "chunks").where("bbox is not null and page_start is not null and file_id is not null").select("file_id", "chunk_id", "page_start", "bbox").distinct())
-
-
-def q_reading_order(spark, d):
-    c = table(spark, d, "chunks").where("bbox is not null and page_start is not null and file_id is not null").select("file_id", "chunk_id", "page_start", "bbox").distinct()
-    zone = F.when(F.col("bbox")[2] - F.col("bbox")[0] > 400, 0).when(F.col("bbox")[0] < 300, 1).otherwise(2)
-    w = Window.partitionBy("file_id", "page_start").orderBy("zone", F.col("bbox")[1], F.col("bbox")[0], "chunk_id")
-    return c.withColumn("zone", zone).select("chunk_id", F.row_number().over(w).cast("bigint").alias("position"))
-
-
-def q_summary_budget(spark, d):
-    """Chunks of each file in order that fit 3000 characters, skipping what doesn't fit, the first one in any case."""
-    c = table(spark, d, "chunks").where("text is not null and file_id is not null").select("file_id", "chunk_id", F.length("text").alias("n")).distinct()
-    ordered = c.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("chunk_id", "n"))).alias("items"))
-    return D.admit(ordered, "file_id", "items", "n", 3000).select("file_id", F.col("item.chunk_id").alias("chunk_id"))
-
-
-def q_budget_admit(spark, d):
-    """Per user the events that fit a budget of 500 in value, in order, skipping those that would exceed it."""
-    e = table(spark, d, "events").select("user_id", "event_id", F.round(F.col("value") * 100).cast("bigint").alias("cost"))
-    ordered = e.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "cost"))).alias("items"))
-    return D.admit(ordered, "user_id", "items", "cost", 50_000, keep_first=False).select("user_id", F.col("item.event_id").alias("event_id"))
-
-
 def q_context_admit(spark, d):
     """Per order the items that fit a context of 100 in quantity, in order, skipping what would exceed it and going on
     (q_context_pack and its SQL end at the first item that doesn't fit). No column marks an item as required."""
@@ -100,7 +60,7 @@ def q_context_admit(spark, d):
     return taken.groupBy("l_orderkey").agg(F.count("*").alias("kept"), F.sum("item.n").alias("tokens"))
 
 
-PYTHON = {f.__name__: f for f in (q_sentences, q_numbers, q_clean_markup, q_fingerprint, q_repeated_lines, q_chunk_pack, q_chunk_agg, q_chunk_links, q_headings, q_section_tree, q_section_closure, q_column_count, q_reading_order, q_summary_budget, q_budget_admit, q_context_admit)}
+PYTHON = {f.__name__: f for f in (q_sentences, q_numbers, q_clean_markup, q_fingerprint, q_repeated_lines, q_chunk_pack, q_section_tree, q_section_closure, q_context_admit)}
 
 _FOLD = """with recursive items as (select {key}, {id}, {n} as n, row_number() over (partition by {key} order by {id}) as k from {source}),
 walk({key}, k, used, {id}, taken) as (
@@ -132,22 +92,9 @@ _PYTHON_SQL = {
       l as (select distinct file_id, chunk_id, trim(unnest(string_split(text, chr(10))), ' ') as line from c)
       select file_id, line, count(*) as chunks from l join n using (file_id) where line <> '' group by file_id, line, n.n having count(*) >= greatest(2, (n.n + 1) // 2)""",
     "q_chunk_pack": f"with {_PACKED} select * from packed",
-    "q_chunk_agg": f"with {_PACKED} select doc_id, count(*) as chunks, cast(sum(n_chars) as bigint) as n_chars, max(n_chars) as largest from packed group by doc_id",
-    "q_chunk_links": "select chunk_id, lag(chunk_id) over w as previous, lead(chunk_id) over w as next from (select distinct file_id, chunk_id from chunks where file_id is not null) window w as (partition by file_id order by chunk_id)",
-    "q_headings": r"""with l as (select doc_id, unnest(bs) as line, unnest(range(len(bs))) as pos from (select doc_id, string_split(text, chr(10)) as bs from documents where text is not null)),
-      m as (select doc_id, cast(pos as bigint) as pos, line, regexp_extract(line, '^([0-9]+(?:\.[0-9]+)*)\.?\s+\S', 1) as number from l where length(line) <= 160)
-      select doc_id, pos, number, cast(length(number) - length(replace(number, '.', '')) + 1 as bigint) as level, trim(regexp_replace(lower(line), '^[0-9.]+\s+', ''), ' ') as title from m where number <> '' and not regexp_matches(line, '\.\s*$')""",
     "q_section_tree": f"with {_SECTIONS} select * from tree",
     "q_section_closure": f"""with recursive {_SECTIONS}, walk as (select file_id, path as root, path as node from tree union select w.file_id, w.root, t.path from walk w join tree t on t.file_id = w.file_id and t.parent = w.node)
       select file_id, root, count(*) - 1 as descendants from walk group by file_id, root""",
-    "q_column_count": """with c as (select distinct file_id, chunk_id, page_start, bbox from chunks where bbox is not null and page_start is not null and file_id is not null),
-      s as (select file_id, page_start, count(case when bbox[3] - bbox[1] <= 348 and (bbox[1] + bbox[3]) / 2 < 276 then 1 end) as l, count(case when bbox[3] - bbox[1] <= 348 and (bbox[1] + bbox[3]) / 2 > 324 then 1 end) as r,
-        median(case when bbox[3] - bbox[1] <= 348 and (bbox[1] + bbox[3]) / 2 < 276 then bbox[3] end) as lx, median(case when bbox[3] - bbox[1] <= 348 and (bbox[1] + bbox[3]) / 2 > 324 then bbox[1] end) as rx from c group by file_id, page_start)
-      select file_id, page_start, cast(case when l >= 2 and r >= 2 and rx - lx >= 9 then 2 else 1 end as int) as columns from s""",
-    "q_reading_order": """with c as (select distinct file_id, chunk_id, page_start, bbox from chunks where bbox is not null and page_start is not null and file_id is not null)
-      select chunk_id, row_number() over (partition by file_id, page_start order by case when bbox[3] - bbox[1] > 400 then 0 when bbox[1] < 300 then 1 else 2 end, bbox[2], bbox[1], chunk_id) as position from c""",
-    "q_summary_budget": _FOLD.format(key="file_id", id="chunk_id", n="length(text)", source="(select distinct file_id, chunk_id, text from chunks where text is not null and file_id is not null)", budget=3000, first="n", taken="true"),
-    "q_budget_admit": _FOLD.format(key="user_id", id="event_id", n="cast(round(value * 100) as bigint)", source="events", budget=50000, first="case when n <= 50000 then n else 0 end", taken="n <= 50000"),
     "q_context_admit": """with recursive items as (select l_orderkey, cast(l_quantity as bigint) as n, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) as k from lineitem),
       walk(l_orderkey, k, used, n, taken) as (
         select l_orderkey, k, case when n <= 100 then n else 0 end, n, n <= 100 from items where k = 1
@@ -160,54 +107,15 @@ _SEQ = "seq as (select user_id, event_id, ts, event_type, value, props, cast(row
 _REQ = "reqs as (select distinct case_id, prompt from eval_cases where prompt is not null)"
 STATEMENTS: dict[str, str | tuple[str, str]] = {
     # event logs and versioned state
-    "q_event_seq": f"with {_SEQ} select event_id, user_id, n from seq",
-    "q_events_after": f"with {_SEQ} select event_id, user_id, n from seq where n > 10",
-    "q_until_terminal": f"with {_SEQ}, t as (select user_id, min(n) as stop from seq where event_type = 'purchase' group by user_id) select s.event_id, s.user_id, s.n from seq s left join t on s.user_id = t.user_id where t.stop is null or s.n <= t.stop",
     "q_replay": (
         f"with {_SEQ} select user_id, array_join(transform(array_sort(collect_list(struct(n, event_type))), x -> x.event_type), '>') as path, count(*) as n from seq group by user_id",
         f"with {_SEQ} select user_id, string_agg(event_type, '>' order by n) as path, count(*) as n from seq group by user_id",
     ),
     "q_latest_state": ("select user_id, event_type, max_by(event_id, struct(ts, event_id)) as event_id from events group by user_id, event_type", "select user_id, event_type, arg_max(event_id, {'a': ts, 'b': event_id}) as event_id from events group by user_id, event_type"),
-    "q_version_audit": f"with {_SEQ}, v as (select user_id, event_id, value, lag(value) over (partition by user_id order by n) as prev from seq) select user_id, count(*) as events, count(case when value < prev then 1 end) as violations from v group by user_id",
-    "q_cascade": f"with {_SEQ}, bad as (select distinct user_id from seq where event_type = 'error' and value > 400) select event_id, user_id, user_id in (select user_id from bad) as invalidated from seq",
     "q_event_sse": ("select event_id, concat('id: ', cast(event_id as string), '\nevent: ', event_type, '\ndata: ', props, '\n\n') as frame from events", "select event_id, 'id: ' || event_id || chr(10) || 'event: ' || event_type || chr(10) || 'data: ' || props || chr(10) || chr(10) as frame from events"),
-    "q_idempotent": "select min(event_id) as event_id, user_id, event_type, cast(cast(date_trunc('day', ts) as date) as string) as day from events group by user_id, event_type, cast(date_trunc('day', ts) as date)",
-    "q_stale_jobs": "select user_id, max(ts) as last_seen from events group by user_id having max(ts) < timestamp '2024-01-30 12:00:00'",
-    "q_segments": f"with {_SEQ}, c as (select user_id, count(*) as total from seq group by user_id) select s.event_id, s.user_id, cast(floor((s.n - 1) / 12) as bigint) as segment from seq s join c on s.user_id = c.user_id where s.n <= c.total - 12",
-    "q_segment_sources": f"with {_SEQ} select user_id, cast(floor((n - 1) / 12) as bigint) as segment, min(event_id) as first_id, max(event_id) as last_id, count(*) as members from seq group by user_id, cast(floor((n - 1) / 12) as bigint)",
-    "q_summary_fallback": (
-        f"with {_SEQ}, l as (select *, row_number() over (partition by user_id order by n desc) as back from seq) select user_id, array_join(transform(array_sort(collect_list(struct(n, event_type))), x -> x.event_type), ' ') as summary from l where back <= 3 group by user_id",
-        f"with {_SEQ}, l as (select *, row_number() over (partition by user_id order by n desc) as back from seq) select user_id, string_agg(event_type, ' ' order by n) as summary from l where back <= 3 group by user_id",
-    ),
-    "q_running_budget": "select event_id, user_id, sum(cast(round(value * 100) as bigint)) over (partition by user_id order by ts, event_id rows unbounded preceding) > 500000 as over_budget from events",
-    "q_chain_complete": "select user_id, count(distinct case when event_type in ('signup', 'view', 'purchase') then event_type end) = 3 as complete from events group by user_id",
-    "q_related_context": f"with {_SEQ}, c as (select *, max(n) over (partition by user_id) as last from seq), p as (select user_id, event_id, n, last, sum(length(props) * 100) over (partition by user_id order by n desc rows unbounded preceding) as used from c) select user_id, event_id from p where used <= 3600 or n = last",
-    "q_memory_select": f"with {_SEQ}, h as (select user_id, event_id, n, value, row_number() over (partition by user_id order by value desc, n) as r from seq where event_type = 'click'), picked as (select user_id, n from h where r <= 6) select s.user_id, s.event_id from seq s join (select user_id, n from picked union select user_id, n + 1 from picked) p on s.user_id = p.user_id and s.n = p.n",
     "q_redact": ("select event_id, event_type, concat('redacted:', substring(sha2(props, 256), 1, 16), ':', cast(length(props) as string)) as props from events", "select event_id, event_type, 'redacted:' || sha256(props)[1:16] || ':' || length(props) as props from events"),
-    "q_topo": (
-        "with recursive deps as (select distinct l_suppkey as s, cast(l_suppkey / 2 as bigint) as p from lineitem where l_suppkey > 0), level as (select cast(0 as bigint) as node, 0 as depth union all select d.s, l.depth + 1 from level l join deps d on d.p = l.node where l.depth < 40) select node, cast(max(depth) as int) as depth from level group by node",
-        "with recursive deps as (select distinct l_suppkey as s, l_suppkey // 2 as p from lineitem where l_suppkey > 0), level as (select cast(0 as bigint) as node, 0 as depth union all select d.s, l.depth + 1 from level l join deps d on d.p = l.node where l.depth < 40) select node, cast(max(depth) as int) as depth from level group by node",
-    ),
     # functions over requests
-    "q_case_seed": ("select distinct case_id, cast(conv(substring(sha2(concat('17:', case_id), 256), 1, 15), 16, 10) as bigint) as seed from eval_cases", "select distinct case_id, cast('0x' || sha256('17:' || case_id)[1:15] as bigint) as seed from eval_cases"),
     "q_hash_profile": ("select distinct file_id, cast(conv(substring(sha2(file_id, 256), 1, 8), 16, 10) as bigint) % 3 as profile from render_samples", "select distinct file_id, cast('0x' || sha256(file_id)[1:8] as bigint) % 3 as profile from render_samples"),
-    "q_route_flags": (
-        f"with {_REQ} select case_id, prompt rlike '(?i)(compare|contrast|比较)' as compares, prompt rlike '(?i)(find|list|列出)' as searches, prompt rlike '(?i)(section|第[0-9]+节)' as sections, prompt rlike '[0-9]' as has_numbers from reqs",
-        f"with {_REQ} select case_id, regexp_matches(prompt, '(?i)(compare|contrast|比较)') as compares, regexp_matches(prompt, '(?i)(find|list|列出)') as searches, regexp_matches(prompt, '(?i)(section|第[0-9]+节)') as sections, regexp_matches(prompt, '[0-9]') as has_numbers from reqs",
-    ),
-    "q_requirement": (
-        f"with {_REQ} select case_id, case when prompt rlike '(?i)(compare|contrast|比较)' then 'comparison' when prompt rlike '(?i)summar|概括|总结' then 'summary' when prompt rlike '(?i)(support|contradict|核对)' then 'verification' else 'question' end as task, case when prompt rlike '(?i)section|节' then 0.92 else 0.75 end * 1e0 as confidence from reqs",
-        f"with {_REQ} select case_id, case when regexp_matches(prompt, '(?i)(compare|contrast|比较)') then 'comparison' when regexp_matches(prompt, '(?i)summar|概括|总结') then 'summary' when regexp_matches(prompt, '(?i)(support|contradict|核对)') then 'verification' else 'question' end as task, case when regexp_matches(prompt, '(?i)section|节') then 0.92 else 0.75 end * 1e0 as confidence from reqs",
-    ),
-    "q_rewrite": f"with {_REQ} select case_id, concat(prompt, case when lower(prompt) like '%result%' then ' 结果' else '' end, case when lower(prompt) like '%method%' then ' 方法' else '' end) as query from reqs",
-    "q_injection_guard": (
-        r"select doc_id, size(regexp_extract_all(lower(text), '(ignore (?:all|any|previous)|system prompt|disregard|<script)', 1)) > 0 as flagged, cast(least(1e0, size(regexp_extract_all(lower(text), '(ignore (?:all|any|previous)|system prompt|disregard|<script)', 1)) / 2e0) as double) as risk from documents where text is not null",
-        r"select doc_id, len(regexp_extract_all(lower(text), 'ignore (?:all|any|previous)|system prompt|disregard|<script')) > 0 as flagged, cast(least(1e0, len(regexp_extract_all(lower(text), 'ignore (?:all|any|previous)|system prompt|disregard|<script')) / 2e0) as double) as risk from documents where text is not null",
-    ),
-    "q_section_parse": (
-        f"with {_REQ} select case_id, regexp_extract(prompt, '([A-Z][A-Za-z]+(?: [A-Z][A-Za-z]+)?) section', 1) as title, regexp_extract(prompt, '(?:[Ss]ection |第)([0-9]+)', 1) as number, case when prompt rlike '(?:[Ss]ection |第)[0-9]+' then 99 when prompt rlike '[A-Z][a-z]+ section' then 97 else 0 end as confidence from reqs",
-        f"with {_REQ} select case_id, regexp_extract(prompt, '([A-Z][A-Za-z]+(?: [A-Z][A-Za-z]+)?) section', 1) as title, regexp_extract(prompt, '(?:[Ss]ection |第)([0-9]+)', 1) as number, case when regexp_matches(prompt, '(?:[Ss]ection |第)[0-9]+') then 99 when regexp_matches(prompt, '[A-Z][a-z]+ section') then 97 else 0 end as confidence from reqs",
-    ),
     "q_section_number": (
         r"select distinct file_id, chunk_id, array_join(transform(split(regexp_extract(section_path[size(section_path) - 1], '^([0-9.]+)', 1), '[.]'), x -> regexp_replace(x, '^0+', '')), '.') as number from chunks where size(section_path) > 0",
         r"select distinct file_id, chunk_id, array_to_string(list_transform(string_split(regexp_extract(section_path[len(section_path)], '^([0-9.]+)', 1), '.'), lambda x: regexp_replace(x, '^0+', '')), '.') as number from chunks where len(section_path) > 0",
@@ -220,78 +128,21 @@ STATEMENTS: dict[str, str | tuple[str, str]] = {
         r"with s as (select distinct file_id, lower(regexp_replace(element_at(section_path, -1), '^[0-9.]+ *', '')) as title from chunks where size(section_path) > 0 and file_id is not null) select file_id, title, case when title in ('method', 'methods', 'methodology', 'approach') then 'method' when title in ('results', 'findings', 'evaluation') then 'results' else title end as canonical from s",
         r"with s as (select distinct file_id, lower(regexp_replace(section_path[len(section_path)], '^[0-9.]+ *', '')) as title from chunks where len(section_path) > 0 and file_id is not null) select file_id, title, case when title in ('method', 'methods', 'methodology', 'approach') then 'method' when title in ('results', 'findings', 'evaluation') then 'results' else title end as canonical from s",
     ),
-    "q_error_class": "select event_id, case when event_type = 'error' and value > 400 then 'timeout' when event_type = 'error' and value > 200 then 'tool' when event_type = 'error' then 'system' else 'none' end as error_class from events",
-    "q_parse_quality": "with c as (select distinct file_id, chunk_id, text, page_start from chunks where file_id is not null), f as (select file_id, sum(length(coalesce(text, ''))) as chars, count(distinct page_start) as pages, count(*) as n, count(case when coalesce(trim(text), '') = '' then 1 end) as empty from c group by file_id) select file_id, round(0.7 * least(1e0, chars / (greatest(pages, 1) * 100e0)) + 0.3 * (1 - cast(empty as double) / n), 6) as score, empty > 0 as has_empty from f",
-    "q_ocr_select": "with c as (select distinct chunk_id, text from chunks) select chunk_id, case when coalesce(length(trim(text)), 0) < 20 then 'ocr' else 'text' end as engine from c",
-    "q_page_flatten": "select distinct file_id, page_start as page, chunk_id from chunks where page_start is not null union select distinct file_id, page_end, chunk_id from chunks where page_end is not null",
     # verification
-    "q_verify": "with c as (select distinct * from case_scores), v as (select score_id, case when claim_support_rate < 0.5 then 1 else 0 end as weak, case when omission_rate > 0.5 then 1 else 0 end as missing, case when severe_unsupported_rate > 0.1 then 1 else 0 end as severe from c) select score_id, weak + missing + severe as issues, case when weak + missing + severe = 0 then 'passed' when severe = 1 and weak + missing > 0 then 'failed' else 'needs_repair' end as status from v",
-    "q_completion": "with c as (select distinct * from case_scores) select score_id, case when latency_ms is null or latency_ms <= 0 then 'fail' when claim_support_rate is null then 'ask_user' when not task_success and omission_rate > 0.7 then 'replan' when task_success and omission_rate <= 0.3 then 'complete' when omission_rate <= 0.7 then 'repair' else 'replan' end as decision from c",
-    "q_judge": "with p as (select distinct * from annotation_pairs) select case_id, annotator_a_id, annotator_b_id, case when annotator_a_label is null or annotator_b_label is null then 'abstain' when lower(trim(annotator_a_label)) = lower(trim(annotator_b_label)) then 'pass' when lower(trim(annotator_a_label)) in ('yes', 'no') and lower(trim(annotator_b_label)) in ('yes', 'no') then 'fail' else 'abstain' end as verdict from p",
-    "q_subset_filter": ("with t as (select distinct sample_id, paper_ids, conversation_ids from training_samples) select sample_id from t where size(array_except(coalesce(paper_ids, array()), array('', 'unknown'))) > 0 and size(coalesce(conversation_ids, array())) <= 1", "with t as (select distinct sample_id, paper_ids, conversation_ids from training_samples) select sample_id from t where len(list_filter(list_distinct(coalesce(paper_ids, [])), lambda x: x not in ('', 'unknown'))) > 0 and len(coalesce(conversation_ids, [])) <= 1"),
     "q_set_f1": (
         "with t as (select distinct sample_id, array_distinct(filter(coalesce(paper_ids, array()), x -> x is not null)) as a, array_distinct(filter(coalesce(conversation_ids, array()), x -> x is not null)) as b from training_samples) select sample_id, case when size(a) = 0 and size(b) = 0 then null when size(array_intersect(a, b)) = 0 then 0e0 else round(2e0 * size(array_intersect(a, b)) / (size(a) + size(b)), 9) end as f1 from t",
         "with t as (select distinct sample_id, list_distinct(list_filter(coalesce(paper_ids, []), lambda x: x is not null)) as a, list_distinct(list_filter(coalesce(conversation_ids, []), lambda x: x is not null)) as b from training_samples), u as (select distinct sample_id, len(a) as a, len(b) as b, len(list_intersect(a, b)) as i from t) select sample_id, case when a = 0 and b = 0 then null when i = 0 then 0e0 else round(2e0 * i / (a + b), 9) end as f1 from u",
     ),
-    "q_traceability": "with c as (select distinct chunk_id, file_id from chunks), h as (select distinct chunk_id from search_hits where chunk_id is not null) select case when c.chunk_id is null then 'unknown_chunk' when c.file_id is null then 'no_file' else 'ok' end as finding, count(*) as n from h left join c on h.chunk_id = c.chunk_id group by case when c.chunk_id is null then 'unknown_chunk' when c.file_id is null then 'no_file' else 'ok' end",
-    "q_claim_links": "with h as (select distinct hit_id, query_id, chunk_id, file_id from search_hits), c as (select distinct chunk_id, file_id, page_start from chunks) select h.hit_id, case when h.chunk_id is null then 'missing' when c.chunk_id is null then 'unknown' when h.file_id is null or h.file_id <> c.file_id then 'unlinked' when c.page_start is null or c.page_start < 1 then 'invalid' else 'ok' end as issue from h left join c on h.chunk_id = c.chunk_id",
-    "q_comparison_matrix": "with c as (select distinct case_id, system_id, claim_support_rate from case_scores where system_id in ('critic', 'verifier', 'evidence')), cases as (select distinct case_id from c), dims as (select distinct system_id from c) select k.case_id, d.system_id, count(c.claim_support_rate) as n, count(c.claim_support_rate) = 0 as missing from cases k cross join dims d left join c on c.case_id = k.case_id and c.system_id = d.system_id group by k.case_id, d.system_id",
-    "q_comparison_all": "with c as (select distinct case_id, system_id, claim_support_rate from case_scores), cases as (select distinct case_id from c), dims as (select distinct system_id from c where system_id is not null), s as (select case_id, system_id, count(claim_support_rate) as n from c group by case_id, system_id) select k.case_id, d.system_id, coalesce(s.n, 0) as n, coalesce(s.n, 0) = 0 as missing from cases k cross join dims d left join s on s.case_id is not distinct from k.case_id and s.system_id = d.system_id",
-    "q_paper_card": ("select paper_id, min_by(source, doc_id) as source, count(distinct doc_kind) as kinds, count(case when lang is null then 1 end) as missing_lang from documents where paper_id is not null group by paper_id", "select paper_id, arg_min(source, doc_id) as source, count(distinct doc_kind) as kinds, count(case when lang is null then 1 end) as missing_lang from documents where paper_id is not null group by paper_id"),
-    "q_evidence_map": "select doc_id, cast(row_number() over (partition by paper_id order by doc_id) as bigint) as statement, source is not null and text is not null as allowed_as_fact from documents where paper_id is not null",
-    "q_evidence_matrix": "select r.paper_id, h.query_id, count(distinct h.chunk_id) as evidence from (select distinct query_id, chunk_id, file_id from search_hits where chunk_id is not null) h join (select distinct file_id, paper_id from render_samples where paper_id is not null) r on h.file_id = r.file_id group by r.paper_id, h.query_id",
     # spans of texts against queries and evidence
-    "q_token_f1": (
-        "with p as (select distinct case_id, prompt from eval_cases where prompt is not null), t as (select case_id, explode(regexp_extract_all(lower(prompt), '([a-z0-9]+)', 1)) as w from p), c as (select case_id, w, count(*) as n from t group by case_id, w), g as (select w, count(*) as n from (select explode(array('which', 'section', 'of', 'the', 'paper', 'the')) as w) x group by w), tot as (select case_id, sum(n) as n from c group by case_id) select tot.case_id, round(coalesce(2e0 * hit / (tot.n + 6), 0e0), 9) as f1 from tot left join (select case_id, sum(least(c.n, g.n)) as hit from c join g on c.w = g.w group by case_id) h on tot.case_id = h.case_id",
-        "with p as (select distinct case_id, prompt from eval_cases where prompt is not null), t as (select case_id, unnest(regexp_extract_all(lower(prompt), '[a-z0-9]+')) as w from p), c as (select case_id, w, count(*) as n from t group by case_id, w), g as (select w, count(*) as n from (select unnest(['which', 'section', 'of', 'the', 'paper', 'the']) as w) x group by w), tot as (select case_id, sum(n) as n from c group by case_id) select tot.case_id, round(coalesce(2e0 * hit / (tot.n + 6), 0e0), 9) as f1 from tot left join (select case_id, sum(least(c.n, g.n)) as hit from c join g on c.w = g.w group by case_id) h on tot.case_id = h.case_id",
-    ),
-    "q_claim_support": (
-        "with c as (select distinct chunk_id, file_id, array_distinct(regexp_extract_all(lower(text), '([a-z0-9%]+)', 1)) as w from chunks where text is not null and file_id is not null), f as (select file_id, min_by(w, chunk_id) as claim from c group by file_id) select c.chunk_id, round(coalesce(size(array_intersect(claim, w)) / cast(nullif(size(claim), 0) as double), 0e0), 9) as support, coalesce(size(array_intersect(claim, w)) / cast(nullif(size(claim), 0) as double), 0e0) >= 0.8 as supported from c join f on c.file_id = f.file_id",
-        "with c as (select distinct chunk_id, file_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9%]+')) as w from (select distinct chunk_id, file_id, text from chunks) where text is not null and file_id is not null), f as (select file_id, arg_min(w, chunk_id) as claim from c group by file_id) select c.chunk_id, round(coalesce(len(list_intersect(claim, w)) / cast(nullif(len(claim), 0) as double), 0e0), 9) as support, coalesce(len(list_intersect(claim, w)) / cast(nullif(len(claim), 0) as double), 0e0) >= 0.8 as supported from c join f on c.file_id = f.file_id",
-    ),
-    "q_rewrite_check": (
-        "with c as (select distinct chunk_id, file_id, array_distinct(regexp_extract_all(text, '([0-9]+(?:[.][0-9]+)?)', 1)) as nums from chunks where text is not null and file_id is not null), p as (select chunk_id, nums, lag(nums) over (partition by file_id order by chunk_id) as prev from c) select chunk_id, size(array_except(prev, nums)) as missing, size(array_except(prev, nums)) = 0 as passed from p where prev is not null",
-        "with c as (select distinct chunk_id, file_id, list_distinct(regexp_extract_all(text, '[0-9]+(?:[.][0-9]+)?')) as nums from (select distinct chunk_id, file_id, text from chunks) where text is not null and file_id is not null), p as (select chunk_id, nums, lag(nums) over (partition by file_id order by chunk_id) as prev from c) select chunk_id, cast(len(list_filter(prev, lambda x: not list_contains(nums, x))) as int) as missing, len(list_filter(prev, lambda x: not list_contains(nums, x))) = 0 as passed from p where prev is not null",
-    ),
-    "q_quote_ground": tuple(
-        f"""with c as (select distinct chunk_id, file_id, page_start, text from chunks where text is not null and file_id is not null), parts as (select chunk_id, file_id, page_start, {split} as ss from c),
-          q as (select chunk_id as quote, file_id, ss[{first}] as body from parts), places as (select chunk_id, file_id, page_start, {each} as sentence from parts)
-          select quote, min(page_start) as page, count(distinct chunk_id) as places from q join places p on q.file_id = p.file_id and q.body = p.sentence where body <> '' group by quote"""
-        for split, first, each in (("split(text, '[.] ')", 0, "explode(ss)"), ("string_split(text, '. ')", 1, "unnest(ss)"))
-    ),
-    "q_draft_check": "with h as (select query_id, count(*) as hits, count(distinct file_id) as files, count(case when chunk_id is null then 1 end) as missing, count(case when file_id is null then 1 end) as unlinked from (select distinct * from search_hits) d group by query_id) select query_id, case when missing > 0 then 'unknown_citation' when unlinked > 0 then 'unlinked_paper' when files < 2 then 'too_few_papers' when hits < 3 then 'too_few_citations' else 'ok' end as result from h",
     "q_uninvert": (
         "with w as (select doc_id, posexplode(split(text, ' ')) as (pos, word) from documents where text is not null), inv as (select doc_id, word, collect_list(pos) as positions from w group by doc_id, word), back as (select doc_id, word, explode(positions) as pos from inv) select doc_id, md5(array_join(transform(array_sort(collect_list(struct(pos, word))), x -> x.word), ' ')) as digest from back group by doc_id",
         "select doc_id, md5(text) as digest from documents where text is not null",
     ),
-    "q_cited_sentences": (
-        "with h as (select distinct chunk_id, max(score) over (partition by chunk_id) as score from search_hits where chunk_id is not null and score is not null and not isnan(score) and score < 1e300), c as (select distinct chunk_id, text from chunks where text is not null), s as (select c.chunk_id, h.score, posexplode(split(c.text, '[.] ')) as (pos, sentence) from c join h on c.chunk_id = h.chunk_id), g as (select chunk_id, score, pos, (case when lower(sentence) like '%calibration%' then 1 else 0 end + case when lower(sentence) like '%error%' then 1 else 0 end) / 2e0 as coverage from s) select chunk_id, cast(pos as bigint) as pos, coverage, rank from (select *, cast(row_number() over (partition by chunk_id order by coverage desc, pos) as bigint) as rank from g where coverage >= 0.5) t where rank <= 3",
-        "with h as (select chunk_id, max(score) as score from search_hits where chunk_id is not null and score is not null and not isnan(score) and score < 1e300 group by chunk_id), c as (select distinct chunk_id, text from chunks where text is not null), l as (select c.chunk_id, h.score, string_split(c.text, '. ') as ss from c join h on c.chunk_id = h.chunk_id), s as (select chunk_id, score, unnest(ss) as sentence, unnest(range(len(ss))) as pos from l), g as (select chunk_id, score, pos, (case when lower(sentence) like '%calibration%' then 1 else 0 end + case when lower(sentence) like '%error%' then 1 else 0 end) / 2e0 as coverage from s) select chunk_id, cast(pos as bigint) as pos, coverage, rank from (select *, cast(row_number() over (partition by chunk_id order by coverage desc, pos) as bigint) as rank from g where coverage >= 0.5) t where rank <= 3",
-    ),
-    "q_memory_rank": (
-        "with r as (select distinct case_id, task_family, prompt from eval_cases where prompt is not null), t as (select case_id, task_family, array_distinct(regexp_extract_all(lower(prompt), '([a-z0-9]+)', 1)) as w from r), q as (select task_family, min_by(w, case_id) as asked from t group by task_family), s as (select t.case_id, t.task_family, round(2e0 * size(array_intersect(asked, w)) / greatest(1, size(asked)), 9) as score from t join q on t.task_family = q.task_family) select case_id, task_family, score, rank from (select *, cast(row_number() over (partition by task_family order by score desc, case_id) as bigint) as rank from s) x where rank <= 5",
-        "with r as (select distinct case_id, task_family, prompt from eval_cases where prompt is not null), t as (select case_id, task_family, list_distinct(regexp_extract_all(lower(prompt), '[a-z0-9]+')) as w from r), q as (select task_family, arg_min(w, case_id) as asked from t group by task_family), s as (select t.case_id, t.task_family, round(2e0 * len(list_intersect(asked, w)) / greatest(1, len(asked)), 9) as score from t join q on t.task_family = q.task_family) select case_id, task_family, score, rank from (select *, cast(row_number() over (partition by task_family order by score desc, case_id) as bigint) as rank from s) x where rank <= 5",
-    ),
-    "q_context_pack": "with o as (select l_orderkey, l_linenumber, cast(l_quantity as bigint) as n, sum(cast(l_quantity as bigint)) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice rows unbounded preceding) as used from lineitem) select l_orderkey, count(*) as kept, cast(max(used) as bigint) as tokens from o where used <= 100 group by l_orderkey",
-    "q_page_hybrid": tuple(
-        f"""with p as (select distinct file_id, page_start, chunk_id, text from chunks where text is not null and page_start is not null and file_id is not null),
-          s as (select file_id, page_start, sum({size}(regexp_extract_all(lower(text), '(calibration|error)', 1))) as matches, sum(case when contains(lower(text), 'calibration error') then 1 else 0 end) as phrases from p group by file_id, page_start),
-          a as (select file_id, page_start, matches from s where matches > 0 order by matches desc, file_id, page_start limit 30), b as (select file_id, page_start, phrases from s where phrases > 0 order by phrases desc, file_id, page_start limit 30),
-          r as (select file_id, page_start, row_number() over (order by matches desc, file_id, page_start) as rank from a union all select file_id, page_start, row_number() over (order by phrases desc, file_id, page_start) from b)
-          select file_id, page_start, round(sum(1e0 / (60 + rank)), 9) as score from r group by file_id, page_start order by score desc, file_id, page_start limit 10"""
-        for size in ("size", "len")
-    ),
-    "q_section_search": (
-        "with c as (select distinct chunk_id, file_id, section_path, text from chunks where text is not null and size(section_path) > 0), s as (select chunk_id, file_id, size(regexp_extract_all(lower(text), '(calibration|error)', 1)) as score from c where lower(element_at(section_path, 1)) like '%method%') select chunk_id, file_id, cast(score as bigint) as score from s where score > 0 order by score desc, chunk_id limit 8",
-        "with c as (select distinct chunk_id, file_id, section_path, text from chunks where text is not null and len(section_path) > 0), s as (select chunk_id, file_id, len(regexp_extract_all(lower(text), 'calibration|error')) as score from c where lower(section_path[1]) like '%method%') select chunk_id, file_id, cast(score as bigint) as score from s where score > 0 order by score desc, chunk_id limit 8",
-    ),
-    "q_workspace_search": "with f as (select distinct file_id, paper_id, path from render_samples), h as (select file_id, count(distinct query_id) as asked, count(distinct chunk_id) as chunks from search_hits where file_id is not null group by file_id) select f.file_id, f.paper_id, f.path, coalesce(asked, 0) as asked, coalesce(chunks, 0) as chunks from f left join h on f.file_id = h.file_id where lower(f.path) like '%1%'",
     # windows over the event stream: additions of this engine
     "q_ext_windows": (
         "select cast(window(ts, '1 day').start as string) as day, event_type, count(*) as n, sum(cast(round(value * 100) as bigint)) as cents from events group by window(ts, '1 day'), event_type",
         "select strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') as day, event_type, count(*) as n, cast(sum(cast(round(value * 100) as bigint)) as bigint) as cents from events group by date_trunc('day', ts), event_type",
     ),
-    "q_ext_sessions": "with e as (select user_id, event_id, ts, lag(ts) over (partition by user_id order by ts, event_id) as prev from events), m as (select user_id, event_id, ts, sum(case when prev is null or ts > prev + interval '6' hour then 1 else 0 end) over (partition by user_id order by ts, event_id rows unbounded preceding) as session from e) select user_id, cast(session as bigint) as session, count(*) as events from m group by user_id, session",
 }
 
 _queries, _sql = registered(STATEMENTS)

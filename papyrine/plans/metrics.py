@@ -44,7 +44,7 @@ def q_metrics_engine(spark, d):
 def q_metrics_compare(spark, d):
     r = records(spark, d)
     c = M.compare(r.where("system_id = 'full_system'"), r.where("system_id = 'single_agent'"), "case_id")
-    return c.select("metric", "cases", *[F.round(x, 7).alias(x) for x in ("absolute", "baseline", "delta")])
+    return c.select("metric", "cases", *[(F.round(x, 7) + F.lit(0.0)).alias(x) for x in ("absolute", "baseline", "delta")])
 
 
 def results(spark, d):
@@ -72,7 +72,7 @@ def _means(spark, d):
 
 def q_marginal(spark, d):
     m = M.marginal(_means(spark, d), STAGES, ["task_success", "claim_support", "tokens"])
-    return m.select("step", *[F.round(c, 6).alias(c) for c in ("task_success", "claim_support", "tokens")])
+    return m.select("step", *[(F.round(c, 6) + F.lit(0.0)).alias(c) for c in ("task_success", "claim_support", "tokens")])
 
 
 def q_gates(spark, d):
@@ -148,7 +148,7 @@ _TERMS = r"list_concat(regexp_extract_all(lower({0}), '[a-z0-9]+(?:[_.-][a-z0-9]
 SQL = {
     "q_metrics_engine": f"with {_RUNS}, {_VALUES} select system_id, metric, round({_MEAN.format('v')}, 7) as value, round({_SUM.format('v')}, 5) as numerator, count(v) as denominator, count(*) - count(v) as excluded from m group by system_id, metric having count(v) > 0",
     "q_metrics_compare": f"""with {_RUNS}, {_VALUES}, p as (select a.metric, a.v as a, b.v as b from m a join m b on a.case_id = b.case_id and a.metric = b.metric where a.system_id = 'full_system' and b.system_id = 'single_agent' and a.v is not null and b.v is not null)
-      select metric, count(*) as cases, round({_MEAN.format('a')}, 7) as absolute, round({_MEAN.format('b')}, 7) as baseline, round({_MEAN.format('a')} - {_MEAN.format('b')}, 7) as delta from p group by metric""",
+      select metric, count(*) as cases, round({_MEAN.format('a')}, 7) as absolute, round({_MEAN.format('b')}, 7) as baseline, round({_MEAN.format('a')} - {_MEAN.format('b')}, 7) + 0.0 as delta from p group by metric""",
     "q_system_summary": f"""with {_RUNS}, {_RES}, e as (select system_id, string_agg(cat || '=' || n, ',' order by cat) as errors from (select system_id, cat, count(*) as n from res where cat is not null group by 1, 2) x group by 1),
       ord as (select unnest({list(SYSTEMS)!r}) as system_id, unnest(range({len(SYSTEMS)})) as place) select r.system_id, coalesce(place, 99) as place, count(*) as cases, count(*) filter (passed) as passed, round(count(*) filter (passed) / count(*), 9) as pass_rate, cast(sum(calls) as bigint) as model_calls, cast(sum(tokens) as bigint) as tokens,
       round(count(*) filter (cat = 'system') / count(*), 9) as system_error_rate, coalesce(any_value(errors), '') as errors from res r left join ord using (system_id) left join e using (system_id) group by r.system_id, place""",

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from papyrine.plans import documents, evidence, layout, metrics, relational, retrieval, rules, sections, state, verification
+from papyrine.plans import documents, evidence, layout, metrics, relational, relations, retrieval, rules, sections, state, verification
 
 #: A later module's query takes the place of an earlier one's of the same name.
-MODULES: tuple = (retrieval, relational, documents, rules, layout, sections, metrics, verification, evidence, state)
+MODULES: tuple = (retrieval, relational, documents, rules, layout, sections, metrics, verification, evidence, state, relations)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -23,87 +23,18 @@ def _split(letters: str) -> Callable[[str], str]:
 
 STATEMENTS: dict[str, str | tuple[str, str]] = {
     # joins
-    "q_join_inner": "select o.o_orderkey, c.c_name, n.n_name from orders o join customer c on o.o_custkey = c.c_custkey join nation n on c.c_nationkey = n.n_nationkey where c.c_acctbal > 0 and o.o_orderstatus = 'F'",
-    "q_join_left": "select c.c_custkey, coalesce(max(o.o_orderpriority), c.c_mktsegment) as label, count(o.o_orderkey) as orders from customer c left join orders o on o.o_custkey = c.c_custkey group by c.c_custkey, c.c_mktsegment",
-    "q_join_semi": "select c_custkey, c_name from customer where c_custkey in (select o_custkey from orders where o_orderpriority = '1-URGENT')",
-    "q_join_anti": "select c_custkey, c_name from customer c where not exists (select 1 from orders o where o.o_custkey = c.c_custkey and o.o_orderstatus = 'F')",
-    "q_refcount": "select l_partkey as part, count(distinct l_orderkey) as refs from lineitem l join orders o on l.l_orderkey = o.o_orderkey where o.o_orderstatus <> 'F' group by l_partkey",
-    "q_paired_join": f"""with {_SCORES}, per as (select case_id, system_id, avg(latency_ms) as v from scores where latency_ms > 0 and system_id is not null group by case_id, system_id)
-      select a.case_id, a.v as baseline, b.v as candidate, round(b.v - a.v, 6) as delta from per a join per b on a.case_id = b.case_id where a.system_id = 'single_agent' and b.system_id = 'full_system' and a.v is not null and b.v is not null""",
     "q_range_join": tuple(
         f"""with c as (select distinct chunk_id, file_id, page_start, page_end from chunks where file_id is not null and page_start is not null), ranges as (select file_id, chunk_id, {pages} as page from c where page_end > page_start)
           select distinct r.chunk_id as a, c.chunk_id as b from ranges r join c on c.file_id = r.file_id and c.page_start = r.page and c.chunk_id <> r.chunk_id"""
         for pages in ("explode(sequence(page_start, page_end))", "unnest(range(page_start, page_end + 1))")
     ),
-    "q_asof_prev": """select user_id, event_id, max(case when event_type = 'purchase' then event_id end) over (partition by user_id order by event_id rows between unbounded preceding and 1 preceding) as previous_purchase from events""",
-    # aggregates
-    "q_group_count": "select l_returnflag, l_linestatus, count(*) as n, cast(sum(cast(l_quantity as decimal(12,2))) as double) as quantity from lineitem group by l_returnflag, l_linestatus",
-    "q_usage_pivot": f"""with {_SCORES} select case_id, cast(coalesce(sum(case when system_id in ('frozen_small', 'single_agent') then total_tokens end), 0) as bigint) as small,
-      cast(coalesce(sum(case when system_id in ('full_system', 'verifier') then total_tokens end), 0) as bigint) as large,
-      cast(coalesce(sum(case when system_id in ('frozen_small', 'single_agent', 'full_system', 'verifier') then total_tokens end), 0) as bigint) as total from scores where case_id is not null group by case_id""",
-    "q_system_summary": f"""with {_SCORES} select system_id, count(*) as cases, count(case when task_success then 1 end) as passed, round(count(case when task_success then 1 end) / count(task_success), 9) as pass_rate,
-      cast(sum(total_tokens) as bigint) as tokens, round(count(case when latency_ms <= 0 then 1 end) / count(*), 9) as system_error_rate from scores group by system_id""",
-    "q_slices": f"""with {_SCORES}, joined as (select s.system_id, c.difficulty, c.task_family, s.task_success from scores s join (select distinct case_id, difficulty, task_family from eval_cases) c on s.case_id = c.case_id where s.system_id is not null)
-      select system_id, difficulty, task_family, cast(grouping(difficulty) as int) as all_difficulties, cast(grouping(task_family) as int) as all_families, count(*) as n, round(avg(case when task_success then 1e0 when not task_success then 0e0 end), 9) as success
-      from joined group by grouping sets ((system_id), (system_id, difficulty), (system_id, task_family))""",
-    "q_macro_ratio": "select o_orderpriority, round(avg(cast(o_totalprice as double) / nullif(l.n, 0)), 4) as macro, count(*) - count(l.n) as excluded from orders o left join (select l_orderkey, count(*) as n from lineitem group by l_orderkey) l on o.o_orderkey = l.l_orderkey group by o_orderpriority",
-    "q_micro_vs_macro": """with per as (select l_orderkey, count(case when l_returnflag = 'R' then 1 end) as num, count(*) as den from lineitem group by l_orderkey)
-      select o.o_orderstatus, round(cast(sum(num) as double) / sum(den), 9) as micro, round(avg(cast(num as double) / den), 9) as macro from orders o join per on o.o_orderkey = per.l_orderkey group by o.o_orderstatus""",
-    "q_percentiles": f"""with {_SCORES} select system_id, percentile_cont(0.5) within group (order by latency_ms) as p50, percentile_cont(0.95) within group (order by latency_ms) as p95 from scores where latency_ms > 0 group by system_id""",
-    "q_nearest_rank": f"""with {_SCORES} select system_id, min(case when r >= n * 0.5 then latency_ms end) as p50, min(case when r >= n * 0.95 then latency_ms end) as p95
-      from (select system_id, latency_ms, row_number() over (partition by system_id order by latency_ms) as r, count(*) over (partition by system_id) as n from scores where latency_ms > 0) ranked group by system_id""",
-    "q_per_success": f"""with {_SCORES} select system_id, round(cast(sum(total_tokens) as double) / nullif(count(case when task_success then 1 end), 0), 6) as per_success, round(avg(case when task_success then total_tokens end), 6) as mean_of_successes from scores where total_tokens is not null group by system_id""",
-    "q_conflict_pr": """with votes as (select distinct case_id, lower(trim(annotator_a_label)) as a, lower(trim(annotator_b_label)) as b from annotation_pairs where case_id is not null),
-      sets as (select case_id, count(distinct a) as gold, count(distinct b) as pred from votes group by case_id), hit as (select case_id, count(distinct a) as tp from votes v where exists (select 1 from votes w where w.case_id = v.case_id and w.b = v.a) group by case_id)
-      select s.case_id, case when pred = 0 then case when gold = 0 then 1e0 else 0e0 end else round(coalesce(tp, 0) / cast(pred as double), 9) end as precision, case when gold = 0 then 1e0 else round(coalesce(tp, 0) / cast(gold as double), 9) end as recall from sets s left join hit h on s.case_id = h.case_id""",
-    "q_kappa": """with v as (select distinct * from annotation_pairs), pairs as (select lower(trim(annotator_a_label)) as a, lower(trim(annotator_b_label)) as b from v where annotator_a_label is not null and annotator_b_label is not null),
-      n as (select count(*) as n, count(case when a = b then 1 end) as same from pairs), ma as (select a as label, count(*) as c from pairs group by a), mb as (select b as label, count(*) as c from pairs group by b),
-      pe as (select sum(cast(ma.c as double) * mb.c) as s from ma join mb on ma.label = mb.label)
-      select n.n as items, round(cast(same as double) / n, 9) as observed, round(case when s / n / n = 1 then case when same = n then 1e0 else 0e0 end else (cast(same as double) / n - s / n / n) / (1 - s / n / n) end, 9) as kappa from n cross join pe""",
-    "q_consistency": """with votes as (select distinct case_id, annotator_a_id as who, lower(trim(annotator_a_label)) as label from annotation_pairs where annotator_a_label is not null and case_id is not null), c as (select case_id, label, count(*) as n from votes group by case_id, label)
-      select case_id, round(cast(max(n) as double) / sum(n), 9) as consistency, cast(max(n) as double) / sum(n) < 0.95 as needs_human from c group by case_id""",
-    "q_failure_clusters": (
-        f"with {_SCORES} select coalesce(system_id, 'system') as category, count(*) as n, array_join(array_sort(collect_set(case_id)), ',') as cases from scores where not task_success and latency_ms = 600000 group by coalesce(system_id, 'system')",
-        f"with {_SCORES} select coalesce(system_id, 'system') as category, count(*) as n, array_to_string(list_sort(list(distinct case_id)), ',') as cases from scores where not task_success and latency_ms = 600000 group by coalesce(system_id, 'system')",
-    ),
-    # all failed rows and all systems; q_failure_clusters and q_comparison_matrix hold a part of them, as their SQL does. There is no column of error codes
-    "q_failure_members": f"""with {_SCORES}, f as (select coalesce(system_id, 'system') as category, case_id, count(*) as n from scores where not task_success group by coalesce(system_id, 'system'), case_id),
-      t as (select category, cast(sum(n) as bigint) as failures from f group by category)
-      select f.category, f.case_id, f.n, t.failures from f join t on f.category = t.category""",
-    "q_top_failures": f"with {_SCORES} select coalesce(system_id, 'system') as category, count(*) as n from scores where not task_success group by coalesce(system_id, 'system') order by n desc, category limit 3",
-    "q_coverage": f"with {_CASES} select task_family, difficulty, language, paper_type, count(*) as n from cases group by grouping sets ((task_family), (difficulty), (language), (paper_type))",
-    "q_marginal": f"""with {_SCORES}, per as (select system_id, avg(case when task_success then 1e0 else 0e0 end) as mean from scores where system_id is not null group by system_id)
-      select system_id, round(mean, 9) as mean, round(mean - lag(mean) over (order by system_id), 9) as gain from per""",
-    "q_gates": f"""with {_SCORES}, a as (select avg(case when task_success then 1e0 else 0e0 end) as success, avg(claim_support_rate) as support, avg(omission_rate) as omission from scores where system_id = 'full_system')
-      select success >= 0.5 as success_ok, support >= 0.5 as support_ok, omission <= 0.4 as omission_ok, success >= 0.5 and support >= 0.5 and omission <= 0.4 as passed from a""",
-    "q_metrics_engine": f"""with {_SCORES}, m as (select system_id, 'claim_support_rate' as metric, claim_support_rate as v from scores union all select system_id, 'omission_rate', omission_rate from scores
-      union all select system_id, 'severe_unsupported_rate', severe_unsupported_rate from scores union all select system_id, 'conflict_recall', conflict_recall from scores union all select system_id, 'task_success', case when task_success then 1e0 when not task_success then 0e0 end from scores)
-      select system_id, metric, round(cast(sum(cast(v as decimal(18,6))) as double) / count(v), 6) as value, count(v) as denominator, count(*) - count(v) as excluded from m group by system_id, metric""",
-    "q_dash_filter": f"with {_CASES} select case_id, task_family, difficulty from cases where (cast(null as string) is null or language = 'x') and difficulty = 'L3' and split = 'test'",
-    "q_dashboard": f"""with {_SCORES}, j as (select s.* from scores s join (select distinct case_id from eval_cases where difficulty = 'L3') c on s.case_id = c.case_id where s.system_id = 'full_system')
-      select count(*) as runs, round(avg(case when task_success then 1e0 else 0e0 end), 9) as success, percentile_cont(0.5) within group (order by latency_ms) as p50, percentile_cont(0.95) within group (order by latency_ms) as p95, cast(sum(total_tokens) as bigint) as tokens, count(distinct case_id) as contributing from j""",
-    "q_case_score": f"""with {_SCORES} select score_id, case when claim_support_rate is null then null when claim_support_rate >= 0.8 and omission_rate <= 0.5 then 1e0 when claim_support_rate >= 0.5 then 5e-1 else 0e0 end as points,
-      case when latency_ms <= 0 then 'system' when not task_success and omission_rate > 0.5 then 'omission' when not task_success and claim_support_rate < 0.5 then 'unsupported' when not task_success then 'other' else 'none' end as failure from scores""",
     # sets, ranking, batches
-    "q_set_ops": """select 'both' as part, count(*) as n from (select o_custkey from orders where o_orderstatus = 'F' intersect select o_custkey from orders where o_orderstatus = 'O') x
-      union all select 'only_f', count(*) from (select o_custkey from orders where o_orderstatus = 'F' except select o_custkey from orders where o_orderstatus = 'O') y""",
-    "q_union": "select s_suppkey as id, s_name as name, 'supplier' as kind from supplier union all select c_custkey, c_name, 'customer' from customer",
-    "q_recent": "select user_id, event_id, ts from (select user_id, event_id, ts, row_number() over (partition by user_id order by ts desc, event_id desc) as r from events) t where r <= 5",
-    "q_conv_search": "select c_custkey, c_name from customer where lower(c_name) like '%9%' or lower(c_mktsegment) like '%build%' order by c_acctbal desc, c_custkey desc limit 20 offset 10",
-    "q_round_robin": "select o_orderkey, cast((row_number() over (partition by o_orderpriority order by o_orderkey) - 1) % 4 as bigint) as worker from orders",
     "q_stratified_sample": (
         f"with {_CASES}, h as (select case_id, task_family, sha2(case_id, 256) as h from cases), r as (select *, row_number() over (partition by task_family order by h) as k from h) select case_id, task_family from r where k <= 5",
         f"with {_CASES}, h as (select case_id, task_family, sha256(case_id) as h from cases), r as (select *, row_number() over (partition by task_family order by h) as k from h) select case_id, task_family from r where k <= 5",
     ),
-    "q_weighted_rank": """with rule as (select p_partkey, p_type, p_size, max(p_size) over (partition by p_type) as top, p_retailprice / max(p_retailprice) over (partition by p_type) as sim from part),
-      scored as (select p_partkey, p_type, round(0.65 * case when top = 0 then 0 else cast(p_size as double) / top end + 0.35 * greatest(0, sim), 9) as score from rule)
-      select p_partkey, p_type, score, rank from (select *, cast(row_number() over (partition by p_type order by score desc, p_partkey) as bigint) as rank from scored) t where rank <= 3""",
-    "q_ordered_distinct": "select user_id, event_type, min(event_id) as first_id from events group by user_id, event_type",
     # keys, audits, governance
-    "q_dup_keys": "select 'training_samples' as t, sample_id as k, count(*) as n from training_samples group by sample_id having count(*) > 1 union all select 'eval_cases', case_id, count(*) from eval_cases group by case_id having count(*) > 1",
-    "q_leakage": f"""with {_CASES}, keys as (select 'source' as kind, source_cluster_id as k, split from cases union all select 'fingerprint', text_fingerprint, split from cases)
-      select kind, k, count(distinct lower(trim(split))) as splits, count(*) as n from keys where k is not null and split is not null group by kind, k having count(distinct lower(trim(split))) > 1""",
-    # every key that both tables hold, of which q_leakage sees two of eval_cases alone; no column holds an embedding cluster. Splits as in norm_split
+    # every key that both tables hold; no column holds an embedding cluster. Splits as in norm_split
     "q_leakage_all": tuple(
         f"""with rows as (select distinct 'eval_cases' as t, case_id as id, {norm("split")} as split, paper_ids, conversation_ids, source_cluster_id, text_fingerprint from eval_cases
           union select 'training_samples', sample_id, {norm("dataset_split")}, paper_ids, conversation_ids, cast(null as {string}), cast(null as {string}) from training_samples),
@@ -112,32 +43,10 @@ STATEMENTS: dict[str, str | tuple[str, str]] = {
           select t, kind, k, count(distinct split) as splits, count(*) as n from keys where k is not null and split is not null group by t, kind, k having count(distinct split) > 1"""
         for norm, each, string in ((_split("regexp_replace({}, '[^A-Za-z]', '')"), "explode", "string"), (_split("regexp_replace({}, '[^A-Za-z]', '', 'g')"), "unnest", "varchar"))
     ),
-    "q_row_validators": f"""with {_DOCS} select sample_id, case when sft_target is not null and (chosen is not null or rejected is not null) then 1 else 0 end as both_targets, case when sft_target is null and (chosen is null or rejected is null) then 1 else 0 end as no_target,
-      case when privacy = 'private_consented' and consent_id is null then 1 else 0 end as consent_missing, case when anonymized then 0 else 1 end as not_anonymised from docs""",
-    "q_param_validity": f"with {_SCORES} select system_id, count(case when task_success then 1 end) as valid, count(task_success) as known, round(cast(count(case when task_success then 1 end) as double) / nullif(count(task_success), 0), 9) as rate from scores group by system_id",
-    "q_promotion": """with g as (select case_id, annotated_at, adjudication, row_number() over (partition by case_id order by annotated_at desc, adjudication) as r from (select distinct * from annotation_pairs where adjudication is not null and case_id is not null) t)
-      select case_id, adjudication, case when adjudication like 'adjudicated:%' then 'promoted' when adjudication = 'pending' then 'staged' else 'consensus' end as state from g where r = 1""",
-    "q_exact_dups": (
-        "select md5(text) as digest, min(doc_id) as kept, count(*) as copies from documents where text is not null group by md5(text) having count(*) > 1",
-        "select md5(text) as digest, min(doc_id) as kept, count(*) as copies from documents where text is not null group by md5(text) having count(*) > 1",
-    ),
     "q_blob_refcount": (
         "select sha2(text, 256) as digest, source, count(*) as refs from documents where text is not null group by sha2(text, 256), source",
         "select sha256(text) as digest, source, count(*) as refs from documents where text is not null group by sha256(text), source",
     ),
-    "q_index_freshness": (
-        "select c.file_id, count(*) as chunks, count(case when c.indexed_at < r.rendered_at then 1 end) as stale, max(c.indexed_at) >= max(r.rendered_at) as fresh from (select distinct chunk_id, file_id, indexed_at from chunks) c join (select distinct file_id, rendered_at from render_samples) r on c.file_id = r.file_id group by c.file_id",
-        "select c.file_id, count(*) as chunks, count(case when c.indexed_at < r.rendered_at then 1 end) as stale, max(c.indexed_at) >= max(r.rendered_at) as fresh from (select distinct chunk_id, file_id, indexed_at from chunks) c join (select distinct file_id, rendered_at from render_samples) r on c.file_id = r.file_id group by c.file_id",
-    ),
-    "q_reindex_stale": "select distinct c.chunk_id, c.file_id from chunks c join render_samples r on c.file_id = r.file_id where c.indexed_at < r.rendered_at or c.text is null",
-    "q_cascade_delete": """with gone as (select o_orderkey from orders where o_orderstatus = 'P'), refs as (select l_partkey, count(*) as all_refs, count(case when l_orderkey in (select o_orderkey from gone) then 1 end) as lost from lineitem group by l_partkey)
-      select l_partkey, all_refs - lost as refs, all_refs = lost as deleted from refs where lost > 0""",
-    "q_record_merge": (
-        r"""with w as (select paper_id, regexp_replace(lower(trim(paper_id)), 'v[0-9]+$', '') as k, source, doc_id, lang, n_chars from documents where paper_id is not null)
-          select k, min_by(paper_id, doc_id) as paper_id, min_by(lang, doc_id) filter (where lang is not null) as lang, max(n_chars) as n_chars, array_join(array_sort(collect_set(source)), ',') as sources, count(*) as n from w where k <> '' group by k""",
-        r"""with w as (select paper_id, regexp_replace(lower(trim(paper_id)), 'v[0-9]+$', '') as k, source, doc_id, lang, n_chars from documents where paper_id is not null)
-          select k, arg_min(paper_id, doc_id) as paper_id, arg_min(lang, doc_id) filter (where lang is not null) as lang, max(n_chars) as n_chars, array_to_string(list_sort(list(distinct source)), ',') as sources, count(*) as n from w where k <> '' group by k""",
-    ),
     "q_bootstrap_ci": (
         f"""with {_SCORES}, v as (select system_id, cast(row_number() over (partition by system_id order by score_id) - 1 as bigint) as i, cast(round(claim_support_rate * 1000) as bigint) as x, count(*) over (partition by system_id) as n from scores where system_id is not null and claim_support_rate is not null),
           b as (select v.system_id, r.id as b, pmod(cast(conv(substring(md5(concat(cast(r.id as string), ':', cast(v.i as string))), 1, 12), 16, 10) as bigint), v.n) as j from v cross join range(100) r),
@@ -155,7 +64,7 @@ STATEMENTS["q_paired_bootstrap"] = tuple(
     .replace("claim_support_rate is not null)", "claim_support_rate is not null and omission_rate is not null)")
     for s in STATEMENTS["q_bootstrap_ci"]
 )
-#: The reference's number of resamples; q_bootstrap_ci and q_paired_bootstrap, like their SQL, draw 100.
+#: Resamples of an interval; the statements above, which draw 100, are the pattern that the queries and their SQL are made from.
 RESAMPLES = 2000
 #: Parts that the draws are made in, since few rows mean much work here.
 PARTS = 48
@@ -172,6 +81,6 @@ def resampled(spark: SparkSession, sf_dir: str, statement: str) -> DataFrame:
     return means.groupBy("system_id").agg(*(F.round(F.percentile("m", p), 6).alias(name) for name, p in (("lo", 0.025), ("hi", 0.975))))
 
 
-QUERIES, SQL = registered(STATEMENTS)
+QUERIES, SQL = registered({k: v for k, v in STATEMENTS.items() if k not in ("q_bootstrap_ci", "q_paired_bootstrap")})
 for _name, (_here, _there) in _WHOLE.items():
     QUERIES[_name], SQL[_name] = functools.partial(resampled, statement=_here), _there

@@ -62,15 +62,8 @@ def q_hybrid(spark, d):
     return R.hybrid(scan(spark, d), QUERY).select("id", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
-def q_vector_topk(spark, d):
-    e = table(spark, d, "embeddings")
-    probe = e.where("vec_id = 0").select(F.col("embedding").alias("q"))
-    scored = e.crossJoin(F.broadcast(probe)).select("vec_id", F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
-    return R.top(scored.where("score > 0"), "score", "vec_id", 30)
-
-
 def q_vector_search(spark, d):
-    """The 30 nearest of all vectors for each whose id is divisible by 100; q_vector_topk and its SQL have the query 0 alone."""
+    """The 30 nearest of all vectors for each whose id is divisible by 100."""
     e = table(spark, d, "embeddings")
     return R.nearest(e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), e.select("vec_id", "embedding"))
 
@@ -94,39 +87,6 @@ def q_sparse_cosine(spark, d):
     return dot.join(norms, "id").join(other, "file_id").select("id", F.round(F.col("dot") / F.sqrt(F.col("n2").cast("double") * F.col("m2")), 6).alias("score"))
 
 
-def q_balanced_topk(spark, d):
-    """The two best chunks of every file by matches, as many files as there are."""
-    c = corpus(spark, d).where("file_id is not null")
-    hits = F.size(F.regexp_extract_all(F.lower("text"), F.lit("(calibration|error)"), F.lit(1))).cast("bigint")
-    w = Window.partitionBy("file_id").orderBy(F.col("score").desc(), F.col("id").asc())
-    return c.select("file_id", "id", hits.alias("score")).where("score > 0").withColumn("rank", F.row_number().over(w)).where("rank <= 2").select("file_id", "id", "score", F.col("rank").cast("bigint").alias("rank"))
-
-
-def q_adjacent(spark, d):
-    """The best chunks by matches, with the chunk before and after each in its file, in order."""
-    c = corpus(spark, d).where("file_id is not null")
-    placed = c.select("file_id", "id", "text", F.row_number().over(Window.partitionBy("file_id").orderBy("id")).alias("pos"))
-    best = R.exact(c.select("id", "text"), QUERY, 10).select("id")
-    spots = placed.join(F.broadcast(best), "id", "left_semi").select("file_id", F.explode(F.array(F.col("pos") - 1, F.col("pos"), F.col("pos") + 1)).alias("pos")).distinct()
-    return placed.join(F.broadcast(spots), ["file_id", "pos"]).select("file_id", "id", F.col("pos").cast("bigint").alias("pos"))
-
-
-def q_expand_section(spark, d):
-    """Every chunk in the section of the best match, best first, the rest in order."""
-    c = corpus(spark, d).where("file_id is not null")
-    best = R.exact(c.select("id", "text"), QUERY, 1).select(F.col("id").alias("best"))
-    home = c.join(F.broadcast(best), F.col("id") == F.col("best")).select("file_id", "section_path", "best")
-    rows = c.join(F.broadcast(home), ["file_id", "section_path"]).select("id", (F.col("id") != F.col("best")).cast("int").alias("later"))
-    return rows.select("id", F.row_number().over(Window.orderBy("later", "id")).cast("bigint").alias("rank"))
-
-
-def q_section_scope(spark, d):
-    """Chunks whose section path has a hinted word, and all chunks where none has."""
-    c = corpus(spark, d).select("id", "file_id", F.coalesce(F.arrays_overlap(F.split(F.lower(F.array_join("section_path", " ")), " "), F.array(F.lit("method"), F.lit("training"))), F.lit(False)).alias("hit"))
-    some = c.groupBy("file_id").agg(F.max("hit").alias("some"))
-    return c.join(some, c.file_id.eqNullSafe(some.file_id)).where("hit or not some").select("id", "hit")
-
-
 def q_ir_metrics(spark, d):
     """pass@5, recall@10 and MRR@10 of the search log: a hit is right if its chunk belongs to the query's first file."""
     h = table(spark, d, "search_hits").where("file_id is not null and score is not null and not isnan(score)").select("query_id", "hit_id", "file_id", "score").distinct()
@@ -137,13 +97,7 @@ def q_ir_metrics(spark, d):
     return first.agg(F.count("*").alias("queries"), share(F.col("rank") <= 5).alias("pass_at_5"), share(F.col("rank") <= 10).alias("recall_at_10"), F.round(F.avg(F.coalesce(1 / F.col("rank"), F.lit(0.0))), 9).alias("mrr_at_10"))
 
 
-def q_scan_scoped(spark, d):
-    """Chunks of a scope of files, the scope given as a table."""
-    scope = table(spark, d, "render_samples").where("lower(profile) like '%degraded%'").select("file_id").distinct()
-    return table(spark, d, "chunks").select("chunk_id", "file_id", "page_start").join(scope, "file_id", "left_semi").distinct()
-
-
-QUERIES = {f.__name__: f for f in (q_terms, q_exact, q_exact_count, q_bm25, q_hash_embed, q_rrf, q_rerank, q_hybrid, q_vector_topk, q_vector_search, q_cosine, q_sparse_cosine, q_balanced_topk, q_adjacent, q_expand_section, q_section_scope, q_ir_metrics, q_scan_scoped)}
+QUERIES = {f.__name__: f for f in (q_terms, q_exact, q_exact_count, q_bm25, q_hash_embed, q_rrf, q_rerank, q_hybrid, q_vector_search, q_cosine, q_sparse_cosine, q_ir_metrics)}
 
 _CORPUS = "corpus as (select distinct chunk_id as id, file_id, text, section_path, page_start from chunks where text is not null)"
 _TERMS = r"""list_concat(regexp_extract_all(lower({0}), '[a-z0-9]+(?:[_.-][a-z0-9]+)*'),
@@ -184,8 +138,6 @@ SQL = {
       fused as (select id, round(sum(1.0 / (60 + r)), 9) as fused from ranked group by id), {_LEX},
       kept as (select id, fused, lex from fused join lex using (id) order by lex desc, fused desc, id limit 8)
       select id, round(fused + lex, 9) as score, row_number() over (order by round(fused + lex, 9) desc, fused desc, id) as rank from kept""",
-    "q_vector_topk": """with p as (select cast(embedding as double[]) as q from embeddings where vec_id = 0)
-      select vec_id, round(list_cosine_similarity(cast(embedding as double[]), q), 6) as score from embeddings, p where round(list_cosine_similarity(cast(embedding as double[]), q), 6) > 0 order by score desc, vec_id limit 30""",
     "q_vector_search": """with q as (select vec_id as query_id, cast(embedding as double[]) as q from embeddings where vec_id % 100 = 0),
       s as (select query_id, vec_id, round(list_cosine_similarity(cast(embedding as double[]), q), 6) as score from q cross join embeddings),
       r as (select query_id, vec_id, score, row_number() over (partition by query_id order by score desc, vec_id) as rank from s where score > 0) select * from r where rank <= 30""",
@@ -197,21 +149,9 @@ SQL = {
       other as (select file_id, sum(m * m) as m2 from base group by file_id)
       select id, round(sum(n * coalesce(m, 0)) / sqrt(cast(sum(n * n) as double) * any_value(m2)), 6) as score
       from tf left join base using (file_id, term) join other using (file_id) group by id""",
-    "q_balanced_topk": f"""with {_CORPUS}, s as (select file_id, id, cast(len(regexp_extract_all(lower(text), 'calibration|error')) as bigint) as score from corpus where file_id is not null)
-      select file_id, id, score, row_number() over (partition by file_id order by score desc, id) as rank from s where score > 0 qualify rank <= 2""",
-    "q_adjacent": f"""with {_CORPUS}, {_EXACT}, placed as (select file_id, id, row_number() over (partition by file_id order by id) as pos from corpus where file_id is not null),
-      best as (select e.id from exact_all e join placed using (id) where score > 0 order by score desc, e.id limit 10),
-      spots as (select distinct file_id, unnest([pos - 1, pos, pos + 1]) as pos from placed join best using (id))
-      select file_id, id, pos from placed join spots using (file_id, pos)""",
-    "q_expand_section": f"""with {_CORPUS}, {_EXACT}, best as (select e.id from exact_all e join corpus c using (id) where score > 0 and c.file_id is not null order by score desc, e.id limit 1),
-      home as (select file_id, section_path, id as best from corpus join best using (id))
-      select c.id, row_number() over (order by c.id <> best, c.id) as rank from corpus c join home h on c.file_id = h.file_id and c.section_path = h.section_path""",
-    "q_section_scope": f"""with {_CORPUS}, m as (select id, file_id, coalesce(list_has_any(string_split(lower(array_to_string(section_path, ' ')), ' '), ['method', 'training']), false) as hit from corpus)
-      select id, hit from (select *, bool_or(hit) over (partition by file_id) as any_hit from m) where hit or not any_hit""",
     "q_ir_metrics": """with h as (select distinct query_id, hit_id, file_id, score from search_hits where file_id is not null and score is not null and not isnan(score)),
       gold as (select query_id, min(file_id) as gold from h group by query_id),
       ranked as (select *, row_number() over (partition by query_id order by score desc, hit_id) as rank from h qualify rank <= 10),
       first as (select g.query_id, min(rank) as rank from gold g left join ranked r on g.query_id = r.query_id and gold = file_id group by g.query_id)
       select count(*) as queries, round(avg(case when rank <= 5 then 1.0 else 0.0 end), 9) as pass_at_5, round(avg(case when rank <= 10 then 1.0 else 0.0 end), 9) as recall_at_10, round(avg(coalesce(1.0 / rank, 0.0)), 9) as mrr_at_10 from first""",
-    "q_scan_scoped": "select distinct chunk_id, file_id, page_start from chunks where file_id in (select file_id from render_samples where lower(profile) like '%degraded%')",
 }

@@ -15,10 +15,13 @@ TABLES = (
 
 
 def run(spark: SparkSession, sf_dir: str, statement: str) -> DataFrame:
-    """Run a statement over the tables it names; they are bound when the statement is analysed."""
+    """Run a statement over the tables it reads; they are bound under names of their own when the statement is analysed, so that no
+    view of the session is touched."""
     for name in TABLES:
-        if re.search(rf"\b{name}\b", statement):
-            table(spark, sf_dir, name).createOrReplaceTempView(name)
+        bound, times = re.subn(rf"\b(from|join) {name}\b", rf"\1 papyrine_{name}", statement)
+        if times:
+            statement = re.sub(rf"(?<!papyrine_)\b{name}\.", f"papyrine_{name}.", bound)
+            table(spark, sf_dir, name).createOrReplaceTempView(f"papyrine_{name}")
     return spark.sql(statement)
 
 

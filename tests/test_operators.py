@@ -78,7 +78,7 @@ def test_bootstrap_by_group(spark):
 
 def test_vectorized_text(spark):
     df = spark.createDataFrame([("Ｒesults Straße", "results strasse"), (None, "x")], "a string, b string")
-    got = df.select(V.nfkc_casefold("a").alias("n"), V.title_similarity("a", "b").alias("s"), V.hash_embedding("a").alias("h")).collect()
+    got = V.with_hash_embedding(df, "a", "h").select(V.nfkc_casefold("a").alias("n"), V.title_similarity("a", "b").alias("s"), "h").collect()
     assert got[0].n == "results strasse" and 0 < got[0].s < 1 and abs(sum(v * v for v in got[0].h) - 1) < 1e-9
     assert got[1].n is None and got[1].s is None and got[1].h is None
 

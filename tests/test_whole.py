@@ -6,7 +6,7 @@ import hashlib
 
 from papyrine.functions.vectorized import percentile
 from papyrine.operators import retrieval as R
-from papyrine.plans import documents, relational, retrieval
+from papyrine.plans import documents, relational, relations, retrieval
 
 
 def test_context_admit_goes_on_after_an_overflow(spark, folder):
@@ -19,9 +19,9 @@ def test_context_admit_goes_on_after_an_overflow(spark, folder):
 def test_failures_of_any_latency_and_all_systems(spark, folder):
     rows = [(1, "a", "critic", False, 0.5, 10), (2, "a", "critic", False, 0.5, 600000), (3, "b", None, False, None, 20), (4, "b", "hybrid", True, 0.1, 30)]
     folder("case_scores", rows, "score_id bigint, case_id string, system_id string, task_success boolean, claim_support_rate double, latency_ms bigint")
-    got = relational.QUERIES["q_failure_members"](spark, folder.path).collect()
+    got = relations.QUERIES["q_failure_members"](spark, folder.path).collect()
     assert sorted(map(tuple, got)) == [("critic", "a", 2, 2), ("system", "b", 1, 1)]
-    got = documents.QUERIES["q_comparison_all"](spark, folder.path).collect()
+    got = relations.QUERIES["q_comparison_all"](spark, folder.path).collect()
     assert sorted(map(tuple, got)) == [("a", "critic", 1, False), ("a", "hybrid", 0, True), ("b", "critic", 0, True), ("b", "hybrid", 1, False)]
 
 
