@@ -142,7 +142,7 @@ def _cover(source: str, budget: int) -> str:
     return f"""ch as ({source}), n0 as (select *, row_number() over (partition by file_id order by id) as n, count(*) over (partition by file_id) as al, sum(size) over (partition by file_id) as tot, row_number() over (partition by file_id, section order by id) as sn from ch),
   m0 as (select *, n = 1 or n = al or n = al // 2 + 1 or sn = 1 as must from n0), bg as (select *, row_number() over (partition by file_id order by n) as k from m0 where tot > {budget} and not must), st as (select file_id, cast(sum(size) as bigint) as used from m0 where tot > {budget} and must group by file_id),
   wk(file_id, k, used, id, n, taken) as (select st.file_id, 0, used, '', 0, false from st union all select w.file_id, bg.k, case when w.used + bg.size <= {budget} then w.used + bg.size else w.used end, bg.id, bg.n, w.used + bg.size <= {budget} from wk w join bg on bg.file_id = w.file_id and bg.k = w.k + 1),
-  al0 as (select file_id, id, n from m0 where tot <= {budget} or must union all select file_id, id, n from wk where taken), cov as (select file_id, id, round(greatest(0, 1 - 0.001 * (row_number() over (partition by file_id order by n) - 1)), 6) as score from al0)"""
+  al0 as (select file_id, id, n from m0 where tot <= {budget} or must union all select file_id, id, n from wk where taken), cov as (select file_id, id, round(greatest(0, 1 - 0.001 * (row_number() over (partition by file_id order by n) - 1)), 6)::double as score from al0)"""
 
 
 _MSG = f"m as (select user_id, event_id, event_type || ' ' || props as text from events), t as (select user_id, event_id, length(text) as size, len(list_intersect(list_distinct({P._TERMS.format('text')}), ['click', 'view', '5', 'k', '69'])) as s from m)"

@@ -199,7 +199,7 @@ SQL = {
     "q_next_sequence": "select user_id, max(event_id) + 1 as next from events group by user_id",
     "q_version_audit": """with recursive a as (select user_id, event_type, event_id, n, n - n // 7 + case when event_id % 7 = 0 then 1 else 0 end as v from (select *, row_number() over (partition by user_id, event_type order by event_id) as n from events) x),
       w as (select user_id, event_type, n, case when v = 1 then 1 else 0 end as cur, v = 1 as ok from a where n = 1 union all select a.user_id, a.event_type, a.n, case when a.v = w.cur + 1 then a.v else w.cur end, a.v = w.cur + 1 from w join a on a.user_id = w.user_id and a.event_type = w.event_type and a.n = w.n + 1)
-      select user_id, event_type, count(*) as appends, count(*) filter (ok) as accepted, nullif(max(cur), 0) as version from w group by 1, 2""",
+      select user_id, event_type, count(*) as appends, count(*) filter (ok) as accepted, cast(nullif(max(cur), 0) as bigint) as version from w group by 1, 2""",
     "q_active_entries": f"with {_ENT} select user_id, event_type, event_id from act",
     "q_cascade": f"with {_ENT} select user_id, event_type, bool_or(src in (7, 8)) over (partition by user_id) as invalidated from act",
     "q_segments": """with m as (select user_id as talk, event_id as id, row_number() over (partition by user_id order by event_id) as n, count(*) over (partition by user_id) as al from events), o as (select * from m where n <= al - 12), s as (select talk, al - 12 >= 8 as a, al - 12 >= 12 as b from (select distinct talk, al from m) x)

@@ -93,6 +93,29 @@ def test_strict_json_lines(spark, tmp_path):
     assert [r.extra for r in extra.collect()] == [["zz"]]
 
 
+def test_checked_lines_name_the_first_fault(spark, tmp_path):
+    good = tmp_path / "good.jsonl"
+    good.write_text('{"id": "a", "n": 1}\n\n{"id": "b"}\n')
+    assert sorted(map(tuple, files.read_checked(spark, str(good), "id string, n int", "id").collect())) == [("a", 1), ("b", None)]
+    for text, fault in (('{"id": "a"}\n\n{"id": \n', "line 3: no record"), ('{"id": "a"}\n{"id": "a"}\n', "line 2: a key"), ('{"n": 1}', "line 1: no record"), ("\n", "holds no record")):
+        (tmp_path / "bad.jsonl").write_text(text)
+        with pytest.raises(ValueError, match=fault):
+            files.read_checked(spark, str(tmp_path / "bad.jsonl"), "id string, n int", "id")
+
+
+def test_reports_and_audits(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1.5), ("b", None)], "name string, value double")
+    for _ in range(2):
+        files.write_report(df, str(tmp_path / "r"), "Scores")
+    assert (tmp_path / "r" / "report.md").read_text().startswith("# Scores") and "1.5" in (tmp_path / "r" / "report.json").read_text() and not (tmp_path / "r.part").exists()
+    with pytest.raises(ValueError):
+        files.write_report(df, str(tmp_path / "r"), "Scores", 1)
+    files.append_audit(df.withColumn("secret", F.lit("x")), str(tmp_path / "audit"), ["value"], "name")
+    files.append_audit(df, str(tmp_path / "audit"), ["value"], "name")
+    got = spark.read.json(str(tmp_path / "audit"))
+    assert got.count() == 4 and set(got.columns) == {"name", "value"}
+
+
 def test_streams_equal_their_batch_twins(spark, tmp_path):
     day = dt.datetime(2024, 1, 1)
     rows = [(i, day + dt.timedelta(hours=i), i % 3, "click" if i % 2 else "view", float(i), "{}") for i in range(60)]
