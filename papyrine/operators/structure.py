@@ -1,12 +1,12 @@
-"""Document structure: packing of blocks, headings, section trees, layout, and folds under a budget."""
+"""Document structure: repeated lines, packing of blocks, sections from paths."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyrine.plans.runtime import cut
-
 
 def repeated_lines(chunks: DataFrame) -> DataFrame:
     """(file_id, line, chunks): lines that stand in two or more of a file's chunks, and in at least half of them."""
@@ -18,68 +18,43 @@ def repeated_lines(chunks: DataFrame) -> DataFrame:
 
 def pack_blocks(df: DataFrame, key: str, blocks: str, limit: int) -> DataFrame:
     """(key, chunk_no, first_block, n_blocks, n_chars): blocks packed in order; a new chunk begins when the next block
-    would take a chunk that isn't empty above the limit. A larger block stays whole. One fold per row, no shuffle."""
-    start = F.struct(F.lit(0).alias("size"), F.array().cast("array<struct<first:int,n:int,size:int>>").alias("out"), F.lit(0).alias("i"))
+    would take a chunk that isn't empty above the limit. A larger block stays whole. One pass over each row's block sizes, in
+    batches that hold no text; no shuffle."""
+
+    @F.pandas_udf("array<struct<first:int,n:int,size:int>>")
+    def packed(sizes: pd.Series) -> pd.Series:
+        def one(row: np.ndarray | None) -> list[tuple[int, int, int]]:
+            out, first, used = [], 0, 0
+            for i, size in enumerate([] if row is None else row.tolist()):
+                if i > first and used > 0 and used + size > limit:
+                    out.append((first, i - first, used))
+                    first, used = i, 0
+                used += size
+            return [*out, (first, len(row) - first, used)] if row is not None and len(row) else out
 
-    def step(acc, block):
-        size = F.length(block)
-        fresh = (F.size(acc["out"]) == 0) | ((acc["size"] > 0) & (acc["size"] + size > limit))
-        last = F.element_at(acc["out"], -1)
-        grown = F.concat(F.slice(acc["out"], 1, F.greatest(F.size(acc["out"]) - 1, F.lit(0))), F.array(F.struct(last["first"].alias("first"), (last["n"] + 1).alias("n"), (last["size"] + size).alias("size"))))
-        added = F.concat(acc["out"], F.array(F.struct(acc["i"].alias("first"), F.lit(1).alias("n"), size.alias("size"))))
-        return F.struct(F.when(fresh, size).otherwise(acc["size"] + size).alias("size"), F.when(fresh, added).otherwise(grown).alias("out"), (acc["i"] + 1).alias("i"))
+        return sizes.map(one)
 
-    packed = df.select(key, F.posexplode(F.aggregate(blocks, start, step, lambda a: a["out"])).alias("chunk_no", "c"))
-    return packed.select(key, F.col("chunk_no").cast("bigint").alias("chunk_no"), F.col("c.first").cast("bigint").alias("first_block"), F.col("c.n").cast("bigint").alias("n_blocks"), F.col("c.size").cast("bigint").alias("n_chars"))
+    sized = df.select(key, F.transform(blocks, lambda b: F.length(b)).alias("sizes"))
+    rows = sized.select(key, packed("sizes").alias("p")).select(key, F.posexplode("p").alias("chunk_no", "c"))
+    return rows.select(key, F.col("chunk_no").cast("bigint").alias("chunk_no"), F.col("c.first").cast("bigint").alias("first_block"), F.col("c.n").cast("bigint").alias("n_blocks"), F.col("c.size").cast("bigint").alias("n_chars"))
 
 
-def headings(documents: DataFrame) -> DataFrame:
-    """(doc_id, pos, number, level, title) of numbered heading lines."""
-    lines = documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(F.length("line") <= 160)
-    number = F.regexp_extract("line", r"^([0-9]+(?:\.[0-9]+)*)\.?\s+\S", 1)
-    found = lines.withColumn("number", number).where((F.col("number") != "") & ~F.col("line").rlike(r"\.\s*$"))
-    level = F.length("number") - F.length(F.replace("number", F.lit("."), F.lit(""))) + 1
-    return found.select("doc_id", F.col("pos").cast("bigint").alias("pos"), "number", level.cast("bigint").alias("level"), F.trim(F.regexp_replace(F.lower("line"), r"^[0-9.]+\s+", "")).alias("title"))
+def section_nodes(chunks: DataFrame) -> DataFrame:
+    """(file_id, p): every section on the chunks' paths, as the array of titles down to it."""
+    paths = chunks.where("file_id is not null and size(section_path) > 0").select("file_id", "section_path").distinct()
+    return paths.select("file_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("section_path")), lambda i: F.slice("section_path", 1, i))).alias("p")).distinct()
 
 
 def section_tree(chunks: DataFrame) -> DataFrame:
     """(file_id, path, parent, level): every section on the chunks' paths with its parent."""
-    paths = chunks.where("file_id is not null and size(section_path) > 0").select("file_id", "section_path").distinct()
-    nodes = paths.select("file_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("section_path")), lambda i: F.slice("section_path", 1, i))).alias("p")).distinct()
     join = lambda c: F.array_join(c, " / ")
-    return nodes.select("file_id", join(F.col("p")).alias("path"), F.when(F.size("p") > 1, join(F.slice("p", F.lit(1), F.size("p") - 1))).alias("parent"), F.size("p").cast("bigint").alias("level"))
+    above = F.slice("p", F.lit(1), F.size("p") - 1)
+    return section_nodes(chunks).select("file_id", join(F.col("p")).alias("path"), F.when(F.size("p") > 1, join(above)).alias("parent"), F.size("p").cast("bigint").alias("level"))
 
 
 def section_closure(chunks: DataFrame) -> DataFrame:
-    """(file_id, root, descendants): sections below each section, by joins until no level is left."""
-    tree = cut(section_tree(chunks))
-    found = tree.select("file_id", F.col("path").alias("root"), F.col("path").alias("node"))
-    frontier, depth = found, tree.agg(F.max("level")).first()[0] or 0
-    for _ in range(int(depth) - 1):
-        frontier = frontier.join(tree.select("file_id", F.col("parent").alias("node"), F.col("path").alias("child")), ["file_id", "node"]).select("file_id", "root", F.col("child").alias("node"))
-        found = found.unionByName(frontier)
-    return found.distinct().groupBy("file_id", "root").agg((F.count("*") - 1).alias("descendants"))
-
-
-def column_count(blocks: DataFrame) -> DataFrame:
-    """(file_id, page_start, columns): two where narrow blocks stand left and right of a gutter, else one."""
-    width, x0, x1 = 600.0, F.col("bbox")[0], F.col("bbox")[2]
-    narrow, middle = (x1 - x0) <= width * 0.58, (x0 + x1) / 2
-    left, right = narrow & (middle < width / 2 * 0.92), narrow & (middle > width / 2 * 1.08)
-    s = blocks.groupBy("file_id", "page_start").agg(F.count_if(left).alias("l"), F.count_if(right).alias("r"), F.median(F.when(left, x1)).alias("lx"), F.median(F.when(right, x0)).alias("rx"))
-    two = (F.col("l") >= 2) & (F.col("r") >= 2) & (F.col("rx") - F.col("lx") >= width * 0.015)
-    return s.select("file_id", "page_start", F.when(two, 2).otherwise(1).cast("int").alias("columns"))
-
-
-def admit(df: DataFrame, key: str, items: str, size: str, budget: int, keep_first: bool = True) -> DataFrame:
-    """(key, item): the items of each ordered array that fit the budget, skipping and going on; the first one always
-    where keep_first says so."""
-    element = df.schema[items].dataType.elementType.simpleString()
-    start = F.struct(F.lit(0).cast("bigint").alias("used"), F.array().cast(f"array<{element}>").alias("out"), F.lit(True).alias("first"))
-
-    def step(acc, item):
-        fits = acc["used"] + item[size] <= budget
-        take = (fits | acc["first"]) if keep_first else fits
-        return F.struct(F.when(take, acc["used"] + item[size]).otherwise(acc["used"]).cast("bigint").alias("used"), F.when(take, F.concat(acc["out"], F.array(item))).otherwise(acc["out"]).alias("out"), F.lit(False).alias("first"))
-
-    return df.select(key, F.explode(F.aggregate(items, start, step, lambda a: a["out"])).alias("item"))
+    """(file_id, root, descendants): sections below each section. A section's ancestors are the beginnings of its own path, so each
+    is counted under all of them without a join."""
+    up = F.transform(F.sequence(F.lit(1), F.size("p")), lambda i: F.array_join(F.slice("p", 1, i), " / "))
+    rows = section_nodes(chunks).select("file_id", F.explode(up).alias("root"))
+    return rows.groupBy("file_id", "root").agg((F.count("*") - 1).alias("descendants"))

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from papyrine.functions import text as X
+from papyrine.operators import context as C
 from papyrine.operators import structure as D
 from papyrine.plans.sql import registered
 from papyrine.sources.tables import table
@@ -52,12 +53,12 @@ def q_section_closure(spark, d):
 
 
 def q_context_admit(spark, d):
-    """Per order the items that fit a context of 100 in quantity, in order, skipping what would exceed it and going on
-    (q_context_pack and its SQL end at the first item that doesn't fit). No column marks an item as required."""
-    item = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", F.col("l_quantity").cast("bigint").alias("n"))
-    ordered = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    taken = D.admit(ordered, "l_orderkey", "items", "n", 100, keep_first=False)
-    return taken.groupBy("l_orderkey").agg(F.count("*").alias("kept"), F.sum("item.n").alias("tokens"))
+    """Per order the items that fit a context of 100 in quantity, in order, skipping what would exceed it and going on; none of
+    them is required (q_context_pack has required ones)."""
+    place = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    items = table(spark, d, "lineitem").where("l_quantity is not null").select("l_orderkey", place.alias("o"), F.col("l_quantity").cast("bigint").alias("tokens"))
+    taken = C.admitted(items, "l_orderkey", "o", {"tokens": 100})
+    return taken.groupBy("l_orderkey").agg(F.count("*").alias("kept"), F.sum(F.col("o.l_quantity").cast("bigint")).alias("tokens"))
 
 
 PYTHON = {f.__name__: f for f in (q_sentences, q_numbers, q_clean_markup, q_fingerprint, q_repeated_lines, q_chunk_pack, q_section_tree, q_section_closure, q_context_admit)}

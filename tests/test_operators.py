@@ -44,11 +44,6 @@ def test_packing_resets_and_keeps_oversized_blocks(spark):
     assert got == [(1, 0, 1, 400), (1, 1, 1, 301), (1, 2, 1, 900), (1, 3, 1, 1), (2, 0, 1, 0)]
 
 
-def test_admission_skips_and_goes_on(spark):
-    df = spark.createDataFrame([(1, [(1, 60), (2, 50), (3, 40)])], "k int, items array<struct<id:int,n:bigint>>")
-    assert [r.item.id for r in D.admit(df, "k", "items", "n", 100).collect()] == [1, 3]
-
-
 def test_section_tree_and_closure(spark):
     df = spark.createDataFrame([("f", ["1 A", "1.1 B"]), ("f", ["1 A"]), ("g", None), (None, ["1 A"])], "file_id string, section_path array<string>")
     assert {(r.path, r.parent) for r in D.section_tree(df).collect()} == {("1 A", None), ("1 A / 1.1 B", "1 A")}
