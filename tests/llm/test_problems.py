@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -224,6 +225,20 @@ def test_consensus_prefers_reliable_annotators(spark):
     assert consensus.votes_of(df.limit(0)).count() == 0
 
 
+@pytest.mark.skipif(not Path("/root/testdata/sf0.1").exists(), reason="no test tables here")
+def test_the_chosen_weight_finds_more_hidden_adjudications(spark):
+    from papyrine.sources.tables import table
+
+    items = consensus.cut(consensus.votes_of(table(spark, "/root/testdata/sf0.1", "annotation_pairs")))
+    gold = items.where("fixed is not null and size(votes) > 0").select("case_id", F.col("fixed").alias("gold"))
+    hidden = consensus.cut(items.withColumn("fixed", F.lit(None).cast("string")))
+    right = []
+    for weight in (consensus.log_odds, consensus.inverse, None):
+        weights = None if weight is None else consensus.reliabilities(hidden, weight).select("annotator", "w")
+        right.append(consensus.truths(hidden, weights).join(gold, "case_id").where("truth = gold").count())
+    assert right == sorted(right, reverse=True) and right[0] > right[2]
+
+
 # 5
 
 
