@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -115,6 +116,36 @@ def compare_intervals(candidate: DataFrame, baseline: DataFrame, key: str, seed:
     return paired(candidate, baseline, key, metrics).groupBy("metric").applyInPandas(one, "metric string, delta double, lower double, upper double")
 
 
+#: How many times a row is drawn, by a draw from 0 to 2 ** 32: the distribution of Poisson with mean 1, as cut points.
+POISSON = [math.floor(2**32 * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))) for k in range(12)]
+
+
+def drawn_intervals(rows: DataFrame, group: str, row_id: str, values: Sequence[str], resamples: int = 2000, alpha: float = 0.025) -> DataFrame:
+    """(group, and for each of the integer columns `values` <value>_lo, <value>_hi): intervals of means by resampling, for groups of
+    any size.
+
+    Every row draws by itself how often it stands in each resample, from a hash of its id, four resamples a hash, so there is
+    no join and no order, sums are combined map-side, and a group costs a row a task and resample. All columns of a row are
+    drawn together, so differences of paired columns are paired.
+    """
+    part = lambda h, i: F.conv(F.substring(h, 8 * i + 1, 8), 16, 10).cast("bigint")
+    times = lambda u: sum(((u >= t).cast("int") for t in POISSON), F.lit(0))
+    spread = spread_rows(rows.select(group, row_id, *values), row_id)
+    hashed = spread.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(-(-resamples // 4) - 1)))).withColumn("h", F.md5(F.concat(F.col("b").cast("string"), F.lit(":"), F.col(row_id).cast("string"))))
+    sums = [F.sum(times(part(F.col("h"), i))).alias(f"w{i}") for i in range(4)] + [F.sum(times(part(F.col("h"), i)) * F.col(v)).alias(f"{v}{i}") for i in range(4) for v in values]
+    s = hashed.groupBy(group, "b").agg(*sums)
+    each = F.array(*[F.struct((F.col("b") * 4 + i).alias("r"), *[(F.col(f"{v}{i}").cast("double") / F.col(f"w{i}")).alias(v) for v in values]) for i in range(4)])
+    means = s.select(group, F.inline(each)).where(F.col("r") < resamples)
+    ends = [F.percentile(v, q).alias(f"{v}_{n}") for v in values for n, q in (("lo", alpha), ("hi", 1 - alpha))]
+    return means.groupBy(group).agg(*ends)
+
+
+def spread_rows(rows: DataFrame, key: str) -> DataFrame:
+    """Narrow rows dealt to all cores: few of them mean much work."""
+    spark = rows.sparkSession
+    return rows.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)
+
+
 def matching(rows: DataFrame, filters: Mapping[str, object]) -> DataFrame:
     """Rows that equal every filter that isn't None."""
     return reduce(lambda df, kv: df if kv[1] is None else df.where(F.col(kv[0]) == F.lit(kv[1])), filters.items(), rows)

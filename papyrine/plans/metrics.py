@@ -121,7 +121,28 @@ def q_token_f1(spark, d):
     return t.select("case_id", F.round(M.token_f1(F.col("a"), F.col("b")), 9).alias("f1"))
 
 
-QUERIES = {f.__name__: f for f in (q_metrics_engine, q_metrics_compare, q_system_summary, q_failure_clusters, q_marginal, q_gates, q_dashboard, q_dashboard_compare, q_duplicate_runs, q_stratified_take, q_token_f1)}
+def q_bootstrap_ci(spark, d):
+    """Intervals of each system's mean support, from 2 000 resamples."""
+    r = scores_of(spark, d).select("system_id", "score_id", "s")
+    return M.drawn_intervals(r, "system_id", "score_id", ["s"]).select("system_id", *[F.round(F.col(f"s_{k}") / 1e6, 9).alias(k) for k in ("lo", "hi")])
+
+
+def q_paired_bootstrap(spark, d):
+    """Intervals of the mean difference of support between each system and single_agent over the cases that both have, both arms
+    drawn together."""
+    r = scores_of(spark, d, runs(spark, d))
+    base = r.where("system_id = 'single_agent'").select("case_id", F.col("s").alias("base"))
+    pairs = r.where("system_id <> 'single_agent'").join(base, "case_id").select("system_id", "case_id", (F.col("s") - F.col("base")).alias("delta"))
+    return M.drawn_intervals(pairs, "system_id", "case_id", ["delta"]).select("system_id", *[F.round(F.col(f"delta_{k}") / 1e6, 9).alias(k) for k in ("lo", "hi")])
+
+
+def scores_of(spark, d, rows=None):
+    """Runs with their support in millionths."""
+    r = table(spark, d, "case_scores").distinct() if rows is None else rows
+    return r.where("system_id is not null and claim_support_rate is not null").select("system_id", "case_id", "score_id", F.round(F.col("claim_support_rate") * 1_000_000).cast("bigint").alias("s"))
+
+
+QUERIES = {f.__name__: f for f in (q_bootstrap_ci, q_paired_bootstrap, q_metrics_engine, q_metrics_compare, q_system_summary, q_failure_clusters, q_marginal, q_gates, q_dashboard, q_dashboard_compare, q_duplicate_runs, q_stratified_take, q_token_f1)}
 
 _RUNS = "firsts as (select system_id, case_id, min(score_id) as score_id from case_scores where system_id is not null and case_id is not null and score_id is not null group by 1, 2), runs as (select distinct s.* exclude (recorded_at, ingested_at) from case_scores s join firsts f using (system_id, case_id, score_id))"
 _F1 = "case when s.ne = 0 and s.ns = 0 then null when s.both_ = 0 then 0.0 else 2.0 * s.both_ / (s.ne + s.ns) end"
@@ -145,7 +166,15 @@ _BOARD = "ec as (select case_id, min({'a': task_family, 'b': difficulty, 'c': la
 _SETS = ", ".join(f"('{s or 'all'}', '{lv or 'all'}')" for lv in (None, "L3") for s in ("full_system", "single_agent", None))
 _TERMS = r"list_concat(regexp_extract_all(lower({0}), '[a-z0-9]+(?:[_.-][a-z0-9]+)*'), flatten(list_transform(regexp_extract_all({0}, '[\x{{4e00}}-\x{{9fff}}]+'), lambda r: list_concat(list_transform(range(1, length(r) + 1), lambda i: substring(r, i, 1)), list_transform(range(1, length(r)), lambda i: substring(r, i, 2))))))"
 
+#: The number of draws that are above a cut point of the Poisson distribution, for a quarter of a hash.
+_CUTS = [1580030168, 3160060337, 3950075421, 4213413783, 4279248373, 4292415291, 4294609777, 4294923276, 4294962463, 4294966817, 4294967252, 4294967292]
+_DRAW = lambda source, value, key: f"""src as ({source}), bl as (select unnest(range(500)) as b), hs as (select system_id, b, {value} as x, md5(b || ':' || {key}) as h from src cross join bl),
+  dr as (select system_id, b * 4 + i as r, x, cast('0x' || substring(h, 8 * i + 1, 8) as bigint) as u from hs cross join (select unnest([0, 1, 2, 3])::int as i) p), tm as (select system_id, r, x, {' + '.join(f'(u >= {c})::int' for c in _CUTS)} as w from dr),
+  mn as (select system_id, r, sum(w * x)::double / sum(w) as m from tm group by system_id, r) select system_id, round(quantile_cont(m, 0.025) / 1e6, 9) as lo, round(quantile_cont(m, 0.975) / 1e6, 9) as hi from mn group by system_id"""
+
 SQL = {
+    "q_bootstrap_ci": "with " + _DRAW("select system_id, score_id, cast(round(claim_support_rate * 1000000) as bigint) as s from (select distinct * from case_scores) z where system_id is not null and claim_support_rate is not null", "s", "score_id"),
+    "q_paired_bootstrap": f"with {_RUNS}, sc as (select system_id, case_id, cast(round(claim_support_rate * 1000000) as bigint) as s from runs where claim_support_rate is not null), " + _DRAW("select a.system_id, a.case_id, a.s - b.s as s from sc a join sc b using (case_id) where b.system_id = 'single_agent' and a.system_id <> 'single_agent'", "s", "case_id"),
     "q_metrics_engine": f"with {_RUNS}, {_VALUES} select system_id, metric, round({_MEAN.format('v')}, 7) as value, round({_SUM.format('v')}, 5) as numerator, count(v) as denominator, count(*) - count(v) as excluded from m group by system_id, metric having count(v) > 0",
     "q_metrics_compare": f"""with {_RUNS}, {_VALUES}, p as (select a.metric, a.v as a, b.v as b from m a join m b on a.case_id = b.case_id and a.metric = b.metric where a.system_id = 'full_system' and b.system_id = 'single_agent' and a.v is not null and b.v is not null)
       select metric, count(*) as cases, round({_MEAN.format('a')}, 7) as absolute, round({_MEAN.format('b')}, 7) as baseline, round({_MEAN.format('a')} - {_MEAN.format('b')}, 7) + 0.0 as delta from p group by metric""",

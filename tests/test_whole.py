@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import math
 
 from papyrine.functions.vectorized import percentile
+from papyrine.operators import metrics
 from papyrine.operators import retrieval as R
-from papyrine.plans import documents, relational, relations, retrieval
+from papyrine.plans import documents, registry, relational, relations, retrieval
 
 
 def test_context_admit_goes_on_after_an_overflow(spark, folder):
@@ -42,8 +44,15 @@ def test_every_hundredth_vector_is_searched(spark, folder):
     assert sorted(map(tuple, small)) == sorted(map(tuple, got))
 
 
-def test_bootstrap_draws_two_thousand_times(spark, folder):
-    folder("case_scores", [(i, "a", "s", True, i / 10, 0.1, 1) for i in range(10)], "score_id bigint, case_id string, system_id string, task_success boolean, claim_support_rate double, omission_rate double, latency_ms bigint")
-    means = [sum(100 * (int(hashlib.md5(f"{b}:{i}".encode()).hexdigest()[:12], 16) % 10) for i in range(10)) / 10 for b in range(2000)]
-    want = ("s", round(percentile(means, 0.025), 6), round(percentile(means, 0.975), 6))
-    assert [tuple(r) for r in relational.QUERIES["q_bootstrap_ci_2000"](spark, folder.path).collect()] == [want]
+def test_rows_draw_themselves_two_thousand_times(spark, folder):
+    folder("case_scores", [(i, "a", "s", True, i / 10, 0.1, 1) for i in range(40)], "score_id bigint, case_id string, system_id string, task_success boolean, claim_support_rate double, omission_rate double, latency_ms bigint")
+    assert all(abs(c / 2**32 - sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))) < 1e-9 for k, c in enumerate(metrics.POISSON))
+    hashes = [[hashlib.md5(f"{b}:{i}".encode()).hexdigest() for i in range(40)] for b in range(500)]
+    means = []
+    for row in hashes:
+        for k in range(4):
+            times = [sum(int(h[8 * k : 8 * k + 8], 16) >= c for c in metrics.POISSON) for h in row]
+            means.append(sum(t * i * 100_000 for i, t in enumerate(times)) / sum(times))
+    want = ("s", round(percentile(means, 0.025) / 1e6, 9), round(percentile(means, 0.975) / 1e6, 9))
+    got = [tuple(r) for r in registry.queries()["q_bootstrap_ci"](spark, folder.path).collect()]
+    assert got == [want] and want[1] < 1.95 < want[2]
