@@ -70,7 +70,7 @@ def margin_roles(blocks: DataFrame) -> DataFrame:
 def toc_pages(blocks: DataFrame) -> DataFrame:
     """(doc, page) of tables of contents: a title of that name, and two lines that end in a number."""
     text = F.lower(F.trim("text"))
-    s = blocks.groupBy("doc", "page").agg(F.max(text.isin(*CONTENTS)).alias("titled"), F.count_if(text.rlike(r".{2,}\s*\d+\s*$")).alias("entries"))
+    s = blocks.groupBy("doc", "page").agg(F.max(text.isin(*CONTENTS)).alias("titled"), F.count_if(text.rlike(r"^.{2,}\d\s*$")).alias("entries"))
     return s.where("titled and entries >= 2").select("doc", "page")
 
 

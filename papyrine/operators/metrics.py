@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from papyrine.functions import vectorized as V
 from papyrine.functions.rules import ratio_or_null
+from papyrine.plans.runtime import spread_rows
 
 #: Percentiles that two of the metrics are, instead of means.
 PERCENTILES = {"latency_p50_ms": 0.5, "latency_p95_ms": 0.95}
@@ -140,12 +141,6 @@ def drawn_intervals(rows: DataFrame, group: str, row_id: str, values: Sequence[s
     return means.groupBy(group).agg(*ends)
 
 
-def spread_rows(rows: DataFrame, key: str) -> DataFrame:
-    """Narrow rows dealt to all cores: few of them mean much work."""
-    spark = rows.sparkSession
-    return rows.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)
-
-
 def matching(rows: DataFrame, filters: Mapping[str, object]) -> DataFrame:
     """Rows that equal every filter that isn't None."""
     return reduce(lambda df, kv: df if kv[1] is None else df.where(F.col(kv[0]) == F.lit(kv[1])), filters.items(), rows)

@@ -94,11 +94,15 @@ def parse(requests: DataFrame, text: str) -> DataFrame:
     title, a named section, an alias that the request begins with, or none; the first that applies. What several rules look at
     is a column of its own, so that it is computed once."""
     t, request = F.col("_t"), F.col("_request")
-    first = lambda f: reduce(lambda c, p: F.when(t.rlike(p), f(p)).otherwise(c), reversed(NUMBERED), F.lit(None).cast("string"))
+    had = lambda c: F.col(c) != ""
     rows = requests.withColumn("_t", F.trim(narrow(F.col(text))))
-    rows = rows.withColumns({"_low": F.lower(t), "_number": first(lambda p: F.regexp_extract(t, p, 1)), "_rest": first(lambda p: F.regexp_extract(t, "(?is)^.*?" + p.removeprefix("(?i)") + "(.*)$", 2)), "_request": _without_prefix(t)})
-    named = reduce(lambda c, p: F.when(request.rlike(p), _tidy(F.regexp_extract(request, p, 1))).otherwise(c), reversed(TITLED), F.lit(None).cast("string"))
-    rows = rows.withColumns({"_named": F.nullif(named, F.lit("")), "_whole": plain_title(t), "_asked": plain_title(request), "_rest": F.regexp_replace("_rest", r"^[ ：:\-]+|[ ：:\-]+$", "")})
+    rows = rows.withColumns({"_low": F.lower(t), "_request": _without_prefix(t), **{f"_n{i}": F.regexp_extract(t, p, 1) for i, p in enumerate(NUMBERED)}})
+    first = lambda f: reduce(lambda c, i: F.when(had(f"_n{i}"), f(i)).otherwise(c), reversed(range(len(NUMBERED))), F.lit(None).cast("string"))
+    rest = first(lambda i: F.regexp_extract(t, "(?is)^.*?" + NUMBERED[i].removeprefix("(?i)") + "(.*)$", 2))
+    rows = rows.withColumns({"_number": first(lambda i: F.col(f"_n{i}")), "_rest": rest, **{f"_x{i}": F.regexp_extract(request, p, 1) for i, p in enumerate(TITLED)}})
+    named = reduce(lambda c, i: F.when(had(f"_x{i}"), _tidy(F.col(f"_x{i}"))).otherwise(c), reversed(range(len(TITLED))), F.lit(None).cast("string"))
+    rows = rows.withColumns({"_said": named, "_whole": plain_title(t), "_asked": plain_title(request), "_rest": F.regexp_replace("_rest", r"^[ ：:\-]+|[ ：:\-]+$", "")})
+    rows = rows.withColumn("_named", F.when(had("_said"), F.col("_said")))
     ordered = sorted((a for aliases in ALIASES.values() for a in aliases), key=len, reverse=True)
     known = F.array(*[F.lit(a) for a in ordered])
     rows = rows.withColumn("_longest", F.get(F.filter(known, lambda a: F.contains(F.col("_whole"), a)), F.lit(0)))
@@ -115,7 +119,7 @@ def parse(requests: DataFrame, text: str) -> DataFrame:
         "title": F.when(is_("number"), F.when(plain, F.col("_after")).otherwise(_tidy(F.regexp_extract(t, BARE, 2)))).when(is_("title"), F.coalesce("_named", "_alias")),
         "deictic": F.col("_deictic"), "mode": F.when(summary, "summary").otherwise("qa"),
         "confidence": F.when(is_("number") & ~plain, 0.99).when(is_("title"), F.when(F.col("_named").isNotNull(), 0.97).otherwise(0.93)).otherwise(1.0),
-    }).drop("_t", "_low", "_number", "_rest", "_request", "_named", "_whole", "_asked", "_longest", "_alias", "_after", "_deictic", "_bare")
+    }).drop("_t", "_low", "_number", "_rest", "_request", "_named", "_whole", "_asked", "_longest", "_alias", "_after", "_deictic", "_bare", "_said", *[f"_n{i}" for i in range(len(NUMBERED))], *[f"_x{i}" for i in range(len(TITLED))])
 
 
 def rewritten(text: Column) -> Column:

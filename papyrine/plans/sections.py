@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from papyrine.operators import sections as S
+from papyrine.plans.runtime import spread_rows
 from papyrine.sources.tables import table
 
 
@@ -21,7 +22,7 @@ def _pairs(a, b, *rows):
 
 def requests(spark, d):
     """Requests (ref_id, prompt): every case's own, and four made from its number."""
-    r = table(spark, d, "eval_cases").where("prompt is not null").select("case_id", "prompt").distinct()
+    r = spread_rows(table(spark, d, "eval_cases").where("prompt is not null").select("case_id", "prompt").distinct(), "case_id")
     n = F.length("prompt") % 9
     forms = F.array(*[F.lit(x) for x in ("请总结方法部分", "method", "Overview of the Results", "Explain the Related-Work section", "上一节讲了什么", "这一节", "reslts section", "Data")])
     made = _pairs(
