@@ -127,7 +127,7 @@ def drawn_intervals(rows: DataFrame, group: str, row_id: str, values: Sequence[s
 
     Every row draws by itself how often it stands in each resample, from a hash of its id, four resamples a hash, so there is
     no join and no order, sums are combined map-side, and a group costs a row a task and resample. All columns of a row are
-    drawn together, so differences of paired columns are paired.
+    drawn together, so differences of paired columns are paired. A resample in which no row of a small group stands is left out.
     """
     part = lambda h, i: F.conv(F.substring(h, 8 * i + 1, 8), 16, 10).cast("bigint")
     times = lambda u: sum(((u >= t).cast("int") for t in POISSON), F.lit(0))
@@ -135,7 +135,7 @@ def drawn_intervals(rows: DataFrame, group: str, row_id: str, values: Sequence[s
     hashed = spread.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(-(-resamples // 4) - 1)))).withColumn("h", F.md5(F.concat(F.col("b").cast("string"), F.lit(":"), F.col(row_id).cast("string"))))
     sums = [F.sum(times(part(F.col("h"), i))).alias(f"w{i}") for i in range(4)] + [F.sum(times(part(F.col("h"), i)) * F.col(v)).alias(f"{v}{i}") for i in range(4) for v in values]
     s = hashed.groupBy(group, "b").agg(*sums)
-    each = F.array(*[F.struct((F.col("b") * 4 + i).alias("r"), *[(F.col(f"{v}{i}").cast("double") / F.col(f"w{i}")).alias(v) for v in values]) for i in range(4)])
+    each = F.array(*[F.struct((F.col("b") * 4 + i).alias("r"), *[F.try_divide(F.col(f"{v}{i}").cast("double"), F.col(f"w{i}")).alias(v) for v in values]) for i in range(4)])
     means = s.select(group, F.inline(each)).where(F.col("r") < resamples)
     ends = [F.percentile(v, q).alias(f"{v}_{n}") for v in values for n, q in (("lo", alpha), ("hi", 1 - alpha))]
     return means.groupBy(group).agg(*ends)

@@ -170,7 +170,7 @@ _TERMS = r"list_concat(regexp_extract_all(lower({0}), '[a-z0-9]+(?:[_.-][a-z0-9]
 _CUTS = [1580030168, 3160060337, 3950075421, 4213413783, 4279248373, 4292415291, 4294609777, 4294923276, 4294962463, 4294966817, 4294967252, 4294967292]
 _DRAW = lambda source, value, key: f"""src as ({source}), bl as (select unnest(range(500)) as b), hs as (select system_id, b, {value} as x, md5(b || ':' || {key}) as h from src cross join bl),
   dr as (select system_id, b * 4 + i as r, x, cast('0x' || substring(h, 8 * i + 1, 8) as bigint) as u from hs cross join (select unnest([0, 1, 2, 3])::int as i) p), tm as (select system_id, r, x, {' + '.join(f'(u >= {c})::int' for c in _CUTS)} as w from dr),
-  mn as (select system_id, r, sum(w * x)::double / sum(w) as m from tm group by system_id, r) select system_id, round(quantile_cont(m, 0.025) / 1e6, 9) as lo, round(quantile_cont(m, 0.975) / 1e6, 9) as hi from mn group by system_id"""
+  mn as (select system_id, r, sum(w * x)::double / nullif(sum(w), 0) as m from tm group by system_id, r) select system_id, round(quantile_cont(m, 0.025) / 1e6, 9) as lo, round(quantile_cont(m, 0.975) / 1e6, 9) as hi from mn group by system_id"""
 
 SQL = {
     "q_bootstrap_ci": "with " + _DRAW("select system_id, score_id, cast(round(claim_support_rate * 1000000) as bigint) as s from (select distinct * from case_scores) z where system_id is not null and claim_support_rate is not null", "s", "score_id"),
