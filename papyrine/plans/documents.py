@@ -63,12 +63,6 @@ def q_context_admit(spark, d):
 
 PYTHON = {f.__name__: f for f in (q_sentences, q_numbers, q_clean_markup, q_fingerprint, q_repeated_lines, q_chunk_pack, q_section_tree, q_section_closure, q_context_admit)}
 
-_FOLD = """with recursive items as (select {key}, {id}, {n} as n, row_number() over (partition by {key} order by {id}) as k from {source}),
-walk({key}, k, used, {id}, taken) as (
-  select {key}, k, {first}, {id}, {taken} from items where k = 1
-  union all
-  select w.{key}, i.k, case when w.used + i.n <= {budget} then w.used + i.n else w.used end, i.{id}, w.used + i.n <= {budget} from walk w join items i on i.{key} = w.{key} and i.k = w.k + 1)
-select {key}, {id} from walk where taken"""
 _PACKED = r"""recursive blocks as (select doc_id, b, generate_subscripts(bs, 1) - 1 as i from (select doc_id, bs, unnest(bs) as b, bs as bs2 from (select doc_id, string_split(text, chr(10)) as bs from documents where text is not null)) t),
 numbered as (select doc_id, unnest(bs) as b, unnest(range(len(bs))) as i from (select doc_id, string_split(text, chr(10)) as bs from documents where text is not null)),
 walk(doc_id, i, chunk, size) as (
@@ -105,7 +99,6 @@ _PYTHON_SQL = {
 }
 
 _SEQ = "seq as (select user_id, event_id, ts, event_type, value, props, cast(row_number() over (partition by user_id order by ts, event_id) as bigint) as n from events)"
-_REQ = "reqs as (select distinct case_id, prompt from eval_cases where prompt is not null)"
 STATEMENTS: dict[str, str | tuple[str, str]] = {
     # event logs and versioned state
     "q_replay": (

@@ -6,8 +6,6 @@ from collections.abc import Callable
 
 from papyrine.plans.sql import registered
 
-_SCORES = "scores as (select distinct * from case_scores)"
-_DOCS = "docs as (select distinct sample_id, task_type, source, dataset_split, license, privacy, consent_id, anonymized, sft_target, chosen, rejected from training_samples)"
 _CASES = "cases as (select distinct case_id, task_family, difficulty, split, language, paper_type, prompt, source_id, source_cluster_id, authorization_status, text_fingerprint, usable_for_training from eval_cases)"
 
 
