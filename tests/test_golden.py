@@ -213,6 +213,45 @@ def test_quotes_are_grounded_on_the_first_page(spark):
     assert {(r.quote_id, r.page) for r in E.grounded(quotes, pages).collect()} == {("q1", 2), ("q2", 1), ("q5", 2)}
 
 
+def test_quotes_and_pages_of_large_documents_are_dealt_without_loss(spark, monkeypatch):
+    import random
+
+    source, rows, asked = random.Random(7), [], []
+    for i in range(120):
+        words = [source.choice(["ab", "b", "abc", "c", "bc", "ca"]) for _ in range(source.randint(1, 14))]
+        rows.append((source.choice("xyz"), source.randint(1, 40), "  ".join(words)))
+        part = " ".join(words)[source.randint(0, 3) :] if i % 3 else " ".join(source.choice(["ab", "b", "abc", "c"]) for _ in range(20))
+        asked.append((f"q{i}", source.choice("xyz"), part))
+    rows, asked = [*rows, (None, 1, "ab b"), ("x", None, "ab ab ab ab"), ("x", 3, None)], [*asked, ("n", None, "ab b"), ("m", "x", None)]
+    held = lambda a, b: a in b and f" {' '.join(a.split(' ')[:3])} " in f" {b} "
+    want: dict = {}
+    for k, doc, text in asked:
+        for d, page, body in rows:
+            a, b = " ".join((text or "").split()), " ".join((body or "").split())
+            if doc is not None and d == doc and a and b and (held(a, b) or held(b, a)):
+                want[k] = min((x for x in (want.get(k), page) if x is not None), default=None)
+    pages, quotes = spark.createDataFrame(rows, "doc string, page int, text string"), spark.createDataFrame(asked, "quote_id string, doc string, text string")
+    for share in (E.BODY_SHARE, 100):
+        monkeypatch.setattr(E, "BODY_SHARE", share)
+        monkeypatch.setattr(E, "QUOTE_SHARE", share)
+        assert {r.quote_id: r.page for r in E.grounded(quotes, pages).collect()} == want and len(want) > 60
+
+
+def test_grounding_moves_texts_and_not_a_text_for_each_of_its_words(spark):
+    sc = spark.sparkContext._jsc.sc()
+
+    def written():
+        sc.listenerBus().waitUntilEmpty()
+        found = sc.statusStore().executorList(False)
+        return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+    rows = [("d", i, " ".join(f"w{i}x{j}" for j in range(400))) for i in range(40)]
+    pages, quotes = spark.createDataFrame(rows, "doc string, page int, text string"), spark.createDataFrame([(f"q{i}", d, t[:60]) for d, i, t in rows], "quote_id string, doc string, text string")
+    before = written()
+    assert {(r.quote_id, r.page) for r in E.grounded(quotes, pages).collect()} == {(f"q{i}", i) for i in range(40)}
+    assert 0 < written() - before < 3 * sum(len(r[2]) for r in rows)
+
+
 def record(case, success, latency, system="s"):
     base = dict.fromkeys(["citation_true_positive", "citation_false_positive", "citation_false_negative", "supported_claims", "total_claims", "hallucinated_claims", "required_steps_matched", "required_steps_total", "invalid_steps", "total_steps", "successful_tool_calls", "total_tool_calls", "model_calls", "tool_calls", "input_tokens", "output_tokens", "four_b_calls", "total_model_calls"], 1)
     return (case, success, float(latency), system, ["a"], ["a", "b"], *base.values()), ["case_id string", "task_success boolean", "latency_ms double", "system_id string", "expected_tools array<string>", "selected_tools array<string>", *[f"{k} int" for k in base]]
