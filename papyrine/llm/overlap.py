@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import functools
 import json
+import math
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -23,10 +24,9 @@ from papyrine.sources.tables import table
 BANDS, BAND_ROWS = 32, 2
 #: Shingles of five words beside them, with longer rows.
 WORD_BANDS, WORD_ROWS, WORD_SHINGLE = 16, 5, 5
-#: A bucket whose two sides make more pairs than this is dealt anew by minwise hashes of all its requests' words: two that reach
-#: SIMILAR meet again with probability 1 - (1 - SIMILAR ** DEAL_ROWS) ** DEAL_BANDS, 0.984, at the least similarity, and in more
-#: than one bucket as a rule; others mostly don't.
-HOT_PAIRS, DEAL_BANDS, DEAL_ROWS = 250_000, 64, 4
+#: A bucket whose two sides make more pairs than this is dealt over a grid of cells of about as many pairs. Every pair of it still
+#: meets, in one cell, and is a candidate unless marks of its words rule out what the verification asks for.
+HOT_PAIRS = 250_000
 #: A word whose share of all wordings is above this, three standard deviations of its count left aside, is common: headings,
 #: parts of names such as "survey", small numbers. Common words are no anchors. A wording has some forty words, so there are a
 #: few thousand of them at most.
@@ -232,17 +232,51 @@ def bucket_pairs(keyed: DataFrame, keys: list[str]) -> DataFrame:
     return left.join(right, keys).where("a <> b").select("a", "b").distinct()
 
 
-def deal_anew(rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """Members of hot buckets (key, class_id, train, held) with `deal`, buckets of the same by all words of the request. The
-    minwise hashes are made once a class, however many hot buckets it is in."""
+def _bits(words: Iterable[str]) -> int:
+    """Words as bits of a mask: a word that one set has and another lacks may be hidden, but none is missing that both have."""
+    mask = 0
+    for w in words:
+        mask |= 1 << xxhash.xxh32_intdigest(w) % 63
+    return mask
 
-    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"class_id": pdf["class_id"], "deals": [band_keys(sorted(set(words_of(r))), DEAL_BANDS, DEAL_ROWS, "d") for r in pdf["request"]]})
 
-    members = texts.join(rows.select("class_id").distinct(), "class_id", "left_semi").select("class_id", "request")
-    dealt = members.mapInPandas(deal, "class_id binary, deals array<bigint>")
-    return rows.join(dealt, "class_id").select("key", "class_id", "train", "held", F.explode("deals").alias("deal"))
+def marks_of(request: str, names: list[str]) -> tuple[int, int, int, int]:
+    """(size, figures, names, shorts): how many words, and masks of those with a digit, of names below four letters and of all
+    words below four letters. same_request matches such words by equality alone."""
+    words = set(words_of(request))
+    figures = {w for w in words if any(c.isdigit() for c in w)}
+    shorts = {w for w in words - figures if len(w) < 4}
+    return len(words), _bits(figures), _bits(shorts & set(names)), _bits(shorts)
+
+
+def may_be_same() -> Column:
+    """False only for pairs (a_size, ..., b_shorts) that same_request puts below SIMILAR: those of very unequal size, and those
+    with a figure or short name left over on both sides."""
+    lacks = lambda x, y: (F.col(x).bitwiseAND(F.bitwise_not(y)) != 0)
+    over = lambda x, y: lacks(f"{x}_figures", f"{y}_figures") | lacks(f"{x}_names", f"{y}_shorts")
+    return (F.least("a_size", "b_size") >= (SIMILAR - 1e-9) * F.greatest("a_size", "b_size")) & ~(over("a", "b") & over("b", "a"))
+
+
+def grid_pairs(rows: DataFrame, hot: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b) as from bucket_pairs, less those that cannot be the same, for hot buckets: members (key, class_id, train, held) and the
+    number of each side's members (key, t, h)."""
+
+    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [marks_of(r, list(n)) for r, n in zip(pdf["request"], pdf["names"], strict=True)]
+            yield pd.DataFrame({"class_id": pdf["class_id"]} | {x: [f[i] for f in found] for i, x in enumerate(marks)})
+
+    marks = ("size", "figures", "names", "shorts")
+    members = texts.join(rows.select("class_id").distinct(), "class_id", "left_semi").select("class_id", "request", "names")
+    marked = members.mapInPandas(mark, "class_id binary, size bigint, figures bigint, names bigint, shorts bigint")
+    shares = lambda n: F.ceil(F.col(n) / math.sqrt(HOT_PAIRS)).cast("int")
+    dealt = rows.join(hot.select("key", shares("t").alias("ts"), shares("h").alias("hs")), "key").join(marked, "class_id")
+    own = lambda n: F.pmod(F.xxhash64("class_id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    side = lambda x: [F.col("class_id").alias(x), *[F.col(m).alias(f"{x}_{m}") for m in marks]]
+    left = dealt.where("train").select("key", own("ts").alias("i"), every("hs").alias("j"), *side("a"))
+    right = dealt.where("held").select("key", every("ts").alias("i"), own("hs").alias("j"), *side("b"))
+    return left.join(right, ["key", "i", "j"]).where((F.col("a") != F.col("b")) & may_be_same()).select("a", "b").distinct()
 
 
 def similar_classes(texts: DataFrame, common: frozenset[str]) -> DataFrame:
@@ -250,7 +284,8 @@ def similar_classes(texts: DataFrame, common: frozenset[str]) -> DataFrame:
 
     Minwise hashes of each class's shingles are banded; only classes that could form a cross-split pair meet in a
     bucket. Every candidate is then held against the whole texts: exact Jaccard similarity of the words, and the same
-    named things. A class is one distinct wording, so copies never multiply candidates.
+    named things. A class is one distinct wording, so copies never multiply candidates. How large a bucket is decides how its
+    pairs are formed, not which are found.
     """
 
     def shingle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -266,12 +301,12 @@ def similar_classes(texts: DataFrame, common: frozenset[str]) -> DataFrame:
 
     keyed = cut(texts.where("train or held").select("class_id", "request", "names", "train", "held").mapInPandas(shingle, "key bigint, class_id binary, train boolean, held boolean"))
     crossing = keyed.groupBy("key").agg(F.count_if("train").alias("t"), F.count_if("held").alias("h"))
-    hot = cut(crossing.where(F.col("t") * F.col("h") > HOT_PAIRS).select("key"))
+    hot = cut(crossing.where(F.col("t") * F.col("h") > HOT_PAIRS))
     if hot.isEmpty():
         candidates = bucket_pairs(keyed, ["key"])
     else:
-        again = deal_anew(keyed.join(hot, "key", "left_semi"), texts)
-        candidates = bucket_pairs(keyed.join(hot, "key", "left_anti"), ["key"]).unionByName(bucket_pairs(again, ["key", "deal"])).distinct()
+        met = grid_pairs(keyed.join(hot.select("key"), "key", "left_semi"), hot, texts)
+        candidates = bucket_pairs(keyed.join(hot.select("key"), "key", "left_anti"), ["key"]).unionByName(met).distinct()
     side = lambda x: texts.select(F.col("class_id").alias(x), F.col("request").alias(f"{x}_request"), F.col("names").alias(f"{x}_names"))
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

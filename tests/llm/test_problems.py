@@ -181,6 +181,36 @@ def test_a_pair_of_names_in_half_of_all_records(spark, folder, monkeypatch):
         assert {(r.record_a, r.record_b) for r in overlap.p3_found(spark, path).collect()} == want
 
 
+def test_a_bucket_of_any_size_loses_no_pair_at_the_bar(spark, folder, monkeypatch):
+    source = random.Random(17)
+    word = lambda: "".join(source.choice("bcdfghklmnprst") for _ in range(9))
+    samples, cases, want = [], [], set()
+    for i in range(60):
+        own = [word() for _ in range(12)]
+        slips = [w[:4] + "x" + w[5:] for w in own[:7]] + [word() for _ in range(2)]
+        things = "Of Torquira%sRank with Velbennix%s-QA" % (2 * (chr(97 + i // 5),))
+        samples.append((f"t{i:02d}", '{"request": "%s %s"}' % (things, " ".join(own)), "train", "s"))
+        cases.append((f"e{i:02d}", f"{things} {' '.join(slips)}", "test", "q"))
+        want.add((f"e{i:02d}", f"t{i:02d}"))
+    path = overlap_tables(folder, samples, cases)
+    for pairs in (overlap.HOT_PAIRS, 10):
+        monkeypatch.setattr(overlap, "HOT_PAIRS", pairs)
+        assert {(r.record_a, r.record_b) for r in overlap.p3_found(spark, path).collect()} == want
+
+
+def test_marks_rule_out_no_pair_that_is_the_same(spark):
+    source, words, names, rows, same = random.Random(19), "read mode modes on in QA 12 v2 v3 Lem Lemm torque torqeu of at".split(), {"qa", "lem", "lemm", "v2"}, [], 0
+    for _ in range(1500):
+        a, b = ([w.lower() for w in source.sample(words, source.randint(1, 9))] for _ in range(2))
+        if source.random() < 0.6:
+            b = [*a[: source.randint(1, 9)], *b[: source.randint(0, 2)]]
+        hit = overlap.same_request(set(a), names & set(a), set(b), names & set(b))
+        rows.append((*overlap.marks_of(" ".join(a), sorted(names & set(a))), *overlap.marks_of(" ".join(b), sorted(names & set(b))), hit is not None and hit >= overlap.SIMILAR))
+    df = spark.createDataFrame(rows, ", ".join(f"{x}_{m} bigint" for x in "ab" for m in ("size", "figures", "names", "shorts")) + ", same boolean")
+    got = df.select("same", overlap.may_be_same().alias("may")).collect()
+    assert all(r.may for r in got if r.same) and sum(r.same for r in got) > 100 and sum(not r.may for r in got) > 300
+
+
 def test_classes_are_told_apart_by_their_whole_wording(spark):
     df = spark.createDataFrame([("a b",), ("a  b",), ("a b",)], "wording string").select(overlap.class_key(F.col("wording")).alias("k"))
     assert df.distinct().count() == 2 and all(len(r.k) == 32 for r in df.collect())
